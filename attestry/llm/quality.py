@@ -26,7 +26,7 @@ class Thresholds:
     max_repeat_share: float = 0.5
     min_mean_word: float = 1.5
     max_mean_word: float = 25.0
-    max_symbols_per_word: float = 0.5
+    max_symbols_per_word: float = 0.25
     max_shouts_per_word: float = 0.5
     max_dup_line_share: float = 0.5
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, quality
+from . import license_scan, line_dedup, pii, quality, simhash
 from .common import documents
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -27,6 +27,18 @@ FROM m GROUP BY doc_id
 """
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(documents(spark, sf_dir))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(documents(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measures(documents(spark, sf_dir))
 
@@ -46,12 +58,15 @@ f AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_s
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR word_chars < 1.5 * n_words OR word_chars > 25 * n_words
-       OR n_symbols > 0.5 * n_words OR shouts > 0.5 * n_words OR n_dup_lines > 0.5 * n_lines) AS kept
+       OR n_symbols > 0.25 * n_words OR shouts > 0.5 * n_words OR n_dup_lines > 0.5 * n_lines) AS kept
 FROM f
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_simhash": op3_simhash,
+    "op4_license_scan": op4_license_scan,
+    "op8_pii": op8_pii,
     "op9_quality": op9_quality,
 }
 
