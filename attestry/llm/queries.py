@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, license_scan, line_dedup, pii, quality, simhash, suffix_dedup, toxicity
+from . import decontam, license_scan, line_dedup, lm_score, mixing, pii, quality, simhash, suffix_dedup, toxicity
 from .common import documents
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -27,6 +27,36 @@ FROM m GROUP BY doc_id
 """
 
 
+#: Target weights of the production mix; sources not listed share the weight of REST.
+WEIGHTS = {"src0": 12, "src1": 6, "src2": 6, "src3": 4, "src4": 4, "src5": 3} | {f"src{i}": 2 for i in range(6, 20)}
+REST, BLOCK_DOCS = 1, 8
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.positions(documents(spark, sf_dir), WEIGHTS, REST, BLOCK_DOCS).select("doc_id", "stream", "block", "released", "deadline", "slot", "position")
+
+
+OP2_SQL = f"""
+WITH RECURSIVE w(stream, weight) AS (VALUES {", ".join(f"('={k}', {v})" for k, v in WEIGHTS.items())}, ('rest', {REST})),
+d AS (SELECT doc_id, coalesce(w.stream, 'rest') AS stream FROM documents LEFT JOIN w ON w.stream = '=' || source),
+r AS (SELECT doc_id, stream, row_number() OVER (PARTITION BY stream ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS n FROM d),
+c AS (SELECT stream, weight, (count(*) + {BLOCK_DOCS - 1}) // {BLOCK_DOCS} AS blocks, row_number() OVER (ORDER BY stream) AS i FROM r JOIN w USING (stream) GROUP BY stream, weight),
+a AS (SELECT list(weight ORDER BY i) AS w, list(blocks ORDER BY i) AS b, list(stream ORDER BY i) AS s FROM c),
+e(t, start, k, rem, pick, block, released, deadline) AS (
+  SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT), list_transform(b, lambda x: CAST(0 AS BIGINT)), list_transform(b, lambda x: CAST(x AS BIGINT)), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM a
+  UNION ALL
+  SELECT t, CASE WHEN rem[pick] = 1 THEN t + 1 ELSE start END,
+    CASE WHEN rem[pick] = 1 THEN list_transform(k, lambda x: CAST(0 AS BIGINT)) ELSE list_transform(k, lambda x, i: CAST(x + CASE WHEN i = pick THEN 1 ELSE 0 END AS BIGINT)) END,
+    list_transform(rem, lambda x, i: CAST(x - CASE WHEN i = pick THEN 1 ELSE 0 END AS BIGINT)), pick, CAST(b[pick] - rem[pick] AS BIGINT),
+    CAST(start + (k[pick] * p) // w[pick] AS BIGINT), CAST(start + ((k[pick] + 1) * p + w[pick] - 1) // w[pick] AS BIGINT)
+  FROM (SELECT *, list_min(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN rem[i] > 0 AND start + (k[i] * p) // w[i] <= t THEN (((k[i] + 1) * p + w[i] - 1) // w[i]) * 1000 + i END)) % 1000 AS pick
+        FROM (SELECT e.t + 1 AS t, e.start, e.k, e.rem, a.w, a.b, list_sum(list_transform(range(1, len(a.w) + 1), lambda i: CASE WHEN e.rem[i] > 0 THEN a.w[i] ELSE 0 END)) AS p FROM e, a WHERE list_sum(e.rem) > 0))),
+f AS (SELECT a.s[pick] AS stream, block, t, released, deadline FROM e, a WHERE t >= 0)
+SELECT r.doc_id, r.stream, f.block, f.released, f.deadline, f.t AS slot, f.t * {BLOCK_DOCS} + r.n % {BLOCK_DOCS} AS position
+FROM r JOIN f ON r.stream = f.stream AND r.n // {BLOCK_DOCS} = f.block
+"""
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(documents(spark, sf_dir))
 
@@ -35,6 +65,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(documents(spark, sf_dir))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontam.copies(documents(spark, sf_dir), benchmark)
@@ -78,8 +112,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_license_scan": op4_license_scan,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_pii": op8_pii,
@@ -87,4 +123,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op9_quality": OP9_SQL}
+SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op9_quality": OP9_SQL}
