@@ -49,8 +49,8 @@ e(t, start, k, rem, pick, block, released, deadline) AS (
     CASE WHEN rem[pick] = 1 THEN list_transform(k, lambda x: CAST(0 AS BIGINT)) ELSE list_transform(k, lambda x, i: CAST(x + CASE WHEN i = pick THEN 1 ELSE 0 END AS BIGINT)) END,
     list_transform(rem, lambda x, i: CAST(x - CASE WHEN i = pick THEN 1 ELSE 0 END AS BIGINT)), pick, CAST(b[pick] - rem[pick] AS BIGINT),
     CAST(start + (k[pick] * p) // w[pick] AS BIGINT), CAST(start + ((k[pick] + 1) * p + w[pick] - 1) // w[pick] AS BIGINT)
-  FROM (SELECT *, list_min(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN rem[i] > 0 AND start + (k[i] * p) // w[i] <= t THEN (((k[i] + 1) * p + w[i] - 1) // w[i]) * 1000 + i END)) % 1000 AS pick
-        FROM (SELECT e.t + 1 AS t, e.start, e.k, e.rem, a.w, a.b, list_sum(list_transform(range(1, len(a.w) + 1), lambda i: CASE WHEN e.rem[i] > 0 THEN a.w[i] ELSE 0 END)) AS p FROM e, a WHERE list_sum(e.rem) > 0))),
+  FROM (SELECT *, CAST(pick_ AS BIGINT) AS pick FROM (SELECT *, list_min(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN rem[i] > 0 AND start + (k[i] * p) // w[i] <= t THEN (((k[i] + 1) * p + w[i] - 1) // w[i]) * 1000 + i END)) % 1000 AS pick_
+        FROM (SELECT e.t + 1 AS t, e.start, e.k, e.rem, a.w, a.b, list_sum(list_transform(range(1, len(a.w) + 1), lambda i: CASE WHEN e.rem[i] > 0 THEN a.w[i] ELSE 0 END))::BIGINT AS p FROM e, a WHERE list_sum(e.rem) > 0)))),
 f AS (SELECT a.s[pick] AS stream, block, t, released, deadline FROM e, a WHERE t >= 0)
 SELECT r.doc_id, r.stream, f.block, f.released, f.deadline, f.t AS slot, f.t * {BLOCK_DOCS} + r.n % {BLOCK_DOCS} AS position
 FROM r JOIN f ON r.stream = f.stream AND r.n // {BLOCK_DOCS} = f.block

@@ -214,3 +214,106 @@ def hex16(fp: Column) -> Column:
 def digest(df: DataFrame) -> DataFrame:
     g = groups(df)
     return g.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+# --- Near duplicates by similarity -----------------------------------------------------------------------------------
+
+BANDS, BAND_ROWS = 24, 5
+_MULTIPLIERS = np.random.default_rng(11).integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """One key for each band of min-wise hashes of a non-empty set."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    x = h ^ (h >> np.uint64(31))
+    for at in range(0, len(x), 2048):
+        least = np.minimum(least, (x[at : at + 2048, None] * _MULTIPLIERS).min(0))
+    mixed = np.zeros(BANDS, np.uint64)
+    for k in least.reshape(BANDS, BAND_ROWS).T:
+        mixed = (mixed ^ k) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return ((mixed << np.uint64(5)) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bucket_max: int = 32) -> DataFrame:
+    """doc_id, r1, r2 (hashes of the text), rank struct best: the document that stays for the row's group.
+
+    Texts are near-duplicates if the sets of their shingles have a Jaccard similarity of `similarity` or more; groups are
+    the components.  Candidates share a Golay key of their fingerprints or a band of min-wise hashes (fingerprints of
+    texts at similarity 0.8 differ in 6 to 14 bits, beyond any Golay search of affordable size); all are verified on the
+    sets.  A crowded key links its members to one of 17 members instead of making all pairs.
+    """
+    small_batches(df.sparkSession)
+    raw = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(raw).alias("r1"), F.xxhash64(F.lit(7), raw).alias("r2"), raw.alias("text"))
+
+    def key_of(text: bytes) -> tuple[int, int]:
+        d = xxhash.xxh3_128_digest(b" ".join(text.lower().split()))
+        return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t, keys = [], []
+            for x in b.column(3).cast(pa.binary()):
+                text = x.as_py()
+                t.append(key_of(text))
+                h = shingle_hashes(text, size)
+                golay = golay_keys(np.array([simhash(h)]))[0] | (np.int64(1) << 62)
+                keys.append(np.concatenate([golay, band_keys(np.unique(h))]) if len(h) else golay[:1])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([k[0] for k in t], pa.int64()), pa.array([k[1] for k in t], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "r1", "r2", "t1", "t2", "keys"])
+
+    signed = cut(docs.mapInArrow(sign, "doc_id long, r1 long, r2 long, t1 long, t2 long, keys array<long>"), "signatures")
+    nodes = signed.groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "r1", "r2")).alias("best"), F.min("keys").alias("keys"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+
+    keyed = nodes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
+    shared = cut(keyed.join(counts, "key"), "near-keys")
+    few = shared.filter(F.col("n") <= bucket_max)
+    pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").filter("a < b").select("a", "b")
+    many = shared.filter(F.col("n") > bucket_max).withColumn("salt", F.pmod("node", F.lit(16)))
+    hubs = many.groupBy("key", "salt").agg(F.min("node").alias("sub"))
+    spokes = many.join(hubs, ["key", "salt"])
+    stars = spokes.select("hub", "node").union(spokes.select("sub", "node")).union(spokes.select("hub", "sub")).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+    pairs = cut(pairs.union(stars.filter("a <> b")).distinct(), "near-candidates")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for b in batches:
+            keys, bodies = [], []
+            for x in b.column(0).cast(pa.binary()):
+                if (k := key_of(text := x.as_py())) not in seen:
+                    seen.add(k)
+                    keys.append(k)
+                    bodies.append(np.unique(shingle_hashes(text, size).astype(np.uint32)).tobytes())
+            yield pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)], pa.array(bodies, pa.binary())], ["t1", "t2", "body"])
+
+    asked = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node").join(nodes.select("node", "t1", "t2"), "node")
+    bodies = docs.select("text").mapInArrow(sets, "t1 long, t2 long, body binary").join(asked, ["t1", "t2"]).dropDuplicates(["t1", "t2"]).select("node", "body")
+    bodies = cut(bodies, "near-sets")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(same >= similarity * (len(x) + len(y) - same) - 1e-9)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+
+    with_a = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a")
+    both = with_a.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b").select("a", "b", "x", "y")
+    links = both.mapInArrow(verify, "a long, b long")
+    grouped = nodes.select("node", "t1", "t2", "best").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    leaders = grouped.groupBy("root").agg(F.min("best").alias("leader"))
+    return grouped.join(leaders, "root").select("t1", "t2", "best", "leader")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """df with one document of each near-duplicate group: the one with the smallest id."""
+    leaders = near_duplicates(df, id_col, text_col, **how).select("leader").distinct().select(F.col("leader.doc_id").alias("l_doc"), F.col("leader.r1").alias("l1"), F.col("leader.r2").alias("l2"))
+    raw = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = df.select(packed(df).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(raw).alias("r1"), F.xxhash64(F.lit(7), raw).alias("r2"))
+    kept = rows.join(leaders, (F.col("r1") == F.col("l1")) & (F.col("r2") == F.col("l2")) & F.col("id").eqNullSafe(F.col("l_doc")), "left_semi")
+    return kept.dropDuplicates(["r1", "r2", "id"]).select("row.*")
