@@ -1 +1 @@
-"""Notice scanning on Spark."""
+"""Ownership and license notices in text collections, found and judged with Spark DataFrames."""
