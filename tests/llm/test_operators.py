@@ -1,0 +1,436 @@
+"""Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import string
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from attestry.llm import decontam, license_scan, line_dedup, lm_score, mixing, pii, quality, simhash, suffix_dedup, toxicity
+
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+BLANK = " \t\n\x0b\x0c\r"
+
+
+def prose(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" + ("\n" if rng.random() < 0.1 else "") for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Ordinary texts, copies, near copies, shared lines and passages, and every odd case."""
+    r = random.Random(4)
+    texts = [prose(r, r.randrange(20, 300)) for _ in range(40)]
+    texts += [texts[0]] * 3 + [texts[1].replace("w7", "w8"), texts[2] + " end", texts[2].upper()]
+    shared = "This very line is shared by many documents, word for word."
+    passage = prose(r, 120)
+    texts += [f"{prose(r, 30)}\n  {shared}\t\n{prose(r, 30)}\n{passage}\n{shared.upper()}" for _ in range(8)]
+    texts += [passage + passage, "é" * 500, "a" * 2000, "ab" * 700, (shared + "\n") * 7]
+    texts += [None, "", "", " \t\n", "one", "one two", "\n\n", prose(r, 6000), "x" * 399, "x" * 400, "\x00" * 401 + "tail"]
+    out = [(i, t) for i, t in enumerate(texts)]
+    return [*out, (3, texts[3]), (3, texts[3]), (5, "other text under a used number"), (None, texts[4]), (None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    clash = [(i, t, "a", 1, "z", 5) for i, t in rows]
+    return spark.createDataFrame(clash, "doc_id long, text string, source string, pos int, row string, n int")
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], "doc_id long, text string, source string, pos int, row string, n int")
+
+
+def test_line_dedup(spark, docs, rows, none):
+    for how in ({}, {"hot_least": 1}):  # with and without pre-aggregated keys
+        got = collections.Counter((r["row"]["doc_id"], r["row"]["text"], r["kept_text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(docs, **how).collect())
+        holders = collections.defaultdict(set)
+        key = lambda line: line.strip(BLANK).translate(LOWER)
+        for i, t in set(rows):
+            for line in (t or "").split("\n"):
+                if len(key(line)) >= 40:
+                    holders[key(line)].add((i, t))
+        want = collections.Counter()
+        rank = lambda i: -1 if i is None else i
+        for i, t in rows:
+            lines = (t or "").split("\n")
+            keep = [x for x in lines if len(holders.get(key(x), ())) < 5 or rank(i) == max(rank(d) for d, _ in holders[key(x)])]
+            want[(i, t, "\n".join(keep), len(lines), len(lines) - len(keep))] += 1
+        assert got == want
+    assert line_dedup.dedup_lines(none).count() == 0
+    assert line_dedup.strip_lines(docs).columns == docs.columns
+
+
+def test_bitmap_runs(spark):
+    d = spark.createDataFrame([(1, 0, p) for p in (0, 1, 4, 9, 8)], "doc_id long, rid long, pos int")
+    r = line_dedup.drop_bitmaps(d).first()
+    assert [tuple(x) for x in r["runs"]] == [(0, 1), (4, 4), (8, 9)] and r["n_dropped"] == 5
+
+
+def brute_components(fps, most):
+    parent = list(range(len(fps)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in range(len(fps)):
+        for b in range(a):
+            if bin(fps[a] ^ fps[b]).count("1") <= most:
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(a) for a in range(len(fps))]
+
+
+def brute_fingerprint(text, size=3):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    s = [" ".join(w[i : i + size]) for i in range(len(w) - size + 1)] if len(w) >= size else ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_groups(spark, docs, rows, none):
+    got = collections.Counter((r["doc_id"], r["fp"] & (2**64 - 1), r["component_id"]) for r in simhash.groups(docs).collect())
+    fps = [brute_fingerprint(t) for _, t in rows]
+    comp = brute_components(fps, 2)
+    least = {}
+    for c, (i, _) in zip(comp, rows):
+        least[c] = i if least.get(c) is None else least[c] if i is None else min(i, least[c])
+    assert got == collections.Counter((i, f, least[c]) for (i, _), f, c in zip(rows, fps, comp))
+    assert simhash.groups(none).count() == 0
+
+
+@pytest.mark.parametrize("bucket_max", [64, 1])
+def test_links_of_a_crowd(spark, bucket_max):
+    """Values around one centre and chains; crowded keys must give the same components as pairs."""
+    r = random.Random(1)
+    centre = r.getrandbits(64)
+    fps = {centre ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for _ in range(150)} | {r.getrandbits(64) for _ in range(50)}
+    x = r.getrandbits(64)
+    for _ in range(30):
+        x ^= (1 << r.randrange(64)) ^ (1 << r.randrange(64))
+        fps.add(x)
+    fps = sorted(fps)
+    signed = [f - (f >> 63 << 64) for f in fps]
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp long"), bucket_max)).collect()}
+    comp = brute_components(fps, 2)
+    same = collections.defaultdict(set)
+    for c, f in zip(comp, signed):
+        same[c].add(roots.get(f, f))
+    assert all(len(v) == 1 for v in same.values()) and len({min(v) for v in same.values()}) == len(set(comp))
+
+
+def test_golay_keys_meet():
+    r = np.random.default_rng(0)
+    a = r.integers(-(2**63), 2**63, 5000)
+    b = (a.view(np.uint64) ^ (np.uint64(1) << r.integers(0, 64, 5000).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 5000).astype(np.uint64))).view(np.int64)
+    keys = collections.defaultdict(set)
+    for k, i in zip(*simhash.golay_keys(a)):
+        keys[i].add(k)
+    met = {i for k, i in zip(*simhash.golay_keys(b)) if k in keys[i]}
+    assert len(met) == 5000 and max(map(len, keys.values())) <= 18
+
+
+def test_keep_one(spark, rows, docs, none):
+    def shingled(t):
+        w = (t or "").translate(LOWER).split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    s = [shingled(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            n = len(s[a] & s[b])
+            if n >= 0.8 * (len(s[a]) + len(s[b]) - n):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = simhash.keep_one(docs).collect()
+    index = {(i, t): k for k, (i, t) in enumerate(rows)}
+    groups = [find(index[(r["doc_id"], r["text"])]) for r in got]
+    assert len(groups) == len(set(groups)) == len({find(a) for a in range(len(rows))})
+    assert simhash.keep_one(none).count() == 0
+
+
+def test_license_scan(spark, docs, none):
+    texts = [
+        (1, "See: CC-BY and cc by cc, all rights reserved"), (2, "Licensed under the Apache License, Version 2.0"), (3, "the license apache under"), (4, None), (5, ""),
+        (6, "x " * 300 + "Permission is hereby granted free of charge to any person who gets a copy of this software and associated documentation files to deal in the software without restriction" + " y" * 300),
+        (7, "ünder GENERAL\npublic: license"), (8, "cc " * 5 + "by"),
+    ]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+
+    def brute(t):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+        places = {p: [i for i in range(len(w)) if w[i : i + len(p.split())] == p.split()] for p in license_scan.PHRASES}
+        every = [i for x in places.values() for i in x]
+        return len(w), len(every), min(every, default=None), max(every, default=None), ",".join(sorted(license_scan.PHRASES[p] for p, x in places.items() if x))
+
+    for i, t in texts:
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute(t)
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    assert got[2]["labels"] == "apache-2.0" and got[3]["labels"] == "" and got[6]["labels"] == "mit" and got[4]["score"] == 0
+    assert license_scan.scan(docs).count() == docs.count() and license_scan.scan(none).count() == 0
+
+
+def test_set_join_filters_lose_nothing():
+    r = random.Random(3)
+    t = license_scan.Template("t", " ".join(f"v{i}" for i in range(12)))
+    for _ in range(300):
+        w = [f"v{r.randrange(16)}".encode() for _ in range(r.randrange(0, 60))]
+        freq = {f"v{i}".encode(): r.randrange(5) for i in range(12)}
+        e = license_scan.indexed((t,), freq)[0]
+        at = collections.defaultdict(list)
+        for i, x in enumerate(w):
+            at[x].append(i)
+        best = max((len(set(w[k * e.length : k * e.length + 2 * e.length]) & set(e.ordered)) for k in range(len(w) // e.length + 1)), default=0)
+        assert license_scan.blocks_held(w, at, e) == (best / len(e.ordered) if best >= e.need else 0)
+
+
+def test_pii_base_against_regex(spark, docs, none):
+    r = random.Random(5)
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip, card, phone = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+    def brute(t):
+        digits = lambda m: re.sub("[^0-9]", "", m[0])
+        out = [("email", m.start(), m.end()) for m in email.finditer(t)]
+        out += [("ip", m.start(), m.end()) for m in ip.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+        out += [("card", m.start(), m.end()) for m in card.finditer(t) if 16 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+        return out + [("phone", m.start(), m.end()) for m in phone.finditer(t) if 8 <= len(digits(m)) <= 15]
+
+    for _ in range(3000):
+        t = "".join(r.choice("a.@b-%+1 (203)4\n") for _ in range(r.randrange(60)))
+        assert sorted(map(tuple, pii.detect(t))) == sorted(brute(t))
+    t = "pay 4539 1488 0343 6467 or mail a.b@c.example.org, call +1 (415) 555-0100 from 10.0.0.255"
+    assert [s.kind for s in pii.detect(t)] == ["email", "ip", "card", "phone"]
+    out = pii.digest(docs)
+    assert out.count() == docs.count() and pii.digest(none).count() == 0
+    empty = out.filter("doc_id is null and base_sha256 = sha2('', 256)").count()
+    assert empty >= 1
+
+
+@pytest.mark.parametrize(
+    ("text", "hidden"),
+    [
+        ("write to john.doe (at) example (dot) com today", "john.doe (at) example (dot) com"), ("reach jane at example dot org now", "jane at example dot org"), ("call plus one five five five two three four nine eight seven six ok", "plus one five five five two three four nine eight seven six"),
+        ("４１１１ 1111 1111 1111", "４１１１ 1111 1111 1111"), ("аdmin@exаmple.com", "аdmin@exаmple.com"), ("we looked at the house", None), ("one two three", None),
+    ],
+)
+def test_pii_disguises(text, hidden):
+    found = pii.disguised(text, pii.detect(text))
+    assert [text[s.start : s.end] for s in found] == ([hidden] if hidden else [])
+
+
+def test_toxicity(spark, docs, none):
+    r = random.Random(6)
+    bad = ["blargface", "numskullery"]
+    data, labels = [], []
+    for i in range(900):
+        toxic = i % 4 == 0
+        w = prose(r, 30).split()
+        if toxic:
+            w.insert(r.randrange(30), r.choice(bad) if i % 8 else "snork" + r.choice("abcdefghijk") + r.choice("xyz"))
+        data.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    data += [(1000, "you blargfase"), (1001, None), (1002, ""), (None, "x"), (1000, "you blargfase")]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    lab = spark.createDataFrame([*labels, (None, 1), (1, None)], "doc_id long, toxic int")
+    got = toxicity.scores(d, lab).collect()
+    assert len(got) == len(data)
+    held = [x for x in got if x["held_out"] and x["doc_id"] is not None and x["doc_id"] < 900]
+    assert sum(x["predicted"] == (x["doc_id"] % 4 == 0) for x in held) >= 0.95 * len(held)
+    by = {x["doc_id"]: x for x in got}
+    assert all(x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0) for x in got if x["doc_id"] is not None)
+    assert by[1000]["score"] > by[1001]["score"] == by[1002]["score"] >= 0
+    assert {x["score"] for x in toxicity.scores(docs, lab.filter("doc_id < 0")).collect()} == {0.0}
+    assert toxicity.scores(none, lab).count() == 0
+
+
+def test_automaton_is_edit_distance():
+    from attestry.plans.catalog import edit_distance
+
+    r = random.Random(7)
+    terms = ["".join(r.choice("abc") for _ in range(r.randrange(1, 7))) for _ in range(12)]
+    trie = toxicity.Trie(terms)
+    for _ in range(2000):
+        t = "".join(r.choice("abc") for _ in range(r.randrange(0, 8)))
+        for most in (0, 1, 2):
+            assert (trie.within(t, most) is not None) == any(edit_distance(t, x) <= most for x in terms)
+    lex = toxicity.Lexicon(frozenset(), frozenset(), ("moron", "scumbag"))
+    assert lex.kind("morron") == 2 and lex.kind("scunbag") == 2 and lex.kind("moon") == 2 and lex.kind("lemon") == 0
+
+
+def test_quality(spark, docs, rows, none):
+    got = collections.Counter(tuple(r) for r in quality.measures(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect())
+    want = collections.Counter()
+    for i, t in rows:
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        grams = collections.Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        covered = {k + j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        want[(i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w))] += 1
+    assert got == want
+    names = list(quality.rules(docs["text"], docs["text"]))
+    order = quality.measured_order(docs)
+    assert sorted(order) == sorted(names)
+    kept = lambda o: {(r["row"]["doc_id"], r["row"]["text"]) for r in quality.with_words(docs, "text").select("row", quality.verdict(o, quality.rules(F.col("text"), F.col("w"))).alias("kept")).filter("kept").collect()}
+    assert kept(order) == kept(names[::-1])
+    assert quality.measures(none).count() == 0 and quality.keep_good(docs).columns == docs.columns
+
+
+@pytest.mark.parametrize("bucket_max", [2048, 1])
+def test_suffix_dedup(spark, docs, rows, none, bucket_max):
+    n = 400
+    count = collections.Counter()
+    for _, t in rows:
+        b = (t or "").encode()
+        count.update(b[p : p + n] for p in range(len(b) - n + 1))
+    want = collections.Counter()
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b) + 1, int)
+        for p in range(len(b) - n + 1):
+            if count[b[p : p + n]] > 1:
+                gone[p] += 1
+                gone[p + n] -= 1
+        c = np.cumsum(gone)[:-1] > 0
+        spans = int((np.diff(np.concatenate([[0], c.astype(int)])) == 1).sum())
+        want[(i, len(b), int(c.sum()), spans, hashlib.sha256(bytes(x for x, y in zip(b, c) if not y)).hexdigest())] += 1
+    got = suffix_dedup.removals(docs, bucket_max=bucket_max)
+    assert collections.Counter(tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()) == want
+    if bucket_max > 1:
+        assert suffix_dedup.removals(none).count() == 0
+
+
+def test_tied_offsets_match_brute_force():
+    r = random.Random(8)
+    for n in (3, 12):
+        for _ in range(30):
+            length, texts = 20, [bytes(r.choice(b"ab") for _ in range(60)) for _ in range(n)]
+            texts[1] = texts[0][:35] + texts[1][35:]
+            pos, lo, hi = 25, [0] * n, [15] * n
+            got = suffix_dedup.tied_offsets([t[pos - 15 : pos][::-1] for t in texts], [t[pos : pos + length] for t in texts], lo, hi, length)
+            for x in range(n):
+                want = {o for o in range(16) if any(y != x and texts[y][pos - o : pos - o + length] == texts[x][pos - o : pos - o + length] for y in range(n))}
+                assert {o for a, b in got[x] for o in range(a, b + 1)} == want
+
+
+@pytest.mark.parametrize("frequent", [100_000, 50])
+def test_lm_counts(spark, docs, rows, none, frequent):
+    s = lm_score.Settings(frequent=frequent, vocabulary=64, class_size=8, width=8, streams=4, window=8, warm_docs=20)
+    tok = lambda t: [*(t or "").encode().lower().split(), b" "]
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    c = collections.Counter(x for i, t in rows if not held(i) for x in tok(t))
+    n, v = sum(c.values()), len(c)
+    out = lm_score.scores(docs, settings=s).collect()
+    got = collections.Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in out)
+    want = collections.Counter((i, held(i), len(tok(t)), sum(c[x] > 0 for x in tok(t)), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in tok(t)), 4)) for i, t in rows)
+    assert got == want and all(math.isfinite(r["score"]) and r["score"] < 0 for r in out)
+    if frequent > 50:
+        assert lm_score.scores(none, settings=s).count() == 0
+
+
+def test_lm_net():
+    """Gradients agree with differences; windows with carried state give the same likelihood as one pass; training helps."""
+    s = lm_score.Settings(vocabulary=30, class_size=6, width=5, streams=3, window=6)
+    net = lm_score.Net(20, s)
+    net.p = [x.astype(np.float64) for x in net.p]
+    r = np.random.default_rng(0)
+    inputs, targets = r.integers(0, 20, (6, 3)), r.integers(0, 20, (6, 3))
+    inputs[3, 1] = 1
+    h = r.standard_normal((3, 5))
+    g, _, _ = net.gradients(inputs, targets, h, 1)
+    for k in (0, 1, 2, 3, 4, 6):
+        at = tuple(r.integers(0, d) for d in net.p[k].shape)
+        kept = net.p[k][at]
+        loss = []
+        for e in (1e-5, -1e-5):
+            net.p[k][at] = kept + e
+            loss.append(net.gradients(inputs, targets, h, 1)[2])
+        net.p[k][at] = kept
+        assert abs((loss[0] - loss[1]) / 2e-5 - g[k][at]) < 2e-4
+    net = lm_score.Net(20, s)
+    docs = [np.concatenate([r.integers(2, 20, k), [1]]) for k in (3, 40, 17)]
+    assert np.allclose(lm_score.document_log_probs(net, docs, 1, 7), lm_score.document_log_probs(net, docs, 1, 1000), atol=1e-4)
+    total = sum(np.exp(net.log_prob(np.ones((1, 5), np.float32), np.array([k])))[0] for k in range(20))
+    assert abs(total - 1) < 1e-4
+    cycle = [np.array([*([2, 3, 4, 5] * 10), 1]) for _ in range(60)]
+    before = lm_score.document_log_probs(net, cycle[:1], 1)[0]
+    lm_score.train(net, iter(cycle * 4), s, 1, 0.1)
+    assert lm_score.document_log_probs(net, cycle[:1], 1)[0] > before + 30
+
+
+def test_decontamination(spark, docs, rows, none):
+    r = random.Random(9)
+    items = [(k, " ".join(f"b{k}x{j}" if j % 3 else f"w{r.randrange(400)}" for j in range(30))) for k in range(12)]
+    bench = spark.createDataFrame([*items, (90, None), (91, ""), (92, "too short"), (3, items[3][1])], "item_id long, text string")
+    planted, want = [], set()
+    for k, (_, t) in enumerate(items):
+        w = t.split()
+        for j in range(0, 30, 9):
+            if k % 2:
+                w[j] = "edited"
+        planted.append((2000 + k, f"{prose(r, 40)} {' '.join(w)} {prose(r, 40)}"))
+        want.add((2000 + k, k))
+    planted.append((3000, prose(r, 60) + " " + " ".join(items[0][1].split()[:6])))
+    d = spark.createDataFrame([*rows, *planted], "doc_id long, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in decontam.copies(d, bench).collect()} == want
+    assert {(x["doc_id"], x["item_id"]) for x in decontam.copies(d, bench, settings=decontam.Settings(block_bytes=300)).collect()} == want
+    kept = decontam.keep_clean(docs.withColumnRenamed("row", "hits"), bench)
+    assert kept.count() == docs.count() and "hits" in kept.columns
+    assert decontam.copies(none, bench).count() == 0 and decontam.copies(d, bench.filter("item_id > 89")).count() == 0
+
+
+def test_alignment_is_smith_waterman():
+    r = random.Random(10)
+    for _ in range(200):
+        a, b = [np.array([r.randrange(4) for _ in range(r.randrange(1, 9))]) for _ in range(2)]
+        h = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                h[i, j] = max(0, h[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+        assert decontam.align(a, b)[0] == h.max()
+
+
+def test_mixing(spark, none):
+    weights = {"a": 5, "b": 3, "c": 1}
+    data = [(i, s, "t") for s, n in (("a", 230), ("b", 90), ("c", 160), ("d", 21), (None, 30)) for i in range(n)]
+    d = spark.createDataFrame(data + [(1, "a", "t")] * 3, "doc_id long, source string, slot string")
+    out = mixing.positions(d, weights, 1, 4).collect()
+    assert len(out) == len(data) + 3 and len({r["position"] for r in out}) == len(out)
+    slots = {}
+    for r in out:
+        assert r["released"] <= r["slot"] < r["deadline"]
+        slots.setdefault(r["slot"], set()).add((r["stream"], r["block"]))
+    assert sorted(slots) == list(range(len(slots))) and all(len(v) == 1 for v in slots.values())
+    order = [next(iter(slots[t]))[0] for t in sorted(slots)]
+    share = {"=a": 5, "=b": 3, "=c": 1, "rest": 1}
+    left = collections.Counter(order)
+    done, since = collections.Counter(), 0
+    for t, s in enumerate(order):
+        active = {k: v for k, v in share.items() if left[k]}
+        done[s] += 1
+        for k, v in active.items():
+            assert abs(done[k] - (t + 1 - since) * v / sum(active.values())) < 1
+        left[s] -= 1
+        if not left[s]:
+            done, since = collections.Counter(), t + 1
+    many = {r["row"]["doc_id"]: r["position"] for r in mixing.positions(d.filter("source = 'b'"), weights, 1, 4).collect()}
+    few = {r["row"]["doc_id"]: r["position"] for r in mixing.positions(d.filter("source = 'b'"), weights, 1, 4, bucket_rows=2).collect()}
+    assert many == few
+    assert mixing.positions(none, weights).count() == 0 and mixing.mix(d, weights).columns == ["doc_id", "source", "slot", "position"]
