@@ -74,7 +74,7 @@ def embedded(p: str) -> str:
 
 #: Words that hint at an unknown license or contract.
 CONTRACT_WORDS = (
-    r"agreement", r"amendment", r"contract(?:or|ual)?s?", r"licen[sc]e[edrs]{0,2}", r"licensing", r"sub-?licen[sc]e", r"without (?:any )?warrant(?:y|ies)", r"warrant(?:y|ies)", r"liabilit(?:y|ies)", r"liable", r"indemnif(?:y|ication)",
+    r"no copyright(?:able)?", r"agreement", r"amendment", r"contract(?:or|ual)?s?", r"licen[sc]e[edrs]{0,2}", r"licensing", r"sub-?licen[sc]e", r"without (?:any )?warrant(?:y|ies)", r"warrant(?:y|ies)", r"liabilit(?:y|ies)", r"liable", r"indemnif(?:y|ication)",
     r"patents?", r"trademarks?", r"royalt(?:y|ies)(?:-free)?", r"jurisdiction", r"governing law", r"herein(?:after)?", r"hereby", r"thereof", r"derivative works?", r"redistribut(?:e|ed|ion)", r"all rights reserved", r"permission (?:is|to)",
     r"public domain", r"copyright(?:able|ed)?", r"(?:gnu )?(?:\p{L}{1,20} )?public licen[sc]e", r"SPDX-License-Identifier", r"terms (?:and|of)", r"non-?commercial", r"intellectual property", r"proprietary", r"confidential",
 )
