@@ -42,7 +42,7 @@ def occurrences(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
     return keyed.select("doc_id", "rid", "pos", h1.alias("h1"), h2.alias("h2"))
 
 
-def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, hot_share: float = 1 / 1024, hot_least: int = 100_000) -> DataFrame:
+def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, hot_share: float = 1 / 1024, hot_least: int = 4096) -> DataFrame:
     """doc_id, rid, pos of the lines that go."""
     occ = cut(occurrences(df, id_col, text_col, min_chars), "line-occurrences")
     total = occ.count()

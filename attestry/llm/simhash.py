@@ -184,7 +184,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return roots.union(e.select("a", "a").distinct()).toDF("node", "root")
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int, hot_least: int = 100_000) -> DataFrame:
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int, hot_least: int = 4096) -> DataFrame:
     """rows joined with facts, which has one row per key and in n the rows of that key.
 
     Keys over 1/1024 of all rows - 1024 at most - are broadcast; the others are shuffled.
