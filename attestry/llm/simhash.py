@@ -269,13 +269,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = nodes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
     shared = cut(keyed.join(counts, "key"), "near-keys")
-    few = shared.filter(F.col("n") <= bucket_max)
-    pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").filter("a < b").select("a", "b")
-    many = shared.filter(F.col("n") > bucket_max).withColumn("salt", F.pmod("node", F.lit(16)))
-    hubs = many.groupBy("key", "salt").agg(F.min("node").alias("sub"))
-    spokes = many.join(hubs, ["key", "salt"])
-    stars = spokes.select("hub", "node").union(spokes.select("sub", "node")).union(spokes.select("hub", "sub")).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-    pairs = cut(pairs.union(stars.filter("a <> b")).distinct(), "near-candidates")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -288,7 +281,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     bodies.append(np.unique(shingle_hashes(text, size).astype(np.uint32)).tobytes())
             yield pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)], pa.array(bodies, pa.binary())], ["t1", "t2", "body"])
 
-    asked = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node").join(nodes.select("node", "t1", "t2"), "node")
+    asked = shared.select("node").distinct().join(nodes.select("node", "t1", "t2"), "node")
     bodies = docs.select("text").mapInArrow(sets, "t1 long, t2 long, body binary").join(asked, ["t1", "t2"]).dropDuplicates(["t1", "t2"]).select("node", "body")
     bodies = cut(bodies, "near-sets")
 
@@ -302,10 +295,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
-    with_a = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a")
-    both = with_a.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b").select("a", "b", "x", "y")
-    links = both.mapInArrow(verify, "a long, b long")
-    grouped = nodes.select("node", "t1", "t2", "best").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        with_a = pairs.distinct().join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a")
+        both = with_a.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b").select("a", "b", "x", "y")
+        return cut(both.mapInArrow(verify, "a long, b long"), "near-links")
+
+    # first each text with one member of its largest key; then only pairs that this has not already put together
+    largest = shared.groupBy("node").agg(F.max_by("hub", "n").alias("hub")).filter("hub <> node")
+    links = verified(largest.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")))
+    parts = components(links)
+    placed = shared.join(parts, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+    placed = placed.join(placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key"), "key")
+    placed = cut(placed, "near-keys-left")
+    few = placed.filter(F.col("n") <= bucket_max)
+    other = few.select("key", F.col("node").alias("b"), F.col("part").alias("q"))
+    pairs = few.select("key", F.col("node").alias("a"), "part").join(other, "key").filter("a < b and part <> q").select("a", "b")
+    many = placed.filter(F.col("n") > bucket_max).withColumn("salt", F.pmod("node", F.lit(16)))
+    hubs = many.groupBy("key", "salt").agg(F.min(F.struct("node", "part")).alias("sub"))
+    tops = many.groupBy("key").agg(F.min(F.struct("node", "part")).alias("top"))
+    spokes = many.join(hubs, ["key", "salt"]).join(tops, "key")
+    stars = spokes.filter("sub.part <> part").select(F.col("sub.node").alias("u"), F.col("node").alias("v")).union(spokes.filter("top.part <> part").select(F.col("top.node").alias("u"), F.col("node").alias("v")))
+    more = verified(pairs.union(stars.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))))
+    grouped = nodes.select("node", "t1", "t2", "best").join(components(links.union(more)), "node", "left").withColumn("root", F.coalesce("root", "node"))
     leaders = grouped.groupBy("root").agg(F.min("best").alias("leader"))
     return grouped.join(leaders, "root").select("t1", "t2", "best", "leader")
 
