@@ -21,6 +21,7 @@ REGEX_LISTS = ("alwaysReviewPath", "alwaysReview", "matchProjects", "excludeProj
 DEFAULT_LABEL, DEFAULT_TIME_MAX = "Copyright-Review", 8
 #: Seconds from which a probe is possibly okay, a possible problem, very likely one, and far too long.
 TIERS = ((60.0, "way too long"), (10.0, "very likely a problem"), (2.0, "possible problem"), (1.0, "possibly okay"), (0.0, "okay"))
+#: Fixed value: the form of a token.
 TOKEN = re.compile(r"Copyright-check: ([0-9a-fA-F]+)\.([0-9a-fA-F]{16})")
 
 
@@ -190,10 +191,16 @@ def read_tokens(commit_message: str, signature: str) -> list[int]:
     out = []
     for m in TOKEN.finditer(commit_message):
         micros = int(m[1], 16)
-        out.append(micros if token(micros, signature).lower() == m[0].lower().replace("copyright-check", "copyright-check") else -1)
+        out.append(micros if token(micros, signature).lower() == m[0].lower() else -1)
     return out
 
 
+def token_places(commit_message: str) -> list[tuple[int, int, int, int]]:
+    """Start line and column, end line and column of each token; lines from 1, columns from 0."""
+    at = lambda i: (1 + commit_message.count("\n", 0, i), i - (commit_message.rfind("\n", 0, i) + 1))
+    return [(*at(m.start()), *at(m.end())) for m in TOKEN.finditer(commit_message)]
+
+
 def must_report(found: list[int], time_max: int) -> bool:
     """Unless there is exactly one valid token within the limit."""
     return time_max > 0 and not (len(found) == 1 and 0 <= found[0] <= time_max * 1_000_000)
