@@ -241,7 +241,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Texts are near-duplicates if the sets of their shingles have a Jaccard similarity of `similarity` or more; groups are
     the components.  Candidates share a Golay key of their fingerprints or a band of min-wise hashes (fingerprints of
     texts at similarity 0.8 differ in 6 to 14 bits, beyond any Golay search of affordable size); all are verified on the
-    sets.  A crowded key links its members to one of 17 members instead of making all pairs.
+    sets.  Pairs within a component are not needed: each text is first verified with one member of its largest key, then
+    members of small keys in pairs and those of crowded keys with 17 of them, and at last, whatever crowded keys still
+    hold of different components, every text outside a key's largest component with all members of the others.
     """
     small_batches(df.sparkSession)
     raw = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -300,13 +302,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         both = with_a.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b").select("a", "b", "x", "y")
         return cut(both.mapInArrow(verify, "a long, b long"), "near-links")
 
-    # first each text with one member of its largest key; then only pairs that this has not already put together
+    def apart(members: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """Members of keys whose members are not all in one component yet, with their component."""
+        placed = members.join(components(links), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+        mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
+        return cut(placed.join(mixed, "key"), name)
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+
+    # each text with one member of its largest key
     largest = shared.groupBy("node").agg(F.max_by("hub", "n").alias("hub")).filter("hub <> node")
-    links = verified(largest.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")))
-    parts = components(links)
-    placed = shared.join(parts, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
-    placed = placed.join(placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key"), "key")
-    placed = cut(placed, "near-keys-left")
+    links = verified(ordered(largest.select(F.col("hub").alias("u"), F.col("node").alias("v"))))
+
+    # small keys in pairs, crowded ones with 17 members
+    placed = apart(shared, links, "near-keys-left")
     few = placed.filter(F.col("n") <= bucket_max)
     other = few.select("key", F.col("node").alias("b"), F.col("part").alias("q"))
     pairs = few.select("key", F.col("node").alias("a"), "part").join(other, "key").filter("a < b and part <> q").select("a", "b")
@@ -315,8 +325,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tops = many.groupBy("key").agg(F.min(F.struct("node", "part")).alias("top"))
     spokes = many.join(hubs, ["key", "salt"]).join(tops, "key")
     stars = spokes.filter("sub.part <> part").select(F.col("sub.node").alias("u"), F.col("node").alias("v")).union(spokes.filter("top.part <> part").select(F.col("top.node").alias("u"), F.col("node").alias("v")))
-    more = verified(pairs.union(stars.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))))
-    grouped = nodes.select("node", "t1", "t2", "best").join(components(links.union(more)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    links = cut(links.union(verified(pairs.union(ordered(stars)))), "near-links")
+
+    # crowded keys that still hold several components: all pairs of texts in different ones, by way of those outside the largest
+    rest = apart(many.select("key", "node"), links, "near-keys-apart")
+    sizes = rest.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+    members = rest.join(bodies.select("node", (F.octet_length("body") / 4).cast("long").alias("size")), "node")
+    outside = members.join(sizes, "key").filter("part <> main").select("key", F.col("node").alias("u"), F.col("part").alias("p"), F.col("size").alias("m"), "main")
+    close = (F.col("part") != F.col("p")) & ((F.col("part") == F.col("main")) | (F.col("u") < F.col("node"))) & (F.least("size", "m") >= similarity * F.greatest("size", "m") - 1e-9)
+    links = links.union(verified(ordered(outside.join(members, "key").filter(close).select("u", F.col("node").alias("v")))))
+    grouped = nodes.select("node", "t1", "t2", "best").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     leaders = grouped.groupBy("root").agg(F.min("best").alias("leader"))
     return grouped.join(leaders, "root").select("t1", "t2", "best", "leader")
 

@@ -164,6 +164,29 @@ def test_keep_one(spark, rows, docs, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_in_a_crowd(spark):
+    """Chains of edits share crowded keys; whatever the size from which a key is crowded, the groups are those of all pairs."""
+    r = random.Random(9)
+    texts = []
+    for _ in range(3):
+        w = ["".join(r.choice("abcdef") for _ in range(6)) for _ in range(150)]
+        for k in range(60):
+            w[(k * 11) % 150] = f"new{k}"
+            texts.append(" ".join(w))
+    r.shuffle(texts)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            same = len(sets[a] & sets[b])
+            if group[a] != group[b] and same >= 0.8 * (len(sets[a]) + len(sets[b]) - same):
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for bucket_max in (1, 1000):
+        assert {x["doc_id"] for x in simhash.keep_one(df, bucket_max=bucket_max).collect()} == set(group)
+
+
 def test_license_scan(spark, docs, none):
     texts = [
         (1, "See: CC-BY and cc by cc, all rights reserved"), (2, "Licensed under the Apache License, Version 2.0"), (3, "the license apache under"), (4, None), (5, ""),
