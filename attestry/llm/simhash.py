@@ -28,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, packed, small_batches
@@ -242,8 +242,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the components.  Candidates share a Golay key of their fingerprints or a band of min-wise hashes (fingerprints of
     texts at similarity 0.8 differ in 6 to 14 bits, beyond any Golay search of affordable size); all are verified on the
     sets.  Pairs within a component are not needed: each text is first verified with one member of its largest key, then
-    members of small keys in pairs and those of crowded keys with 17 of them, and at last, whatever crowded keys still
-    hold of different components, every text outside a key's largest component with all members of the others.
+    members of small keys in pairs and those of crowded keys with 17 of them.  Texts whose crowded keys then still hold
+    different components are joined exactly: their shingles are ordered by frequency, texts in different components that
+    share one of the first (prefix filter) and can reach the similarity (sizes and positions) are verified.
     """
     small_batches(df.sparkSession)
     raw = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -269,7 +270,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
     keyed = nodes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = cut(keyed.join(counts, "key"), "near-keys")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,8 +312,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
 
-    # each text with one member of its largest key
-    largest = shared.groupBy("node").agg(F.max_by("hub", "n").alias("hub")).filter("hub <> node")
+    # each text with the most central member of its largest key: the one whose keys hold most texts
+    weights = shared.groupBy("node").agg(F.max_by("key", "n").alias("key"), F.sum("n").alias("weight"))
+    hubs = shared.join(weights.select("node", "weight"), "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
+    largest = weights.join(hubs, "key").filter("hub <> node")
     links = verified(ordered(largest.select(F.col("hub").alias("u"), F.col("node").alias("v"))))
 
     # small keys in pairs, crowded ones with 17 members
@@ -327,13 +330,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stars = spokes.filter("sub.part <> part").select(F.col("sub.node").alias("u"), F.col("node").alias("v")).union(spokes.filter("top.part <> part").select(F.col("top.node").alias("u"), F.col("node").alias("v")))
     links = cut(links.union(verified(pairs.union(ordered(stars)))), "near-links")
 
-    # crowded keys that still hold several components: all pairs of texts in different ones, by way of those outside the largest
-    rest = apart(many.select("key", "node"), links, "near-keys-apart")
-    sizes = rest.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
-    members = rest.join(bodies.select("node", (F.octet_length("body") / 4).cast("long").alias("size")), "node")
-    outside = members.join(sizes, "key").filter("part <> main").select("key", F.col("node").alias("u"), F.col("part").alias("p"), F.col("size").alias("m"), "main")
-    close = (F.col("part") != F.col("p")) & ((F.col("part") == F.col("main")) | (F.col("u") < F.col("node"))) & (F.least("size", "m") >= similarity * F.greatest("size", "m") - 1e-9)
-    links = links.union(verified(ordered(outside.join(members, "key").filter(close).select("u", F.col("node").alias("v")))))
+    # texts of crowded keys that still hold several components: an exact set-similarity join between the components
+    rest = apart(many.select("key", "node"), links, "near-keys-apart").select("node", "part").distinct()
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, part, body in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                t = np.frombuffer(body, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), k)) for k in (node, part, len(t))] + [pa.array(t)], ["node", "part", "size", "token"])
+
+    tokens = cut(rest.join(bodies, "node").select("node", "part", "body").mapInArrow(spread, "node long, part long, size long, token int"), "near-tokens")
+    held = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("token", "df", F.col("df").alias("n"))
+    ranked = join_facts(tokens, held, "token", "n", tokens.count())
+    own = Window.partitionBy("node")  # the tokens of one text; those that no other component holds stand first
+    at = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token")) - 1
+    heads = cut(ranked.withColumn("at", at).filter(F.col("at") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-9)), "near-heads")
+    sizes = heads.groupBy("token", "part").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    outside = heads.join(sizes, "token").filter("part <> main").select("token", F.col("node").alias("u"), F.col("part").alias("p"), F.col("size").alias("m"), F.col("at").alias("i"), "main")
+    common = F.least("at", "i") + F.least(F.col("size") - F.col("at"), F.col("m") - F.col("i"))  # at most
+    close = (F.col("part") != F.col("p")) & ((F.col("part") == F.col("main")) | (F.col("u") < F.col("node"))) & (common >= similarity * (F.col("size") + F.col("m") - common) - 1e-9)
+    links = links.union(verified(ordered(outside.join(heads, "token").filter(close).select("u", F.col("node").alias("v")))))
     grouped = nodes.select("node", "t1", "t2", "best").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     leaders = grouped.groupBy("root").agg(F.min("best").alias("leader"))
     return grouped.join(leaders, "root").select("t1", "t2", "best", "leader")
