@@ -23,7 +23,7 @@ in its component but never names it; an empty table gives an empty result; only
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -244,7 +244,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets.  Pairs within a component are not needed: each text is first verified with one member of its largest key, then
     members of small keys in pairs and those of crowded keys with 17 of them.  Texts whose crowded keys then still hold
     different components are joined exactly: their shingles are ordered by frequency, texts in different components that
-    share one of the first (prefix filter) and can reach the similarity (sizes and positions) are verified.
+    share one of the first (prefix filter) and can reach the similarity (positions, bitmaps) are verified.
     """
     small_batches(df.sparkSession)
     raw = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -339,15 +339,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 t = np.frombuffer(body, np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), k)) for k in (node, part, len(t))] + [pa.array(t)], ["node", "part", "size", "token"])
 
+    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parity of the tokens at each of 512 bits: two sets differ in as many tokens at least as their bitmaps in bits."""
+        for b in batches:
+            odd = [np.bincount((np.frombuffer(x, np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(23), minlength=512) & 1 for x in b.column(1).to_pylist()]
+            words = np.packbits(np.array(odd, np.uint8).reshape(-1, 512), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(w)) for w in words.T]], ["node", *bits])
+
+    bits = [f"bits{k}" for k in range(8)]
+    maps = rest.join(bodies, "node").select("node", "body").mapInArrow(bitmaps, "node long, " + ", ".join(f"{x} long" for x in bits))
     tokens = cut(rest.join(bodies, "node").select("node", "part", "body").mapInArrow(spread, "node long, part long, size long, token int"), "near-tokens")
     held = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("token", "df", F.col("df").alias("n"))
     ranked = join_facts(tokens, held, "token", "n", tokens.count())
     own = Window.partitionBy("node")  # the tokens of one text; those that no other component holds stand first
     at = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token")) - 1
-    heads = cut(ranked.withColumn("at", at).filter(F.col("at") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-9)), "near-heads")
+    heads = cut(ranked.withColumn("at", at).filter(F.col("at") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-9)).join(maps, "node"), "near-heads")
     sizes = heads.groupBy("token", "part").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    outside = heads.join(sizes, "token").filter("part <> main").select("token", F.col("node").alias("u"), F.col("part").alias("p"), F.col("size").alias("m"), F.col("at").alias("i"), "main")
-    common = F.least("at", "i") + F.least(F.col("size") - F.col("at"), F.col("m") - F.col("i"))  # at most
+    outside = heads.join(sizes, "token").filter("part <> main").select("token", F.col("node").alias("u"), F.col("part").alias("p"), F.col("size").alias("m"), F.col("at").alias("i"), "main", *[F.col(x).alias(f"u_{x}") for x in bits])
+    differ = reduce(Column.__add__, [F.bit_count(F.col(x).bitwiseXOR(F.col(f"u_{x}"))) for x in bits])
+    common = F.least(F.least("at", "i") + F.least(F.col("size") - F.col("at"), F.col("m") - F.col("i")), (F.col("size") + F.col("m") - differ) / 2)  # at most
     close = (F.col("part") != F.col("p")) & ((F.col("part") == F.col("main")) | (F.col("u") < F.col("node"))) & (common >= similarity * (F.col("size") + F.col("m") - common) - 1e-9)
     links = links.union(verified(ordered(outside.join(heads, "token").filter(close).select("u", F.col("node").alias("v")))))
     grouped = nodes.select("node", "t1", "t2", "best").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
