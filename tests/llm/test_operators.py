@@ -419,6 +419,32 @@ def test_decontamination(spark, docs, rows, none):
     assert decontam.copies(none, bench).count() == 0 and decontam.copies(d, bench.filter("item_id > 89")).count() == 0
 
 
+def test_edited_copies_are_found(spark):
+    """Every 4th to 7th word changed, alone and beside an exact copy, and words put in; against aligning everything."""
+    r = random.Random(19)
+    items, texts = [], []
+    for size in (15, 30, 45, 59):
+        for step in (4, 5, 6, 7):
+            for kind in ("alone", "beside", "added"):
+                w = [f"w{r.randrange(400)}" if r.random() < 0.5 else f"i{len(items)}x{j}" for j in range(size)]
+                items.append((len(items), " ".join(w)))
+                edited = [y for j, x in enumerate(w, 1) for y in ((x, "new") if kind == "added" and j % 3 == 0 else ("new",) if kind != "added" and j % step == 0 else (x,))]
+                texts.append(f"{prose(r, 50)} {' '.join(edited)} {prose(r, 50)}")
+                if kind == "beside":
+                    texts.append(f"{prose(r, 20)} {' '.join(w)}")
+    texts.append(" ".join(texts))
+    vocabulary = {}
+    numbers = lambda t: np.array([vocabulary.setdefault(x, len(vocabulary)) for x in license_scan.words(t.encode())])
+    want = set()
+    for d, t in enumerate(texts):
+        ids = numbers(t)
+        want |= {(d, k) for k, x in items if decontam.align(numbers(x), ids)[0] >= max(0.5 * len(x.split()), 8)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontam.copies(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len(want) > len(texts)
+    assert decontam.keep_clean(docs, spark.createDataFrame(items, "item_id long, text string")).count() == len(texts) - len({d for d, _ in want})
+
+
 def test_alignment_is_smith_waterman():
     r = random.Random(10)
     for _ in range(200):
