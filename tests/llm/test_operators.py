@@ -398,6 +398,21 @@ def test_lm_net():
     assert lm_score.document_log_probs(net, cycle[:1], 1)[0] > before + 30
 
 
+def test_lm_replicas_read_whole_documents(spark):
+    """One replica ends where training by hand over all tokens of every document does."""
+    r = random.Random(20)
+    texts = [prose(r, r.randrange(300, 900)) for _ in range(24)]
+    s = lm_score.Settings(vocabulary=64, class_size=8, width=8, streams=1, window=8, warm_docs=2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string").coalesce(1)
+    c = lm_score.gather(lm_score.count_tokens(docs), s)
+    whole = lm_score.fitted(docs, c, s)
+    start = lm_score.Net(whole.n, s)
+    ids = [lm_score.numbered(lm_score.tokens(t.encode()), c) for t in texts]
+    lm_score.train(start, iter(ids[:2]), s, c.end, s.rate)
+    assert lm_score.train(start, iter(ids), s, c.end, s.rate / 4) == sum(map(len, ids))
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(whole.p, start.p, strict=True))
+
+
 def test_decontamination(spark, docs, rows, none):
     r = random.Random(9)
     items = [(k, " ".join(f"b{k}x{j}" if j % 3 else f"w{r.randrange(400)}" for j in range(30))) for k in range(12)]
