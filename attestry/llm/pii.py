@@ -117,6 +117,8 @@ _AT_WORD, _DOT_WORD = r"at|chez|arroba", r"dot|punkt|point|punto"
 _OPEN, _SHUT = r"[\[({<]\x20?", r"\x20?[\])}>]"
 BRACKETED = re.compile(rf"(?i)\x20?{_OPEN}(?:({_AT_WORD}|@)|({_DOT_WORD}|\.)){_SHUT}\x20?")
 PLAIN = re.compile(rf"(?i)(?<=[\w.%+-])\x20(?:{_AT_WORD})\x20(?=[A-Za-z0-9-]{{1,63}}(?:\x20(?:{_DOT_WORD})\x20[A-Za-z0-9-]{{1,63}})+)")
+#: A host joined to a plain or bracketed at: name@host dot org.
+JOINED = re.compile(rf"(?i)@[A-Za-z0-9-]{{1,63}}\x20(?:{_DOT_WORD})\x20(?=[A-Za-z0-9])")
 PLAIN_DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9-])\x20(?:{_DOT_WORD})\x20(?=[A-Za-z0-9])")
 
 
@@ -199,15 +201,21 @@ def at_dot_pass(t: Tape) -> Tape:
     return t
 
 
-#: Without one of these a text cannot change.
 _BRACKET_HINT = re.compile(rf"(?i){_OPEN}(?:{_AT_WORD}|@|{_DOT_WORD}|\.){_SHUT}")
 
 
+def changeable(text: str) -> bool:
+    """False where no pass has anything to begin with; tested against running them all."""
+    if (not text.isascii() and ODD.search(text)) or ("@" in text and JOINED.search(text)):
+        return True
+    low = text.lower()
+    plain = " at " in low or " arroba " in low or " chez " in low
+    return bool((plain and PLAIN.search(text)) or _BRACKET_HINT.search(text) or SPELLED.search(text))
+
+
 def disguised(text: str, base: list[Span]) -> list[Span]:
     """Spans that only the rewritten text shows, in source offsets."""
-    odd = not text.isascii() and ODD.search(text)
-    plain = " at " in text.lower() or " arroba " in text.lower() or " chez " in text.lower()
-    if not (odd or (plain and PLAIN.search(text)) or _BRACKET_HINT.search(text) or SPELLED.search(text)):
+    if not changeable(text):
         return []
     t = at_dot_pass(digits_pass(letters_pass(Tape(text))))
     if t.text == text:

@@ -258,6 +258,17 @@ def test_pii_disguises(text, hidden):
     assert [text[s.start : s.end] for s in found] == ([hidden] if hidden else [])
 
 
+def test_pii_gate_changes_nothing(monkeypatch):
+    """Spans do not depend on the shortcut, nor on a Greek letter elsewhere."""
+    r = random.Random(21)
+    parts = ["joe", "@", " ", " at ", " dot ", " punkt ", " Point ", "host", "org", "(at)", "[dot]", "x@host", "one ", "two, ", "plus ", "4", "-", ".", "\n", " AT ", " arroba ", " chez ", "<@>", "\u200b", "а", "é", "ſ", "K"]
+    texts = ["joe@host dot org", "mail joe@host dot co DOT uk now", *("".join(r.choice(parts) for _ in range(r.randrange(2, 24))) for _ in range(30_000))]
+    gated = [pii.disguised(t, pii.detect(t)) for t in texts]
+    assert [texts[0][s.start : s.end] for s in gated[0]] == ["joe@host dot org"] and gated[0] == pii.disguised(texts[0] + " \u03c9", [])
+    monkeypatch.setattr(pii, "_BRACKET_HINT", re.compile(""))  # matches everywhere: the gate is open
+    assert [pii.disguised(t, pii.detect(t)) for t in texts] == gated
+
+
 def test_toxicity(spark, docs, none):
     r = random.Random(6)
     bad = ["blargface", "numskullery"]
