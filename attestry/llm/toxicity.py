@@ -2,7 +2,9 @@
 
 A lexicon of words and word beginnings is learned from labelled rows: terms that stand in toxic documents far more often
 than in others.  Every text is then scanned whole.  Words of the lexicon match exactly, beginnings by prefix, and
-misspelled words by running a Levenshtein automaton of the token along the trie of lexicon words.  Each hit is weighed by
+misspelled words by running a Levenshtein automaton of the token along the trie of all lexicon words.  Two runs of
+letters around one digit or symbol ("id1ot") are tried as one token as well; more such characters are more than one
+edit away from any word.  Each hit is weighed by
 its surroundings: between quotation marks or behind a reporting verb it counts as quotation, near an address (you, du,
 tu ...) as abuse.  A logistic model over these counts, fitted on other labelled rows than the lexicon, gives the score.
 
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
+#: A word and one digit or symbol right behind it, then, not taken, the word that follows at once.
+BROKEN = re.compile(r"(?<![^\W\d_])([^\W\d_]++)([^\w\s]|[\d_])(?=([^\W\d_]++))")
 PREFIXES = (4, 5, 6)
 QUOTES = "\"“”„«»‘’"
 REPORTING = frozenset("said says wrote called calling quoted quote dit écrit cité sagte schrieb zitiert dijo escribió citó".split())
@@ -99,6 +103,10 @@ class Lexicon:
         for k in PREFIXES:
             if len(token) > k and token[:k] in self.stems:
                 return 3
+        return self.misspelled(token)
+
+    def misspelled(self, token: str) -> int:
+        """2 for a misspelled word, 0 for others."""
         for k, heads, tails in self.halves.get(len(token), ()):
             if token[:k] in heads or token[-k:] in tails:
                 return 2 if self.trie.within(token, 1) else 0
@@ -109,17 +117,27 @@ def features(text: str, lex: Lexicon, cache: dict[str, int]) -> list[float]:
     out = [0.0] * FEATURES
     low = text.lower()
     kinds = {}
-    for token in set(WORD.findall(low)):
+    broken = {a + c + b for a, c, b in BROKEN.findall(low)}
+    for token in {*WORD.findall(low), *broken}:
         k = cache.get(token)
         if k is None:
             if len(cache) > 500_000:
                 cache.clear()
-            k = cache[token] = lex.kind(token)
+            k = cache[token] = lex.misspelled(token) if token in broken else lex.kind(token)
         if k:
             kinds[token] = k
     if not kinds:
         return out
     tokens = list(WORD.finditer(low))
+    if any(x in kinds for x in broken):
+        # a broken word takes the place of its parts, unless one of them is a hit by itself
+        parts, tokens = tokens, []
+        for m in parts:
+            last = tokens[-1] if tokens else None
+            if last and m.start() - last.end() == 1 and low[last.start() : m.end()] in kinds and not (last[0] in kinds or m[0] in kinds):
+                tokens[-1] = re.compile(".+", re.DOTALL).match(low, last.start(), m.end())
+            else:
+                tokens.append(m)
     hits: set[str] = set()
     for i, m in enumerate(tokens):
         k = kinds.get(m[0])
@@ -171,7 +189,7 @@ def learn_lexicon(train: DataFrame, max_terms: int = 4096, min_docs: int = 4, pr
     counts = train.select("toxic", "text").mapInArrow(count, "stem boolean, term string, n long, toxic long").groupBy("stem", "term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     good = counts.filter((F.col("toxic") >= min_docs) & (F.col("toxic") >= precision * F.col("n"))).orderBy(F.desc("toxic"), "stem", "term").limit(max_terms).collect()
     words = [r["term"] for r in good if not r["stem"]]
-    return Lexicon(frozenset(words), frozenset(r["term"] for r in good if r["stem"]), tuple(w for w in words if 5 <= len(w) <= 16)[:256])
+    return Lexicon(frozenset(words), frozenset(r["term"] for r in good if r["stem"]), tuple(words))
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 200, ridge: float = 1e-3) -> np.ndarray:

@@ -364,6 +364,24 @@ def test_tied_offsets_match_brute_force():
                 assert {o for a, b in got[x] for o in range(a, b + 1)} == want
 
 
+def test_every_learned_word_is_found_misspelled(spark):
+    r = random.Random(22)
+    bad = sorted({"".join(r.choice("bcdfgklmprtz") for _ in range(k)) for k in (4, 7, 9, 20) for _ in range(100)})
+    toxic = [(1, x) for x in bad for _ in range(4)]
+    lex = toxicity.learn_lexicon(spark.createDataFrame([*toxic, *((0, "harmless words stand here") for _ in range(50))], "toxic int, text string"))
+    assert len(bad) > 256 and set(bad) == lex.words == set(lex.fuzzy)
+    for x in bad:
+        assert lex.misspelled(x[:2] + "ä" + x[3:]) == 2 and lex.misspelled(x + "ä") == 2
+        for symbol in "1*_.":
+            for t in (x[:2] + symbol + x[3:], x[:2] + symbol + x[2:]):
+                bare = toxicity.Lexicon(frozenset([x]), frozenset(), (x,))
+                f = toxicity.features(f"zz {t}, zz", bare, {})
+                assert f[2] > 0 and f[7] == math.log1p(1) and not f[0], t
+    one = toxicity.Lexicon(frozenset(["idiot"]), frozenset(), ("idiot",))
+    assert toxicity.features("you id1ot!", one, {})[6] > 0 and toxicity.features("idiot-you id 1 ot", one, {})[2] == 0
+    assert toxicity.features("a" * 300_000 + "1" * 300_000, one, {}) == [0.0] * 8
+
+
 @pytest.mark.parametrize("frequent", [100_000, 50])
 def test_lm_counts(spark, docs, rows, none, frequent):
     s = lm_score.Settings(frequent=frequent, vocabulary=64, class_size=8, width=8, streams=4, window=8, warm_docs=20)
