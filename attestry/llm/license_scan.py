@@ -1,11 +1,11 @@
 """License notices by phrase and by exact set-similarity containment.
 
 Base: places where a phrase's words stand consecutively.  Method: every template is a set of words ordered by how many
-documents of the corpus hold each, rarest first.  A text block of twice the template's length matches when it holds the
-template's share of words (containment).  Such a block must hold one of the template's first |T| - need + 1 words
-(prefix filter), cannot be shorter than need (length filter), and after its first hit at place i can reach at most
-|T| - i words (positional filter).  Blocks overlap by half, so any stretch as long as the template lies in one block;
-the filters only skip blocks that cannot match, so none is missed.
+documents of the corpus hold each, rarest first.  A window of twice the template's length matches when it holds the
+template's share of words (containment).  Such a window must hold one of the template's first |T| - need + 1 words
+(prefix filter), needs a text with need of its words (length filter), and after its first hit at place i can reach at
+most |T| - i words (positional filter).  Around the hits the window slides over every start; the filters only skip
+windows that cannot match, so none is missed, wherever it stands.
 
 Defined cases: null text is empty: no words, null first_word and last_word, empty labels, score 0.  Repeated rows
 give equal results, an empty table an empty result; only the id and text columns are read.
@@ -81,8 +81,44 @@ def indexed(templates: tuple[Template, ...], freq: dict[bytes, int]) -> list[Ent
     return out
 
 
+def most_held(part: list[bytes], e: Entry) -> int:
+    """The most distinct template words in any window of part, counted up and down as it slides."""
+    span, counts, n, best = 2 * e.length, dict.fromkeys(e.ordered, 0), 0, 0
+    for j, x in enumerate(part):
+        if j >= span and (old := part[j - span]) in counts:
+            counts[old] -= 1
+            n -= not counts[old]
+        if x in counts:
+            n += not counts[x]
+            counts[x] += 1
+            best = max(best, n)
+    return best
+
+
+def windows_held(w: list[bytes], at: dict[bytes, list[int]], e: Entry) -> float:
+    """The largest containment that reaches need over all windows of w; 0 if none does.  at: places of all template words."""
+    span, best = 2 * e.length, 0
+    if sum(x in at for x in e.ordered) < e.need:
+        return 0.0
+    for i, token in enumerate(e.prefix):
+        if len(e.ordered) - i < max(e.need, best + 1):  # positional: what is left cannot do
+            break
+        near: list[list[int]] = []  # stretches of the text whose windows hold the token
+        for p in at.get(token, ()):
+            if near and p - span < near[-1][1]:
+                near[-1][1] = p + span
+            else:
+                near.append([max(0, p - span + 1), p + span])
+        for a, b in near:
+            best = max(best, most_held(w[a:b], e))
+    return best / len(e.ordered) if best >= e.need else 0.0
+
+
 def blocks_held(w: list[bytes], at: dict[bytes, list[int]], e: Entry) -> float:
-    """The largest containment that reaches need over the blocks of w; 0 if none does.  at: places of template words."""
+    """As windows_held, over the windows that start at multiples of the template's length only; no query uses it.
+
+    The largest containment that reaches need over the blocks of w; 0 if none does.  at: places of template words.
+    """
     span, seen, best = 2 * e.length, set(), 0
     for i, token in enumerate(e.prefix):
         if len(e.ordered) - i < max(e.need, best):  # positional: what is left cannot do
@@ -146,13 +182,13 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
                         places += got
                         base.add(label)
                 labels, score = set(base), 1.0 if base else 0.0
-                if hit := keys.intersection(w):
+                if not keys.isdisjoint(w):
                     at: dict[bytes, list[int]] = {}
                     for i, x in enumerate(w):
-                        if x in hit:
+                        if x in wanted:
                             at.setdefault(x, []).append(i)
                     for e in entries:
-                        if held := blocks_held(w, at, e):
+                        if held := windows_held(w, at, e):
                             labels.add(e.label)
                             score = max(score, held)
                 rows.append((len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score))

@@ -223,6 +223,24 @@ def test_set_join_filters_lose_nothing():
         assert license_scan.blocks_held(w, at, e) == (best / len(e.ordered) if best >= e.need else 0)
 
 
+def test_license_does_not_depend_on_the_offset(spark):
+    notice = "Licensed to you under the terms of the Apache License, Version 2.0"
+    texts = [(k, "x " * k + notice + " y" * 40) for k in range(40)]
+    got = license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert [r["labels"] for r in got] == ["apache-2.0"] * 40 and {r["score"] for r in got} == {1.0}
+    r = random.Random(23)
+    for share in (0.5, 0.8, 1.0):
+        t = license_scan.Template("t", " ".join(f"v{i}" for i in range(10)) + " v0 v1", share)
+        for _ in range(300):
+            w = [f"v{r.randrange(30)}".encode() for _ in range(r.randrange(0, 90))]
+            e = license_scan.indexed((t,), {f"v{i}".encode(): r.randrange(5) for i in range(10)})[0]
+            at = {}
+            for i, x in enumerate(w):
+                at.setdefault(x, []).append(i)
+            best = max((len(set(w[k : k + 2 * e.length]) & set(e.ordered)) for k in range(len(w))), default=0)
+            assert license_scan.windows_held(w, at, e) == (best / len(e.ordered) if best >= e.need else 0)
+
+
 def test_pii_base_against_regex(spark, docs, none):
     r = random.Random(5)
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
