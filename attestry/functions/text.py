@@ -17,9 +17,14 @@ def unquote(c: Column) -> Column:
     return F.regexp_replace(c, r"&quot;|&#34;|</?var>", '"')
 
 
-def searched(c: Column) -> Column:
-    """What is searched of a text: its first 262,144 characters, marks taken out, entities replaced."""
-    return F.substring(unquote(F.translate(F.coalesce(c, F.lit("")), MARKS, " " * len(MARKS))), 1, grammar.SEARCH_MAX)
+def prepared(c: Column) -> Column:
+    """A whole text for the search: marks taken out, entities replaced."""
+    return unquote(F.translate(F.coalesce(c, F.lit("")), MARKS, " " * len(MARKS)))
+
+
+def searched(c: Column, most: int | None = grammar.SEARCH_MAX) -> Column:
+    """What is searched of a text: the first `most` characters as prepared (the scanner's own limit), all for None."""
+    return prepared(c) if most is None else F.substring(prepared(c), 1, most)
 
 
 def normalize_license(c: Column) -> Column:

@@ -25,10 +25,13 @@ def party_rank(party: Column) -> Column:
     return rank
 
 
-def matches(df: DataFrame, id_col: str, text_col: str, regex: str, groups: int) -> DataFrame:
-    """id, text, pos, whole, groups (array), start, end, start_line, end_line: one row per match of regex."""
+def matches(df: DataFrame, id_col: str, text_col: str, regex: str, groups: int, most: int | None = None) -> DataFrame:
+    """id, text, pos, whole, groups (array), start, end, start_line, end_line: one row per match of regex.
+
+    most: how many characters of a text are searched; all of them without it.
+    """
     marks = _MATCH + "".join(f"{_FIELD}${i}" for i in range(1, groups + 1)) + f"{_FIELD}$0{_END}"
-    base = df.select(F.col(f"`{id_col}`").alias("id"), T.searched(F.col(f"`{text_col}`")).alias("text"))
+    base = df.select(F.col(f"`{id_col}`").alias("id"), T.searched(F.col(f"`{text_col}`"), most).alias("text"))
     parts = base.select("id", "text", F.posexplode(F.split(F.regexp_replace("text", regex, marks), _MATCH, -1)).alias("pos", "part"))
     cut = F.split("part", _END, 2)
     fields = F.split(cut[0], _FIELD, -1)
@@ -53,7 +56,7 @@ def _owner_party(c: Column, r: RuleSet) -> Column:
 
 def scan(df: DataFrame, rules: RuleSet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ord, party, match_type, text, start_line, end_line, start, end: the findings of each text in order."""
-    m = matches(df, id_col, text_col, rules.master, 8)
+    m = matches(df, id_col, text_col, rules.master, 8, grammar.SEARCH_MAX)
     text = F.col("text")
 
     def group(raw: Column, i: Column) -> Column:

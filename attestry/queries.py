@@ -97,7 +97,7 @@ PARTY_CASCADE_SQL = f"""SELECT doc_id, CASE WHEN {_ANY["FORBIDDEN"]} THEN 'FORBI
 
 
 def match_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = scan.matches(table(spark, sf_dir, "documents"), "doc_id", "text", WORD_RE, 1)
+    m = scan.matches(table(spark, sf_dir, "documents"), "doc_id", "text", WORD_RE, 1, grammar.SEARCH_MAX)  # its SQL names the limit
     return m.select(F.col("id").alias("doc_id"), F.col("pos").cast("int").alias("pos"), "whole")
 
 

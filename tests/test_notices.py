@@ -341,3 +341,20 @@ def test_entry_imports_without_the_subpackage():
 
     code = "import sys; sys.modules['attestry.llm'] = None; import __spark_entry__ as e; assert len(e.queries()) > 25 and 'pipeline' not in e.queries() and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_matches_search_whole_texts(spark, tmp_path):
+    from attestry import queries
+
+    n = 262_144
+    text = "the x" + "y" * n + "\n" * 9 + "z" * 400 + " the license"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    at = text.index("license")
+    (r,) = queries.match_offsets(spark, str(tmp_path)).collect()
+    assert (r["doc_id"], r["start"], r["end"], r["start_line"]) == (1, at, at + 7, 10)
+    (r,) = queries.finding_lines(spark, str(tmp_path)).collect()
+    assert f"[{at},{at + 7})" in r["value"]
+    assert queries.unknown_clusters(spark, str(tmp_path)).count() == 2
+    (r,) = queries.cluster_top10(spark, str(tmp_path)).collect()
+    assert (r["n_clusters"], r["n_words"]) == (2, 2)
+    assert queries.truncate_scan(spark, str(tmp_path)).first()["n_searched"] == n
