@@ -31,16 +31,16 @@ def matches(df: DataFrame, id_col: str, text_col: str, regex: str, groups: int,
     most: how many characters of a text are searched; all of them without it.
     """
     marks = _MATCH + "".join(f"{_FIELD}${i}" for i in range(1, groups + 1)) + f"{_FIELD}$0{_END}"
-    base = df.select(F.col(f"`{id_col}`").alias("id"), T.searched(F.col(f"`{text_col}`"), most).alias("text"))
-    parts = base.select("id", "text", F.posexplode(F.split(F.regexp_replace("text", regex, marks), _MATCH, -1)).alias("pos", "part"))
+    base = df.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row_no"), T.searched(F.col(f"`{text_col}`"), most).alias("text"))
+    parts = base.select("id", "row_no", "text", F.posexplode(F.split(F.regexp_replace("text", regex, marks), _MATCH, -1)).alias("pos", "part"))
     cut = F.split("part", _END, 2)
     fields = F.split(cut[0], _FIELD, -1)
     rows = parts.select(
-        "id", "text", "pos", F.when(F.col("pos") > 0, F.get(fields, F.lit(groups + 1))).alias("whole"),
+        "id", "row_no", "text", "pos", F.when(F.col("pos") > 0, F.get(fields, F.lit(groups + 1))).alias("whole"),
         F.when(F.col("pos") > 0, F.slice(fields, 2, groups)).alias("groups"), F.length(F.when(F.col("pos") > 0, F.get(cut, F.lit(1))).otherwise(F.col("part"))).alias("gap"),
     )
-    order = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("upto", F.sum(F.col("gap") + F.coalesce(F.length("whole"), F.lit(0))).over(order)).filter("pos > 0")
+    order = Window.partitionBy("id", "row_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # ids can be null or repeat
+    rows = rows.withColumn("upto", F.sum(F.col("gap") + F.coalesce(F.length("whole"), F.lit(0))).over(order)).filter("pos > 0").drop("row_no")
     end = F.col("upto") - F.col("gap")
     rows = rows.withColumn("end", end.cast("int")).withColumn("start", (end - F.length("whole")).cast("int"))
     return rows.withColumn("start_line", T.line_number(F.col("text"), F.col("start"))).withColumn("end_line", T.line_number(F.col("text"), F.col("end")))

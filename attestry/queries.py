@@ -270,8 +270,8 @@ def scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def finding_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = scan.matches(table(spark, sf_dir, "documents").filter("doc_id >= 0"), "doc_id", "text", r"(?i)(licen[sc]e)", 1).filter("pos = 1")
-    f = m.select(F.lit("UNKNOWN").alias("party"), F.lit("LICENSE").alias("match_type"), "start_line", "end_line", "start", "end", F.col("whole").alias("text"), F.array(F.lit("a b.zip"), F.col("id").cast("string")).alias("path_stack"), F.lit(0).cast("long").alias("size"), F.lit(5).cast("long").alias("elapsed_us"))
+    m = scan.matches(table(spark, sf_dir, "documents"), "doc_id", "text", r"(?i)(licen[sc]e)", 1).filter("pos = 1")
+    f = m.select(F.lit("UNKNOWN").alias("party"), F.lit("LICENSE").alias("match_type"), "start_line", "end_line", "start", "end", F.col("whole").alias("text"), F.when(F.col("id").isNotNull(), F.array(F.lit("a b.zip"), F.col("id").cast("string"))).alias("path_stack"), F.lit(0).cast("long").alias("size"), F.lit(5).cast("long").alias("elapsed_us"))
     return sinks.finding_lines(f)
 
 

@@ -358,3 +358,20 @@ def test_matches_search_whole_texts(spark, tmp_path):
     (r,) = queries.cluster_top10(spark, str(tmp_path)).collect()
     assert (r["n_clusters"], r["n_words"]) == (2, 2)
     assert queries.truncate_scan(spark, str(tmp_path)).first()["n_searched"] == n
+
+
+def test_finding_lines_of_every_document(spark, tmp_path):
+    """Negative, null and repeated numbers give the rows that the SQL gives."""
+    import duckdb
+
+    from attestry import queries
+
+    rows = [(-5, "a license"), (None, "no\nlicence here"), (None, "x" * 30 + " license"), (4, "the license"), (4, "y" * 9 + "\n\nlicense"), (6, "none")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("finding_lines", "match_offsets"):
+        df = queries.QUERIES[name](spark, str(tmp_path))
+        other = c.sql(queries.SQL[name])
+        at = [other.columns.index(x) for x in df.columns]
+        assert sorted(map(str, df.collect())) and sorted((tuple(r) for r in df.collect()), key=str) == sorted((tuple(r[i] for i in at) for r in other.fetchall()), key=str), name
