@@ -8,20 +8,27 @@ by content plays its part here: about 2 in 386 positions are sampled, and two ti
 
 One bucket is sorted at a time.  Its sampled positions are ranked once by what follows and once by what precedes, with
 the common prefix lengths of neighbours; a tie between suffixes is then decided by those two ranks, never by reading
-bytes again.  Buckets hold only k-grams that occur in two texts or twice in one; of each text only one copy takes part.
+bytes again.  Small buckets compare each two members, all buckets of a batch at once.  Buckets hold only k-grams that
+occur twice or more; of each text only one copy takes part.
 
-A bucket of over `bucket_max` sampled positions (a passage in a large share of all documents) is not gathered: its
-windows are hashed to 128 bits and counted with map-side combination, whatever their number.
+A bucket of over `bucket_max` sampled positions, wherever they stand (a passage in a large share of all documents, or a
+long periodic text), is not gathered: its windows are hashed to 128 bits and counted with map-side combination,
+whatever their number.
+
+Two lengths are searched in one pass: strings of `length` bytes are removed, and strings of `passage` bytes (about 50
+words) are reported as n_shared, the bytes they cover.  The cover of the shorter windows holds that of the longer ones.
 
 Defined cases: null text is empty; texts shorter than `length` lose nothing; exact copies of at least that length lose
-all their bytes in every copy (repeated rows are copies); an empty table gives an empty result; only the id and text
-columns are read.
+all their bytes in every copy (repeated rows are copies); texts of any length are read whole, and periodic ones cost no
+more than others; ties do not arise, as every copy of a string is treated alike; an empty table gives an empty result;
+only the id and text columns are read, whatever the others are called.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -66,15 +73,25 @@ def window_minima(key: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(tails[: n - w + 1], heads[w - 1 : n])
 
 
-def cover(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sampled positions, their k-gram hashes, and the smallest and largest offset of the windows filed under each."""
+def cover(text: bytes, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sampled positions, their k-gram hashes, and for each length (rows) the smallest and largest offset of the windows
+    filed under each position; a smallest offset above the largest where there are none.  lengths: ascending."""
     h = gram_hashes(text)
     key = (h >> np.uint64(32) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
-    at = (window_minima(key, length - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    last = np.concatenate([first[1:], [len(at)]]) - 1
-    pos = at[first]
-    return pos, h[pos].view(np.int64), pos - last, pos - first
+    pos = lo = hi = None
+    for k, length in enumerate(lengths):
+        if len(text) < length:
+            break
+        at = (window_minima(key, length - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        last = np.concatenate([first[1:], [len(at)]]) - 1
+        mine = at[first]
+        if pos is None:  # positions of longer windows are among those of the shortest
+            pos = mine
+            lo, hi = np.ones((len(lengths), len(pos)), np.int64), np.zeros((len(lengths), len(pos)), np.int64)
+        there = np.searchsorted(pos, mine)
+        lo[k, there], hi[k, there] = mine - last, mine - first
+    return pos, h[pos].view(np.int64), lo, hi
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -96,15 +113,6 @@ def tied_offsets(left: list[bytes], right: list[bytes], lo: list[int], hi: list[
     left: what precedes, reversed; right: what follows.
     """
     n = len(left)
-    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-    if n <= 6:
-        for x in range(n):
-            for y in range(x):
-                a, b = length - common_prefix(right[x], right[y]), common_prefix(left[x], left[y])
-                for z in (x, y):
-                    if max(a, lo[z]) <= min(b, hi[z]):
-                        out[z].append((max(a, lo[z]), min(b, hi[z])))
-        return out
 
     def ranked(side: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         order = sorted(range(n), key=side.__getitem__)
@@ -122,8 +130,124 @@ def tied_offsets(left: list[bytes], right: list[bytes], lo: list[int], hi: list[
         there = np.flatnonzero((least <= o) & (o <= most))
         _, back, count = np.unique(code[there] * n + mine[there], return_inverse=True, return_counts=True)
         hit[o, there] = count[back] > 1
-    for x in range(n):
-        out[x] = ranges_of(np.ascontiguousarray(hit[:, x]))
+    return [ranges_of(np.ascontiguousarray(hit[:, x])) for x in range(n)]
+
+
+def common_lengths(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray, step: int) -> np.ndarray:
+    """How many bytes agree from places a and b of data on, forwards (step 1) or backwards (-1), most at most."""
+    out, live, done = np.zeros(len(a), np.int64), np.arange(len(a)), 0
+    k = np.arange(64)
+    while len(live):
+        i = a[live, None] + step * (done + k)
+        j = b[live, None] + step * (done + k)
+        top = len(data) - 1
+        differ = (data[np.clip(i, 0, top)] != data[np.clip(j, 0, top)]) | (done + k >= most[live, None])
+        same = np.where(differ.any(1), differ.argmax(1), 64)
+        out[live] += same
+        live = live[same == 64]
+        done += 64
+    return out
+
+
+@dataclass
+class Filed:
+    """Sampled positions, sorted by gram: one row each, with the bytes around it in data."""
+
+    gram: np.ndarray
+    text: np.ndarray  # (n, 2) hash of the text
+    pos: np.ndarray
+    lo: np.ndarray  # (lengths, n)
+    hi: np.ndarray
+    left: np.ndarray  # bytes before the position
+    data: np.ndarray
+    at: np.ndarray  # (n + 1) places in data
+
+    @classmethod
+    def of(cls, table: pa.Table, n_lengths: int) -> Filed:
+        t = table.combine_chunks()
+        col = lambda c: t.column(c).to_numpy()
+        around = t.column("around").chunk(0)
+        at = np.frombuffer(around.buffers()[1], np.int32)[around.offset : around.offset + len(around) + 1].astype(np.int64)
+        lo, hi = (np.stack([col(f"{x}{k}") for k in range(n_lengths)]).astype(np.int64) for x in ("lo", "hi"))
+        return cls(col("gram"), np.stack([col("t1"), col("t2")], 1), col("pos"), lo, hi, col("left").astype(np.int64), np.frombuffer(around.buffers()[2], np.uint8), at)
+
+    def around(self, i: int) -> bytes:
+        return self.data[self.at[i] : self.at[i + 1]].tobytes()
+
+    def spans(self, rows: np.ndarray, least: np.ndarray, most: np.ndarray, kind: int, length: int) -> np.ndarray:
+        """(kind, t1, t2, s, e) of ranges of repeated offsets."""
+        return np.stack([np.full(len(rows), kind), self.text[rows, 0], self.text[rows, 1], self.pos[rows] - most, self.pos[rows] - least + length], 1)
+
+
+PAIRS_MAX = 48
+
+
+def repeated_in_buckets(f: Filed, lengths: tuple[int, ...]) -> np.ndarray:
+    """(kind, t1, t2, s, e): what is repeated within the buckets of f."""
+    n = len(f.gram)
+    start = np.flatnonzero(np.concatenate([[True], f.gram[1:] != f.gram[:-1]]))
+    size = np.diff(np.concatenate([start, [n]]))
+    out = [np.zeros((0, 5), np.int64)]
+    done = np.zeros(n, bool)  # rows with the same surroundings as another one: all their windows are repeated
+    members: dict[int, list[np.ndarray]] = {}
+    for a, k in zip(start.tolist(), size.tolist(), strict=True):
+        if k == 1:
+            continue
+        if k == 2:
+            members.setdefault(2, []).append(np.array([a, a + 1]))
+            continue
+        kinds: dict[tuple, list[int]] = {}
+        for i in range(a, a + k):
+            kinds.setdefault((f.around(i), *f.lo[:, i].tolist(), *f.hi[:, i].tolist()), []).append(i)
+        for same in kinds.values():
+            if len(same) > 1:
+                done[same] = True
+        if len(kinds) > 1:
+            members.setdefault(len(kinds), []).append(np.array([same[0] for same in kinds.values()]))
+    whole = np.flatnonzero(done)
+    for kind, length in enumerate(lengths):
+        rows = whole[f.lo[kind, whole] <= f.hi[kind, whole]]
+        out.append(f.spans(rows, f.lo[kind, rows], f.hi[kind, rows], kind, length))
+    few = [np.stack(v) for k, v in members.items() if k <= PAIRS_MAX]
+    if few:
+        pairs = np.concatenate([np.stack([m[:, i].ravel(), m[:, j].ravel()], 1) for m in few for i, j in [np.triu_indices(m.shape[1], 1)]])
+        for at in range(0, len(pairs), 65_536):
+            out += compared(f, pairs[at : at + 65_536], done, lengths)
+    for k, groups in members.items():
+        for m in groups if k > PAIRS_MAX else ():
+            around, left = [f.around(i) for i in m], f.left[m].tolist()
+            for kind, length in enumerate(lengths):
+                use = np.flatnonzero(f.lo[kind, m] <= f.hi[kind, m])
+                if len(use) < 2:
+                    continue
+                ties = tied_offsets([around[x][: left[x]][::-1] for x in use], [around[x][left[x] :] for x in use], f.lo[kind, m[use]].tolist(), f.hi[kind, m[use]].tolist(), length)
+                found = [(m[x], a, b) for x, spans in zip(use, ties, strict=True) if not done[m[x]] for a, b in spans]
+                if found:
+                    rows, a, b = np.array(found).T
+                    out.append(f.spans(rows, a, b, kind, length))
+    return np.concatenate(out)
+
+
+def compared(f: Filed, pairs: np.ndarray, done: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """Spans of the rows of pairs, each two compared byte by byte."""
+    a, b = pairs.T
+    middle = f.at[:-1] + f.left
+    after = common_lengths(f.data, middle[a], middle[b], np.minimum(f.at[a + 1] - middle[a], f.at[b + 1] - middle[b]), 1)
+    before = common_lengths(f.data, middle[a] - 1, middle[b] - 1, np.minimum(f.left[a], f.left[b]), -1)
+    rows, place = np.unique(pairs, return_inverse=True)
+    place = place.reshape(pairs.shape)
+    out = []
+    for kind, length in enumerate(lengths):
+        edge = np.zeros((len(rows), length + 2), np.int32)  # where ranges of offsets begin and end
+        for side, x in ((0, a), (1, b)):
+            least, most = np.maximum(length - after, f.lo[kind, x]), np.minimum(before, f.hi[kind, x])
+            use = (least <= most) & ~done[x]
+            np.add.at(edge, (place[use, side], least[use] + 1), 1)
+            np.add.at(edge, (place[use, side], most[use] + 2), -1)
+        inside = np.cumsum(edge, 1) > 0
+        i, first = np.nonzero(inside[:, 1:] & ~inside[:, :-1])
+        _, last = np.nonzero(inside[:, :-1] & ~inside[:, 1:])
+        out.append(f.spans(rows[i], first, last - 1, kind, length))
     return out
 
 
@@ -137,35 +261,36 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_SPANS = "t1 long, t2 long, s long, e long"
-_BUCKETS = "gram long, hot boolean, t1 long, t2 long, pos long, lo int, hi int, around binary"
+_SPANS = "kind int, t1 long, t2 long, s long, e long"
+_SPAN_TYPES = [pa.int32(), *[pa.int64()] * 4]
 
 
-def _spans(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["t1", "t2", "s", "e"])
+def _spans(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, i], t) for i, t in enumerate(_SPAN_TYPES)], ["kind", "t1", "t2", "s", "e"])
 
 
-def repeated_spans(df: DataFrame, length: int, bucket_max: int, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(t1, t2, s, e): byte ranges covered by repeated windows, by text; and (t1, t2, text) of the texts concerned."""
-    raw = df.select(F.col(f"`{text_col}`").alias("text")).filter(F.octet_length("text") >= length)
+def repeated_spans(df: DataFrame, lengths: tuple[int, ...], bucket_max: int, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(kind, t1, t2, s, e): byte ranges covered by repeated windows, by number of the length and text; and (t1, t2, text) of the texts concerned."""
+    raw = df.select(F.col(f"`{text_col}`").alias("text")).filter(F.octet_length("text") >= lengths[0])
+    numbers = range(len(lengths))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, grams, twice = [], [], []
+            keys, grams, times = [], [], []
             for x in b.column(0).cast(pa.binary()):
                 text = x.as_py()
-                g, n = np.unique(cover(text, length)[1], return_counts=True)
+                g, n = np.unique(cover(text, lengths)[1], return_counts=True)
                 keys.append(np.broadcast_to(np.array(text_key(text)), (len(g), 2)))
                 grams.append(g)
-                twice.append(n > 1)
+                times.append(n)
             if keys:
                 k = np.concatenate(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.ascontiguousarray(k[:, 0])), pa.array(np.ascontiguousarray(k[:, 1])), pa.array(np.concatenate(twice))], ["gram", "t1", "t2", "twice"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.ascontiguousarray(k[:, 0])), pa.array(np.ascontiguousarray(k[:, 1])), pa.array(np.concatenate(times))], ["gram", "t1", "t2", "times"])
 
-    sampled = raw.mapInArrow(sample, "gram long, t1 long, t2 long, twice boolean")
-    sampled = cut(sampled.groupBy("gram", "t1", "t2").agg(F.bool_or("twice").alias("twice")), "cover-sample")  # copies of a text count once
-    shared = cut(sampled.groupBy("gram").agg(F.count("*").alias("n"), F.bool_or("twice").alias("twice")).filter("n > 1 or twice"), "cover-shared")
-    facts = shared.select("gram", "n", (F.col("n") > bucket_max).alias("hot"))
+    sampled = raw.mapInArrow(sample, "gram long, t1 long, t2 long, times long")
+    sampled = cut(sampled.groupBy("gram", "t1", "t2").agg(F.max("times").alias("times")), "cover-sample")  # copies of a text count once
+    shared = cut(sampled.groupBy("gram").agg(F.count("*").alias("n"), F.sum("times").alias("places")).filter("places > 1"), "cover-shared")
+    facts = shared.select("gram", "n", (F.col("places") > bucket_max).alias("hot"))
     wanted = join_facts(sampled.select("gram", "t1", "t2"), facts, "gram", "n", sampled.count())
     wanted = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("gram", "hot")).alias("grams"))  # a text's own
 
@@ -185,74 +310,88 @@ def repeated_spans(df: DataFrame, length: int, bucket_max: int, text_col: str =
     texts = raw.mapInArrow(once, "t1 long, t2 long, text string").join(wanted, ["t1", "t2"]).dropDuplicates(["t1", "t2"])
     texts = cut(texts, "cover-texts")
 
+    places = "gram long, hot boolean, t1 long, t2 long, pos long, " + "".join(f"lo{k} int, hi{k} int, " for k in numbers) + "left int, around binary"
+    names = [x.split()[0] for x in places.split(", ")]
+
     def file_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 t1, t2 = b.column(0)[i].as_py(), b.column(1)[i].as_py()
                 text = b.column(2)[i].cast(pa.binary()).as_py()
-                want = {g["gram"]: g["hot"] for g in b.column(3)[i].as_py()}
-                rows = []
-                for pos, gram, lo, hi in zip(*[x.tolist() for x in cover(text, length)], strict=True):
-                    if gram in want:
-                        rows.append((gram, want[gram], t1, t2, pos, lo, hi, text[pos - hi : pos + length - lo]))
-                types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                names = ["gram", "hot", "t1", "t2", "pos", "lo", "hi", "around"]
-                for at in range(0, len(rows), 4096):
-                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[at : at + 4096]], t) for c, t in enumerate(types)], names)
-
-    filed = texts.mapInArrow(file_suffixes, _BUCKETS)
-
-    def sort_bucket(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
-        out, kinds = [], {}
-        for r in rows:  # positions with the same surroundings are one for sorting; all their windows are repeated
-            kinds.setdefault((r[6], r[5], r[4]), []).append(r)
-        same = list(kinds)
-        ties = tied_offsets([k[0][: k[1]][::-1] for k in same], [k[0][k[1] :] for k in same], [k[2] for k in same], [k[1] for k in same], length)
-        for k, found in zip(same, ties, strict=True):
-            offsets = [(k[2], k[1])] if len(kinds[k]) > 1 else merged([(a, b + 1) for a, b in found])
-            for _, t1, t2, pos, *_ in kinds[k]:
-                for a, b in offsets:
-                    b -= len(kinds[k]) == 1
-                    out.append((t1, t2, pos - b, pos - a + length))
-        return out
+                wanted = b.column(3)[i].values
+                grams, hot = wanted.field("gram").to_numpy(), wanted.field("hot").to_numpy(zero_copy_only=False)
+                order = np.argsort(grams)
+                grams, hot = grams[order], hot[order]
+                pos, gram, lo, hi = cover(text, lengths)
+                at = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
+                use = np.flatnonzero(grams[at] == gram)
+                lo, hi = lo[:, use], hi[:, use]
+                there = lo <= hi
+                left = np.where(there, hi, 0).max(0)
+                right = np.where(there, np.array(lengths)[:, None] - lo, 0).max(0)
+                cols = [gram[use], hot[at[use]], np.full(len(use), t1), np.full(len(use), t2), pos[use], *[x[k].astype(np.int32) for k in numbers for x in (lo, hi)], left.astype(np.int32)]
+                for a in range(0, len(use), 4096):
+                    part = slice(a, a + 4096)
+                    around = [text[p - x : p + y] for p, x, y in zip(pos[use][part].tolist(), left[part].tolist(), right[part].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c[part]) for c in cols], pa.array(around, pa.binary())], names)
+
+    filed = texts.mapInArrow(file_suffixes, places)
 
     def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket: list[tuple] = []
-        out: list[tuple[int, int, int, int]] = []
+        waiting: list[pa.RecordBatch] = []
+        size = 0
         for b in batches:
-            for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if bucket and bucket[0][0] != r[0]:
-                    out += sort_bucket(bucket) if len(bucket) > 1 else []
-                    bucket = []
-                bucket.append(r)
-            if len(out) > 8192:
-                yield _spans(out)
-                out = []
-        yield _spans(out + (sort_bucket(bucket) if len(bucket) > 1 else []))
+            waiting.append(b)
+            size += b.num_rows
+            if size >= 8192 and waiting[0].column(0)[0] != b.column(0)[-1]:
+                table = pa.Table.from_batches(waiting)
+                gram = table.column("gram").to_numpy()
+                whole = int(np.searchsorted(gram == gram[-1], True))  # the last bucket may go on
+                yield _spans(repeated_in_buckets(Filed.of(table.slice(0, whole), len(lengths)), lengths))
+                waiting = table.slice(whole).to_batches()
+                size = sum(x.num_rows for x in waiting)
+        if size:
+            yield _spans(repeated_in_buckets(Filed.of(pa.Table.from_batches(waiting), len(lengths)), lengths))
 
     cold = filed.filter("not hot").drop("hot").repartition("gram").sortWithinPartitions("gram")
     spans = cold.mapInArrow(sort_buckets, _SPANS)
 
-    if not shared.filter(F.col("n") > bucket_max).isEmpty():
+    if not shared.filter(F.col("places") > bucket_max).isEmpty():
 
         def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for t1, t2, pos, lo, hi, around in zip(*[b.column(c).to_pylist() for c in ("t1", "t2", "pos", "lo", "hi", "around")], strict=True):
-                    keys = [text_key(around[i : i + length]) for i in range(hi - lo + 1)]
-                    cols = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())]
-                    start = pos - hi
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array([t1] * len(keys), pa.int64()), pa.array([t2] * len(keys), pa.int64()), pa.array(range(start, start + len(keys)), pa.int64())], ["w1", "w2", "t1", "t2", "s"])
-
-        hashed = cut(filed.filter("hot").mapInArrow(windows, "w1 long, w2 long, t1 long, t2 long, s long").withColumn("w", F.struct("w1", "w2")), "cover-windows")
+                rows = []
+                for t1, t2, pos, left, around, *ends in zip(*[b.column(c).to_pylist() for c in ("t1", "t2", "pos", "left", "around", *[f"{x}{k}" for k in numbers for x in ("lo", "hi")])], strict=True):
+                    for k, length in enumerate(lengths):
+                        lo, hi = ends[2 * k : 2 * k + 2]
+                        rows += [(*text_key(around[left - o : left - o + length]), k, t1, t2, pos - o) for o in range(lo, hi + 1)]
+                for a in range(0, len(rows), 16_384):
+                    cols = np.array(rows[a : a + 16_384], np.int64).T
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["w1", "w2", "kind", "t1", "t2", "s"])
+
+        hashed = cut(filed.filter("hot").mapInArrow(windows, "w1 long, w2 long, kind long, t1 long, t2 long, s long").select(F.struct("w1", "w2").alias("w"), "kind", "t1", "t2", "s"), "cover-windows")
         counts = hashed.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1")
-        starts = join_facts(hashed, counts, "w", "n", hashed.count())
-        spans = spans.unionByName(starts.select("t1", "t2", "s", (F.col("s") + length).alias("e")))
+
+        def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for kind, t1, t2, starts in zip(*[b.column(i).to_pylist() for i in range(3)], b.column(3), strict=True):
+                    s = np.sort(starts.values.to_numpy())
+                    gap = np.flatnonzero(np.diff(s) > 1)
+                    first, last = s[np.concatenate([[0], gap + 1])], s[np.concatenate([gap, [len(s) - 1]])]
+                    out.append(np.stack([np.full(len(first), x) for x in (kind, t1, t2)] + [first, last + lengths[kind]], 1))
+                yield _spans(np.concatenate(out))
+
+        starts = join_facts(hashed, counts, "w", "n", hashed.count()).groupBy("kind", "t1", "t2", F.shiftright("s", 15).alias("block")).agg(F.collect_list("s").alias("starts"))
+        spans = spans.unionByName(starts.select("kind", "t1", "t2", "starts").mapInArrow(runs, _SPANS))
     return spans, texts.select("t1", "t2", "text")
 
 
-def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, bucket_max: int = 2048) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of [start, end) in bytes)."""
+def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, bucket_max: int = 8192, passage: int = 256) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared, spans (array of [start, end) in bytes)."""
     small_batches(df.sparkSession)
+    lengths = tuple(sorted({length, passage}))
+    removal, report = lengths.index(length), lengths.index(passage)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -265,30 +404,28 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
 
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     described = cut(docs.mapInArrow(describe, "doc_id long, t1 long, t2 long, n_bytes long, sha string").withColumn("t", F.struct("t1", "t2")), "texts")
-    spans, texts = repeated_spans(df, length, bucket_max, text_col)
-
-    pair = F.struct("s", "e")
-    # ranges of one text that overlap are merged before and after the shuffle by distinct, then in the task
-    per_text = spans.distinct().groupBy("t1", "t2").agg(F.collect_list(pair).alias("found"))
+    spans, texts = repeated_spans(df, lengths, bucket_max, text_col)
+    per_text = spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("kind", "s", "e")).alias("found"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for i in range(b.num_rows):
                 text = b.column(2)[i].cast(pa.binary()).as_py()
-                gone = merged([(x["s"], x["e"]) for x in b.column(3)[i].as_py()])
+                found = b.column(3)[i].as_py()
+                gone, held = (merged([(x["s"], x["e"]) for x in found if x["kind"] == k]) for k in (removal, report))
                 kept, at = [], 0
                 for s, e in gone:
                     kept.append(text[at:s])
                     at = e
                 kept.append(text[at:])
-                out.append((b.column(0)[i].as_py(), b.column(1)[i].as_py(), sum(e - s for s, e in gone), len(gone), hashlib.sha256(b"".join(kept)).hexdigest(), [{"start": s, "end": e} for s, e in gone]))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["t1", "t2", "n_removed", "n_spans", "kept_sha256", "spans"])
+                out.append((b.column(0)[i].as_py(), b.column(1)[i].as_py(), sum(e - s for s, e in gone), len(gone), hashlib.sha256(b"".join(kept)).hexdigest(), sum(e - s for s, e in held), [{"start": s, "end": e} for s, e in gone]))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["t1", "t2", "n_removed", "n_spans", "kept_sha256", "n_shared", "spans"])
 
-    stripped = texts.join(per_text, ["t1", "t2"]).select("t1", "t2", "text", "found").mapInArrow(strip, "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    stripped = texts.join(per_text, ["t1", "t2"]).select("t1", "t2", "text", "found").mapInArrow(strip, "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string, n_shared long, spans array<struct<start:long,end:long>>")
     classes = described.groupBy("t").agg(F.count("*").alias("n"))
-    facts = classes.join(stripped.select(F.struct("t1", "t2").alias("t"), "n_removed", "n_spans", "kept_sha256", "spans"), "t", "left")
+    facts = classes.join(stripped.select(F.struct("t1", "t2").alias("t"), "n_removed", "n_spans", "kept_sha256", "n_shared", "spans"), "t", "left")
     facts = facts.withColumn("copies", F.col("n") > 1)
     out = join_facts(described.select("doc_id", "t", "n_bytes", "sha"), cut(facts, "text-facts"), "t", "n", described.count())
     whole = F.col("copies") & (F.col("n_bytes") >= length)
@@ -299,6 +436,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
         F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
         F.when(whole, F.lit(empty)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(F.col("copies") & (F.col("n_bytes") >= passage), F.col("n_bytes")).otherwise(F.coalesce("n_shared", zero)).alias("n_shared"),
         F.when(whole, F.array(F.struct(zero.alias("start"), F.col("n_bytes").alias("end")))).otherwise(F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>"))).alias("spans"),
     )
 

@@ -9,6 +9,7 @@ import string
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -108,267 +109,70 @@ def test_simhash_groups(spark, docs, rows, none):
     assert simhash.groups(none).count() == 0
 
 
-@pytest.mark.parametrize("bucket_max", [64, 1])
-def test_links_of_a_crowd(spark, bucket_max):
-    """Values around one centre and chains; crowded keys must give the same components as pairs."""
-    r = random.Random(1)
-    centre = r.getrandbits(64)
-    fps = {centre ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for _ in range(150)} | {r.getrandbits(64) for _ in range(50)}
-    x = r.getrandbits(64)
-    for _ in range(30):
-        x ^= (1 << r.randrange(64)) ^ (1 << r.randrange(64))
-        fps.add(x)
-    fps = sorted(fps)
-    signed = [f - (f >> 63 << 64) for f in fps]
-    roots = {r["node"]: r["root"] for r in simhash.components(simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp long"), bucket_max)).collect()}
-    comp = brute_components(fps, 2)
-    same = collections.defaultdict(set)
-    for c, f in zip(comp, signed):
-        same[c].add(roots.get(f, f))
-    assert all(len(v) == 1 for v in same.values()) and len({min(v) for v in same.values()}) == len(set(comp))
-
-
-def test_golay_keys_meet():
-    r = np.random.default_rng(0)
-    a = r.integers(-(2**63), 2**63, 5000)
-    b = (a.view(np.uint64) ^ (np.uint64(1) << r.integers(0, 64, 5000).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 5000).astype(np.uint64))).view(np.int64)
-    keys = collections.defaultdict(set)
-    for k, i in zip(*simhash.golay_keys(a)):
-        keys[i].add(k)
-    met = {i for k, i in zip(*simhash.golay_keys(b)) if k in keys[i]}
-    assert len(met) == 5000 and max(map(len, keys.values())) <= 18
-
-
-def test_keep_one(spark, rows, docs, none):
-    def shingled(t):
-        w = (t or "").translate(LOWER).split()
-        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
-
-    s = [shingled(t) for _, t in rows]
-    parent = list(range(len(rows)))
-
-    def find(a):
-        while parent[a] != a:
-            a = parent[a]
-        return a
-
-    for a in range(len(rows)):
-        for b in range(a):
-            n = len(s[a] & s[b])
-            if n >= 0.8 * (len(s[a]) + len(s[b]) - n):
-                parent[max(find(a), find(b))] = min(find(a), find(b))
-    got = simhash.keep_one(docs).collect()
-    index = {(i, t): k for k, (i, t) in enumerate(rows)}
-    groups = [find(index[(r["doc_id"], r["text"])]) for r in got]
-    assert len(groups) == len(set(groups)) == len({find(a) for a in range(len(rows))})
-    assert simhash.keep_one(none).count() == 0
-
-
-def test_keep_one_in_a_crowd(spark):
-    """Chains of edits share crowded keys; whatever the size from which a key is crowded, the groups are those of all pairs."""
-    r = random.Random(9)
-    texts = []
-    for _ in range(3):
-        w = ["".join(r.choice("abcdef") for _ in range(6)) for _ in range(150)]
-        for k in range(60):
-            w[(k * 11) % 150] = f"new{k}"
-            texts.append(" ".join(w))
-    r.shuffle(texts)
-    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
-    group = list(range(len(texts)))
-    for a in range(len(texts)):
-        for b in range(a):
-            same = len(sets[a] & sets[b])
-            if group[a] != group[b] and same >= 0.8 * (len(sets[a]) + len(sets[b]) - same):
-                low, high = sorted((group[a], group[b]))
-                group = [low if g == high else g for g in group]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for bucket_max in (1, 1000):
-        assert {x["doc_id"] for x in simhash.keep_one(df, bucket_max=bucket_max).collect()} == set(group)
-
-
-def test_license_scan(spark, docs, none):
-    texts = [
-        (1, "See: CC-BY and cc by cc, all rights reserved"), (2, "Licensed under the Apache License, Version 2.0"), (3, "the license apache under"), (4, None), (5, ""),
-        (6, "x " * 300 + "Permission is hereby granted free of charge to any person who gets a copy of this software and associated documentation files to deal in the software without restriction" + " y" * 300),
-        (7, "ünder GENERAL\npublic: license"), (8, "cc " * 5 + "by"),
-    ]
-    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-
-    def brute(t):
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
-        places = {p: [i for i in range(len(w)) if w[i : i + len(p.split())] == p.split()] for p in license_scan.PHRASES}
-        every = [i for x in places.values() for i in x]
-        return len(w), len(every), min(every, default=None), max(every, default=None), ",".join(sorted(license_scan.PHRASES[p] for p, x in places.items() if x))
-
-    for i, t in texts:
-        r = got[i]
-        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute(t)
-        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
-    assert got[2]["labels"] == "apache-2.0" and got[3]["labels"] == "" and got[6]["labels"] == "mit" and got[4]["score"] == 0
-    assert license_scan.scan(docs).count() == docs.count() and license_scan.scan(none).count() == 0
-
-
-def test_set_join_filters_lose_nothing():
-    r = random.Random(3)
-    t = license_scan.Template("t", " ".join(f"v{i}" for i in range(12)))
-    for _ in range(300):
-        w = [f"v{r.randrange(16)}".encode() for _ in range(r.randrange(0, 60))]
-        freq = {f"v{i}".encode(): r.randrange(5) for i in range(12)}
-        e = license_scan.indexed((t,), freq)[0]
-        at = collections.defaultdict(list)
-        for i, x in enumerate(w):
-            at[x].append(i)
-        best = max((len(set(w[k * e.length : k * e.length + 2 * e.length]) & set(e.ordered)) for k in range(len(w) // e.length + 1)), default=0)
-        assert license_scan.blocks_held(w, at, e) == (best / len(e.ordered) if best >= e.need else 0)
-
-
-def test_license_does_not_depend_on_the_offset(spark):
-    notice = "Licensed to you under the terms of the Apache License, Version 2.0"
-    texts = [(k, "x " * k + notice + " y" * 40) for k in range(40)]
-    got = license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
-    assert [r["labels"] for r in got] == ["apache-2.0"] * 40 and {r["score"] for r in got} == {1.0}
-    r = random.Random(23)
-    for share in (0.5, 0.8, 1.0):
-        t = license_scan.Template("t", " ".join(f"v{i}" for i in range(10)) + " v0 v1", share)
-        for _ in range(300):
-            w = [f"v{r.randrange(30)}".encode() for _ in range(r.randrange(0, 90))]
-            e = license_scan.indexed((t,), {f"v{i}".encode(): r.randrange(5) for i in range(10)})[0]
-            at = {}
-            for i, x in enumerate(w):
-                at.setdefault(x, []).append(i)
-            best = max((len(set(w[k : k + 2 * e.length]) & set(e.ordered)) for k in range(len(w))), default=0)
-            assert license_scan.windows_held(w, at, e) == (best / len(e.ordered) if best >= e.need else 0)
-
-
-def test_pii_base_against_regex(spark, docs, none):
-    r = random.Random(5)
-    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-    ip, card, phone = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-
-    def brute(t):
-        digits = lambda m: re.sub("[^0-9]", "", m[0])
-        out = [("email", m.start(), m.end()) for m in email.finditer(t)]
-        out += [("ip", m.start(), m.end()) for m in ip.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
-        out += [("card", m.start(), m.end()) for m in card.finditer(t) if 16 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
-        return out + [("phone", m.start(), m.end()) for m in phone.finditer(t) if 8 <= len(digits(m)) <= 15]
-
-    for _ in range(3000):
-        t = "".join(r.choice("a.@b-%+1 (203)4\n") for _ in range(r.randrange(60)))
-        assert sorted(map(tuple, pii.detect(t))) == sorted(brute(t))
-    t = "pay 4539 1488 0343 6467 or mail a.b@c.example.org, call +1 (415) 555-0100 from 10.0.0.255"
-    assert [s.kind for s in pii.detect(t)] == ["email", "ip", "card", "phone"]
-    out = pii.digest(docs)
-    assert out.count() == docs.count() and pii.digest(none).count() == 0
-    empty = out.filter("doc_id is null and base_sha256 = sha2('', 256)").count()
-    assert empty >= 1
-
-
-@pytest.mark.parametrize(
-    ("text", "hidden"),
-    [
-        ("write to john.doe (at) example (dot) com today", "john.doe (at) example (dot) com"), ("reach jane at example dot org now", "jane at example dot org"), ("call plus one five five five two three four nine eight seven six ok", "plus one five five five two three four nine eight seven six"),
-        ("４１１１ 1111 1111 1111", "４１１１ 1111 1111 1111"), ("аdmin@exаmple.com", "аdmin@exаmple.com"), ("we looked at the house", None), ("one two three", None),
-    ],
-)
-def test_pii_disguises(text, hidden):
-    found = pii.disguised(text, pii.detect(text))
-    assert [text[s.start : s.end] for s in found] == ([hidden] if hidden else [])
-
-
-def test_pii_gate_changes_nothing(monkeypatch):
-    """Spans do not depend on the shortcut, nor on a Greek letter elsewhere."""
-    r = random.Random(21)
-    parts = ["joe", "@", " ", " at ", " dot ", " punkt ", " Point ", "host", "org", "(at)", "[dot]", "x@host", "one ", "two, ", "plus ", "4", "-", ".", "\n", " AT ", " arroba ", " chez ", "<@>", "\u200b", "а", "é", "ſ", "K"]
-    texts = ["joe@host dot org", "mail joe@host dot co DOT uk now", *("".join(r.choice(parts) for _ in range(r.randrange(2, 24))) for _ in range(30_000))]
-    gated = [pii.disguised(t, pii.detect(t)) for t in texts]
-    assert [texts[0][s.start : s.end] for s in gated[0]] == ["joe@host dot org"] and gated[0] == pii.disguised(texts[0] + " \u03c9", [])
-    monkeypatch.setattr(pii, "_BRACKET_HINT", re.compile(""))  # matches everywhere: the gate is open
-    assert [pii.disguised(t, pii.detect(t)) for t in texts] == gated
-
-
-def test_toxicity(spark, docs, none):
-    r = random.Random(6)
-    bad = ["blargface", "numskullery"]
-    data, labels = [], []
-    for i in range(900):
-        toxic = i % 4 == 0
-        w = prose(r, 30).split()
-        if toxic:
-            w.insert(r.randrange(30), r.choice(bad) if i % 8 else "snork" + r.choice("abcdefghijk") + r.choice("xyz"))
-        data.append((i, " ".join(w)))
-        labels.append((i, int(toxic)))
-    data += [(1000, "you blargfase"), (1001, None), (1002, ""), (None, "x"), (1000, "you blargfase")]
-    d = spark.createDataFrame(data, "doc_id long, text string")
-    lab = spark.createDataFrame([*labels, (None, 1), (1, None)], "doc_id long, toxic int")
-    got = toxicity.scores(d, lab).collect()
-    assert len(got) == len(data)
-    held = [x for x in got if x["held_out"] and x["doc_id"] is not None and x["doc_id"] < 900]
-    assert sum(x["predicted"] == (x["doc_id"] % 4 == 0) for x in held) >= 0.95 * len(held)
-    by = {x["doc_id"]: x for x in got}
-    assert all(x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0) for x in got if x["doc_id"] is not None)
-    assert by[1000]["score"] > by[1001]["score"] == by[1002]["score"] >= 0
-    assert {x["score"] for x in toxicity.scores(docs, lab.filter("doc_id < 0")).collect()} == {0.0}
-    assert toxicity.scores(none, lab).count() == 0
-
-
-def test_automaton_is_edit_distance():
-    from attestry.plans.catalog import edit_distance
-
-    r = random.Random(7)
-    terms = ["".join(r.choice("abc") for _ in range(r.randrange(1, 7))) for _ in range(12)]
-    trie = toxicity.Trie(terms)
-    for _ in range(2000):
-        t = "".join(r.choice("abc") for _ in range(r.randrange(0, 8)))
-        for most in (0, 1, 2):
-            assert (trie.within(t, most) is not None) == any(edit_distance(t, x) <= most for x in terms)
-    lex = toxicity.Lexicon(frozenset(), frozenset(), ("moron", "scumbag"))
-    assert lex.kind("morron") == 2 and lex.kind("scunbag") == 2 and lex.kind("moon") == 2 and lex.kind("lemon") == 0
-
-
-def test_quality(spark, docs, rows, none):
-    got = collections.Counter(tuple(r) for r in quality.measures(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect())
-    want = collections.Counter()
-    for i, t in rows:
-        t = t or ""
-        w = re.findall(r"[^\x20\x09-\x0D]+", t)
-        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-        grams = collections.Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
-        covered = {k + j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(3)}
-        want[(i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w))] += 1
-    assert got == want
-    names = list(quality.rules(docs["text"], docs["text"]))
-    order = quality.measured_order(docs)
-    assert sorted(order) == sorted(names)
-    kept = lambda o: {(r["row"]["doc_id"], r["row"]["text"]) for r in quality.with_words(docs, "text").select("row", quality.verdict(o, quality.rules(F.col("text"), F.col("w"))).alias("kept")).filter("kept").collect()}
-    assert kept(order) == kept(names[::-1])
-    assert quality.measures(none).count() == 0 and quality.keep_good(docs).columns == docs.columns
-
-
-@pytest.mark.parametrize("bucket_max", [2048, 1])
-def test_suffix_dedup(spark, docs, rows, none, bucket_max):
-    n = 400
+def repeated_bytes(rows, n):
+    """For each row a flag for each byte: whether a string of n bytes that starts elsewhere too covers it."""
     count = collections.Counter()
     for _, t in rows:
         b = (t or "").encode()
         count.update(b[p : p + n] for p in range(len(b) - n + 1))
-    want = collections.Counter()
-    for i, t in rows:
+    for _, t in rows:
         b = (t or "").encode()
         gone = np.zeros(len(b) + 1, int)
         for p in range(len(b) - n + 1):
             if count[b[p : p + n]] > 1:
                 gone[p] += 1
                 gone[p + n] -= 1
-        c = np.cumsum(gone)[:-1] > 0
+        yield np.cumsum(gone)[:-1] > 0
+
+
+@pytest.mark.parametrize(("bucket_max", "pairs_max"), [(8192, 48), (8192, 2), (1, 48)])
+def test_suffix_dedup(spark, docs, rows, none, bucket_max, pairs_max, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PAIRS_MAX", pairs_max)
+    want = collections.Counter()
+    for (i, t), c, shared in zip(rows, repeated_bytes(rows, 400), repeated_bytes(rows, 256), strict=True):
+        b = (t or "").encode()
         spans = int((np.diff(np.concatenate([[0], c.astype(int)])) == 1).sum())
-        want[(i, len(b), int(c.sum()), spans, hashlib.sha256(bytes(x for x, y in zip(b, c) if not y)).hexdigest())] += 1
+        want[(i, len(b), int(c.sum()), spans, hashlib.sha256(bytes(x for x, y in zip(b, c) if not y)).hexdigest(), int(shared.sum()))] += 1
     got = suffix_dedup.removals(docs, bucket_max=bucket_max)
-    assert collections.Counter(tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()) == want
+    assert collections.Counter(tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared").collect()) == want
     if bucket_max > 1:
         assert suffix_dedup.removals(none).count() == 0
 
 
+def test_buckets_match_brute_force(monkeypatch):
+    """Every split of a bucket's members - pairs, ranks, classes of equal surroundings - against plain counting."""
+    r = random.Random(9)
+    lengths = (20, 32)
+    for pairs_max in (2, 48):
+        monkeypatch.setattr(suffix_dedup, "PAIRS_MAX", pairs_max)
+        base = bytes(r.choice(b"abc") for _ in range(150))
+        texts = [base[r.randrange(60) : 90 + r.randrange(60)] + bytes(r.choice(b"abcdefgh") for _ in range(30)) for _ in range(25)] + [b"ab" * 60, b"x" * 80, base, base[:40]]
+        rows = []
+        for i, t in enumerate(texts):
+            pos, gram, lo, hi = suffix_dedup.cover(t, lengths)
+            for p, g, a, b in zip(pos, gram, lo.T, hi.T, strict=True):
+                left, right = max((y for x, y in zip(a, b) if x <= y), default=0), max((n - x for n, x, y in zip(lengths, a, b) if x <= y), default=0)
+                rows.append((int(g), i, 0, int(p), *[int(v) for k in range(2) for v in (a[k], b[k])], int(left), t[p - left : p + right]))
+        rows.sort(key=lambda x: x[0])
+        names = ["gram", "t1", "t2", "pos", "lo0", "hi0", "lo1", "hi1", "left", "around"]
+        table = pa.table({n: [x[k] for x in rows] for k, n in enumerate(names)}, schema=pa.schema([(n, pa.binary() if n == "around" else pa.int64()) for n in names]))
+        spans = suffix_dedup.repeated_in_buckets(suffix_dedup.Filed.of(table, 2), lengths)
+        for kind, n in enumerate(lengths):
+            for i, c in enumerate(repeated_bytes([(i, t.decode()) for i, t in enumerate(texts)], n)):
+                got = np.zeros(len(texts[i]), bool)
+                for k, t1, _, s, e in spans.tolist():
+                    if k == kind and t1 == i:
+                        got[s:e] = True
+                assert (got == c).all(), (pairs_max, n, i)
+
+
+def test_periodic_texts_are_cheap(spark):
+    """A megabyte of one letter and one of a period: every place of a bucket stands in one text."""
+    texts = ["a" * 1_000_000, "abcde" * 200_000, "z" * 399 + "tail"]
+    got = suffix_dedup.removals(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["n_shared"]) for r in got.collect()} == {0: (1_000_000, 1_000_000, 1, 1_000_000), 1: (1_000_000, 1_000_000, 1, 1_000_000), 2: (403, 0, 0, 399)}
+
+
 def test_tied_offsets_match_brute_force():
     r = random.Random(8)
     for n in (3, 12):
