@@ -9,11 +9,11 @@ by content plays its part here: about 2 in 386 positions are sampled, and two ti
 One bucket is sorted at a time.  Its sampled positions are ranked once by what follows and once by what precedes, with
 the common prefix lengths of neighbours; a tie between suffixes is then decided by those two ranks, never by reading
 bytes again.  Small buckets compare each two members, all buckets of a batch at once.  Buckets hold only k-grams that
-occur twice or more; of each text only one copy takes part.
+occur twice or more; of each text only one copy takes part, and of places of a text with equal surroundings only one,
+so a periodic text files a few places.
 
-A bucket of over `bucket_max` sampled positions, wherever they stand (a passage in a large share of all documents, or a
-long periodic text), is not gathered: its windows are hashed to 128 bits and counted with map-side combination,
-whatever their number.
+A bucket of over `bucket_max` such places, wherever they stand (a passage in a large share of all documents), is not
+gathered: its windows are hashed to 128 bits and counted with map-side combination, whatever their number.
 
 Two lengths are searched in one pass: strings of `length` bytes are removed, and strings of `passage` bytes (about 50
 words) are reported as n_shared, the bytes they cover.  The cover of the shorter windows holds that of the longer ones.
@@ -94,6 +94,47 @@ def cover(text: bytes, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray
     return pos, h[pos].view(np.int64), lo, hi
 
 
+@dataclass
+class Placed:
+    """The cover of a text; of places with equal surroundings one is kept, and all of them are repeated."""
+
+    pos: np.ndarray
+    gram: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    keep: np.ndarray
+    again: np.ndarray
+
+    @classmethod
+    def of(cls, text: bytes, lengths: tuple[int, ...]) -> Placed:
+        pos, gram, lo, hi = cover(text, lengths)
+        there = lo <= hi
+        left, right = np.where(there, hi, 0).max(0), np.where(there, np.array(lengths)[:, None] - lo, 0).max(0)
+        keep, again = np.ones(len(pos), bool), np.zeros(len(pos), bool)
+        order = np.argsort(gram, kind="stable")
+        same = gram[order][1:] == gram[order][:-1]
+        twice = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        seen: dict[tuple, int] = {}
+        for i, p, a, b, *ends in zip(*[x[twice].tolist() for x in (np.arange(len(pos)), pos, left, right, *lo, *hi)], strict=True):
+            first = seen.setdefault((text[p - a : p + b], *ends), i)
+            if first != i:
+                keep[i] = False
+                again[i] = again[first] = True
+        return cls(pos, gram, lo, hi, left, right, keep, again)
+
+    def repeated(self, kind: int, length: int) -> np.ndarray:
+        """(s, e) ranges, merged, of the windows that stand twice in the text as their whole surroundings do."""
+        use = self.again & (self.lo[kind] <= self.hi[kind])
+        s, e = self.pos[use] - self.hi[kind, use], self.pos[use] - self.lo[kind, use] + length
+        if not len(s):
+            return np.zeros((0, 2), np.int64)
+        top = np.maximum.accumulate(e)
+        gap = np.flatnonzero(s[1:] > top[:-1])
+        return np.stack([s[np.concatenate([[0], gap + 1])], top[np.concatenate([gap, [len(s) - 1]])]], 1)
+
+
 def common_prefix(a: bytes, b: bytes) -> int:
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
@@ -159,17 +200,20 @@ class Filed:
     lo: np.ndarray  # (lengths, n)
     hi: np.ndarray
     left: np.ndarray  # bytes before the position
+    again: np.ndarray  # repeated within its text
+    kind: np.ndarray  # where 0 or more: no place, but a range [pos, upto) that is repeated within its text
+    upto: np.ndarray
     data: np.ndarray
     at: np.ndarray  # (n + 1) places in data
 
     @classmethod
     def of(cls, table: pa.Table, n_lengths: int) -> Filed:
         t = table.combine_chunks()
-        col = lambda c: t.column(c).to_numpy()
+        col = lambda c: t.column(c).to_numpy(zero_copy_only=False)
         around = t.column("around").chunk(0)
         at = np.frombuffer(around.buffers()[1], np.int32)[around.offset : around.offset + len(around) + 1].astype(np.int64)
         lo, hi = (np.stack([col(f"{x}{k}") for k in range(n_lengths)]).astype(np.int64) for x in ("lo", "hi"))
-        return cls(col("gram"), np.stack([col("t1"), col("t2")], 1), col("pos"), lo, hi, col("left").astype(np.int64), np.frombuffer(around.buffers()[2], np.uint8), at)
+        return cls(col("gram"), np.stack([col("t1"), col("t2")], 1), col("pos"), lo, hi, col("left").astype(np.int64), col("again"), col("kind"), col("upto"), np.frombuffer(around.buffers()[2], np.uint8), at)
 
     def around(self, i: int) -> bytes:
         return self.data[self.at[i] : self.at[i + 1]].tobytes()
@@ -187,11 +231,12 @@ def repeated_in_buckets(f: Filed, lengths: tuple[int, ...]) -> np.ndarray:
     n = len(f.gram)
     start = np.flatnonzero(np.concatenate([[True], f.gram[1:] != f.gram[:-1]]))
     size = np.diff(np.concatenate([start, [n]]))
-    out = [np.zeros((0, 5), np.int64)]
+    told = np.flatnonzero(f.kind >= 0)
+    out = [np.stack([f.kind[told], f.text[told, 0], f.text[told, 1], f.pos[told], f.upto[told]], 1).astype(np.int64)]
     done = np.zeros(n, bool)  # rows with the same surroundings as another one: all their windows are repeated
     members: dict[int, list[np.ndarray]] = {}
     for a, k in zip(start.tolist(), size.tolist(), strict=True):
-        if k == 1:
+        if k == 1 or (f.kind[a : a + k] >= 0).all():
             continue
         if k == 2:
             members.setdefault(2, []).append(np.array([a, a + 1]))
@@ -204,10 +249,11 @@ def repeated_in_buckets(f: Filed, lengths: tuple[int, ...]) -> np.ndarray:
                 done[same] = True
         if len(kinds) > 1:
             members.setdefault(len(kinds), []).append(np.array([same[0] for same in kinds.values()]))
-    whole = np.flatnonzero(done)
+    whole = np.flatnonzero(done & ~f.again)
     for kind, length in enumerate(lengths):
         rows = whole[f.lo[kind, whole] <= f.hi[kind, whole]]
         out.append(f.spans(rows, f.lo[kind, rows], f.hi[kind, rows], kind, length))
+    done |= f.again
     few = [np.stack(v) for k, v in members.items() if k <= PAIRS_MAX]
     if few:
         pairs = np.concatenate([np.stack([m[:, i].ravel(), m[:, j].ravel()], 1) for m in few for i, j in [np.triu_indices(m.shape[1], 1)]])
@@ -276,20 +322,22 @@ def repeated_spans(df: DataFrame, lengths: tuple[int, ...], bucket_max: int, tex
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, grams, times = [], [], []
+            keys, grams, times, twice = [], [], [], []
             for x in b.column(0).cast(pa.binary()):
                 text = x.as_py()
-                g, n = np.unique(cover(text, lengths)[1], return_counts=True)
+                c = Placed.of(text, lengths)
+                g, n = np.unique(c.gram[c.keep], return_counts=True)
                 keys.append(np.broadcast_to(np.array(text_key(text)), (len(g), 2)))
                 grams.append(g)
                 times.append(n)
+                twice.append(np.isin(g, c.gram[c.again]))
             if keys:
                 k = np.concatenate(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.ascontiguousarray(k[:, 0])), pa.array(np.ascontiguousarray(k[:, 1])), pa.array(np.concatenate(times))], ["gram", "t1", "t2", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.ascontiguousarray(k[:, 0])), pa.array(np.ascontiguousarray(k[:, 1])), pa.array(np.concatenate(times)), pa.array(np.concatenate(twice))], ["gram", "t1", "t2", "times", "twice"])
 
-    sampled = raw.mapInArrow(sample, "gram long, t1 long, t2 long, times long")
-    sampled = cut(sampled.groupBy("gram", "t1", "t2").agg(F.max("times").alias("times")), "cover-sample")  # copies of a text count once
-    shared = cut(sampled.groupBy("gram").agg(F.count("*").alias("n"), F.sum("times").alias("places")).filter("places > 1"), "cover-shared")
+    sampled = raw.mapInArrow(sample, "gram long, t1 long, t2 long, times long, twice boolean")
+    sampled = cut(sampled.groupBy("gram", "t1", "t2").agg(F.max("times").alias("times"), F.bool_or("twice").alias("twice")), "cover-sample")  # copies of a text count once
+    shared = cut(sampled.groupBy("gram").agg(F.count("*").alias("n"), F.sum("times").alias("places"), F.bool_or("twice").alias("twice")).filter("places > 1 or twice"), "cover-shared")
     facts = shared.select("gram", "n", (F.col("places") > bucket_max).alias("hot"))
     wanted = join_facts(sampled.select("gram", "t1", "t2"), facts, "gram", "n", sampled.count())
     wanted = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("gram", "hot")).alias("grams"))  # a text's own
@@ -310,7 +358,7 @@ def repeated_spans(df: DataFrame, lengths: tuple[int, ...], bucket_max: int, tex
     texts = raw.mapInArrow(once, "t1 long, t2 long, text string").join(wanted, ["t1", "t2"]).dropDuplicates(["t1", "t2"])
     texts = cut(texts, "cover-texts")
 
-    places = "gram long, hot boolean, t1 long, t2 long, pos long, " + "".join(f"lo{k} int, hi{k} int, " for k in numbers) + "left int, around binary"
+    places = "gram long, hot boolean, t1 long, t2 long, pos long, " + "".join(f"lo{k} int, hi{k} int, " for k in numbers) + "left int, again boolean, kind int, upto long, around binary"
     names = [x.split()[0] for x in places.split(", ")]
 
     def file_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,18 +370,20 @@ def repeated_spans(df: DataFrame, lengths: tuple[int, ...], bucket_max: int, tex
                 grams, hot = wanted.field("gram").to_numpy(), wanted.field("hot").to_numpy(zero_copy_only=False)
                 order = np.argsort(grams)
                 grams, hot = grams[order], hot[order]
-                pos, gram, lo, hi = cover(text, lengths)
-                at = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
-                use = np.flatnonzero(grams[at] == gram)
-                lo, hi = lo[:, use], hi[:, use]
-                there = lo <= hi
-                left = np.where(there, hi, 0).max(0)
-                right = np.where(there, np.array(lengths)[:, None] - lo, 0).max(0)
-                cols = [gram[use], hot[at[use]], np.full(len(use), t1), np.full(len(use), t2), pos[use], *[x[k].astype(np.int32) for k in numbers for x in (lo, hi)], left.astype(np.int32)]
-                for a in range(0, len(use), 4096):
+                c = Placed.of(text, lengths)
+                at = np.minimum(np.searchsorted(grams, c.gram), len(grams) - 1)
+                use = np.flatnonzero(c.keep & (grams[at] == c.gram))
+                n = len(use)
+                cols = [c.gram[use], hot[at[use]], np.full(n, t1), np.full(n, t2), c.pos[use], *[x[k, use].astype(np.int32) for k in numbers for x in (c.lo, c.hi)], c.left[use].astype(np.int32), c.again[use], np.full(n, -1, np.int32), np.full(n, -1)]
+                for a in range(0, n, 4096):
                     part = slice(a, a + 4096)
-                    around = [text[p - x : p + y] for p, x, y in zip(pos[use][part].tolist(), left[part].tolist(), right[part].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*[pa.array(c[part]) for c in cols], pa.array(around, pa.binary())], names)
+                    around = [text[p - x : p + y] for p, x, y in zip(c.pos[use][part].tolist(), c.left[use][part].tolist(), c.right[use][part].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*[pa.array(x[part]) for x in cols], pa.array(around, pa.binary())], names)
+                for k in numbers if c.again.any() else ():  # under a key of their own, so that they are spread
+                    r = c.repeated(k, lengths[k])
+                    n = len(r)
+                    cols = [r[:, 0] * 0x5851F42D4C957F2D ^ t1, np.zeros(n, bool), np.full(n, t1), np.full(n, t2), r[:, 0], *[np.full(n, x, np.int32) for _ in numbers for x in (1, 0)], np.zeros(n, np.int32), np.ones(n, bool), np.full(n, k, np.int32), r[:, 1]]
+                    yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(x)) for x in cols], pa.array([b""] * n, pa.binary())], names)
 
     filed = texts.mapInArrow(file_suffixes, places)
 
@@ -369,7 +419,8 @@ def repeated_spans(df: DataFrame, lengths: tuple[int, ...], bucket_max: int, tex
                     cols = np.array(rows[a : a + 16_384], np.int64).T
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["w1", "w2", "kind", "t1", "t2", "s"])
 
-        hashed = cut(filed.filter("hot").mapInArrow(windows, "w1 long, w2 long, kind long, t1 long, t2 long, s long").select(F.struct("w1", "w2").alias("w"), "kind", "t1", "t2", "s"), "cover-windows")
+        of_hot = texts.filter(F.exists("grams", lambda g: g["hot"])).mapInArrow(file_suffixes, places).filter("hot")
+        hashed = cut(of_hot.mapInArrow(windows, "w1 long, w2 long, kind long, t1 long, t2 long, s long").select(F.struct("w1", "w2").alias("w"), "kind", "t1", "t2", "s"), "cover-windows")
         counts = hashed.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1")
 
         def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

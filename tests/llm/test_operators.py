@@ -149,13 +149,14 @@ def test_buckets_match_brute_force(monkeypatch):
         texts = [base[r.randrange(60) : 90 + r.randrange(60)] + bytes(r.choice(b"abcdefgh") for _ in range(30)) for _ in range(25)] + [b"ab" * 60, b"x" * 80, base, base[:40]]
         rows = []
         for i, t in enumerate(texts):
-            pos, gram, lo, hi = suffix_dedup.cover(t, lengths)
-            for p, g, a, b in zip(pos, gram, lo.T, hi.T, strict=True):
-                left, right = max((y for x, y in zip(a, b) if x <= y), default=0), max((n - x for n, x, y in zip(lengths, a, b) if x <= y), default=0)
-                rows.append((int(g), i, 0, int(p), *[int(v) for k in range(2) for v in (a[k], b[k])], int(left), t[p - left : p + right]))
+            c = suffix_dedup.Placed.of(t, lengths)
+            for x in np.flatnonzero(c.keep).tolist():
+                p, left, right = (int(v[x]) for v in (c.pos, c.left, c.right))
+                rows.append((int(c.gram[x]), i, 0, p, *[int(v[k, x]) for k in range(2) for v in (c.lo, c.hi)], left, bool(c.again[x]), -1, -1, t[p - left : p + right]))
+            rows += [(i, i, 0, int(a), 1, 0, 1, 0, 0, True, k, int(b), b"") for k in range(2) for a, b in c.repeated(k, lengths[k])]
         rows.sort(key=lambda x: x[0])
-        names = ["gram", "t1", "t2", "pos", "lo0", "hi0", "lo1", "hi1", "left", "around"]
-        table = pa.table({n: [x[k] for x in rows] for k, n in enumerate(names)}, schema=pa.schema([(n, pa.binary() if n == "around" else pa.int64()) for n in names]))
+        names = ["gram", "t1", "t2", "pos", "lo0", "hi0", "lo1", "hi1", "left", "again", "kind", "upto", "around"]
+        table = pa.table({n: [x[k] for x in rows] for k, n in enumerate(names)}, schema=pa.schema([(n, {"around": pa.binary(), "again": pa.bool_()}.get(n, pa.int64())) for n in names]))
         spans = suffix_dedup.repeated_in_buckets(suffix_dedup.Filed.of(table, 2), lengths)
         for kind, n in enumerate(lengths):
             for i, c in enumerate(repeated_bytes([(i, t.decode()) for i, t in enumerate(texts)], n)):
