@@ -1,7 +1,8 @@
 """Findings of a text: one master pattern, group classification, and an ordered fall-back for unknown evidence.
 
 The master pattern runs once per text inside regexp_replace, which rewrites every match with marks around its groups;
-split and posexplode turn that into one row per match.  All that follows are windows over a text's few matches.
+split and posexplode turn that into one row per match.  Texts end there: what is shuffled are the matches, their lengths
+and the line ends between them, from which running sums give offsets and lines.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from ..plans.catalog import RuleSet
 from ..sources.store import cut
 
 PARTIES = ("FIRST_PARTY", "THIRD_PARTY", "UNKNOWN", "FORBIDDEN")
-_MATCH, _FIELD, _END = "", "", ""
+_MATCH, _FIELD, _END = T.MARKS[:3]
 
 
 def party_rank(party: Column) -> Column:
@@ -25,25 +26,41 @@ def party_rank(party: Column) -> Column:
     return rank
 
 
+def line_ends(c: Column) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+
+
 def matches(df: DataFrame, id_col: str, text_col: str, regex: str, groups: int, most: int | None = None) -> DataFrame:
-    """id, text, pos, whole, groups (array), start, end, start_line, end_line: one row per match of regex.
+    """id, row_no, pos, whole, groups (array), start, end, start_line, end_line, lines_before, fresh_line: one row per match.
 
-    most: how many characters of a text are searched; all of them without it.
+    lines_before: line ends before the match; fresh_line: 1 if one of them stands right before it.  row_no tells texts
+    with equal ids apart.  most: how many characters of a text are searched; all of them without it.
     """
     marks = _MATCH + "".join(f"{_FIELD}${i}" for i in range(1, groups + 1)) + f"{_FIELD}$0{_END}"
-    base = df.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row_no"), T.searched(F.col(f"`{text_col}`"), most).alias("text"))
-    parts = base.select("id", "row_no", "text", F.posexplode(F.split(F.regexp_replace("text", regex, marks), _MATCH, -1)).alias("pos", "part"))
-    cut = F.split("part", _END, 2)
-    fields = F.split(cut[0], _FIELD, -1)
+    text = T.searched(F.col(f"`{text_col}`"), most)
+    base = df.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row_no"), F.explode(F.array(F.split(F.regexp_replace(text, regex, marks), _MATCH, -1))).alias("parts"))
+    parts = base.filter(F.size("parts") > 1).select("id", "row_no", F.posexplode("parts").alias("pos", "part"))
+    halves = F.split("part", _END, 2)
+    fields = F.split(halves[0], _FIELD, -1)
+    behind = F.when(F.col("pos") > 0, F.get(halves, F.lit(1))).otherwise(F.col("part"))
     rows = parts.select(
-        "id", "row_no", "text", "pos", F.when(F.col("pos") > 0, F.get(fields, F.lit(groups + 1))).alias("whole"),
-        F.when(F.col("pos") > 0, F.slice(fields, 2, groups)).alias("groups"), F.length(F.when(F.col("pos") > 0, F.get(cut, F.lit(1))).otherwise(F.col("part"))).alias("gap"),
+        "id", "row_no", "pos", F.when(F.col("pos") > 0, F.get(fields, F.lit(groups + 1))).alias("whole"), F.when(F.col("pos") > 0, F.slice(fields, 2, groups)).alias("groups"),
+        F.length(behind).alias("gap"), line_ends(behind).alias("gap_lines"), F.when(behind != "", F.endswith(behind, F.lit("\n"))).alias("gap_fresh"),
     )
-    order = Window.partitionBy("id", "row_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # ids can be null or repeat
-    rows = rows.withColumn("upto", F.sum(F.col("gap") + F.coalesce(F.length("whole"), F.lit(0))).over(order)).filter("pos > 0").drop("row_no")
-    end = F.col("upto") - F.col("gap")
-    rows = rows.withColumn("end", end.cast("int")).withColumn("start", (end - F.length("whole")).cast("int"))
-    return rows.withColumn("start_line", T.line_number(F.col("text"), F.col("start"))).withColumn("end_line", T.line_number(F.col("text"), F.col("end")))
+    order = Window.partitionBy("row_no").orderBy("pos")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("lines", F.coalesce(line_ends(F.col("whole")), F.lit(0))).withColumn("size", F.coalesce(F.length("whole"), F.lit(0)))
+    rows = rows.withColumn("at", F.sum(F.col("gap") + F.col("size")).over(upto) - F.col("gap")).withColumn("seen", F.sum(F.col("gap_lines") + F.col("lines")).over(upto) - F.col("gap_lines"))
+    fresh = F.coalesce(F.lag("gap_fresh").over(order), F.lag(F.endswith("whole", F.lit("\n"))).over(order), F.lit(False)).cast("int")
+    rows = rows.withColumn("fresh_line", fresh).filter("pos > 0")
+    rows = rows.select("id", "row_no", "pos", "whole", "groups", (F.col("at") - F.col("size")).cast("int").alias("start"), F.col("at").cast("int").alias("end"), (F.col("seen") - F.col("lines")).cast("int").alias("lines_before"), "fresh_line")
+    return rows.withColumn("start_line", line_within(F.lit(0))).withColumn("end_line", line_within(F.length("whole")))
+
+
+def line_within(offset: Column) -> Column:
+    """Line of a place in a match.  The first character of a line counts to the line before."""
+    inside = line_ends(F.substring(F.col("whole"), F.lit(1), offset - 1))
+    return (1 + F.col("lines_before") + F.when(offset <= 0, -F.col("fresh_line")).otherwise(inside)).cast("int")
 
 
 def _license_party(c: Column, r: RuleSet) -> Column:
@@ -54,23 +71,36 @@ def _owner_party(c: Column, r: RuleSet) -> Column:
     return F.when(T.owner_match(c, r.forbidden_owners), "FORBIDDEN").when(T.owner_match(c, r.third_owners), "THIRD_PARTY").when(T.owner_match(c, r.first_owners), "FIRST_PARTY")
 
 
-def scan(df: DataFrame, rules: RuleSet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ord, party, match_type, text, start_line, end_line, start, end: the findings of each text in order."""
-    m = matches(df, id_col, text_col, rules.master, 8, grammar.SEARCH_MAX)
-    text = F.col("text")
+def group_places() -> Column:
+    """The groups of a match that hold anything: group, raw, g_start, g_end (in the match), from what stands before each.
+
+    Where what stands before a group begins with the match, its length is the place; in the repeated part of the pattern a
+    group is that of its last turn, so the last place of what was caught around it counts.
+    """
+    g, out = F.col("groups"), []
+    for number, (before, raw, after, repeated) in enumerate(grammar.GROUPS, 1):
+        part = lambda i: F.lit("") if not i else F.coalesce(F.get(g, F.lit(i - 1)), F.lit(""))
+        a = F.length(part(before))
+        if repeated:
+            around = F.concat(part(before), part(raw), part(after))
+            a = a + F.length("whole") - F.call_function("locate", F.reverse(around), F.reverse(F.col("whole"))) + 1 - F.length(around)
+        out.append(F.struct(F.lit(number).alias("group"), part(raw).alias("raw"), a.cast("int").alias("a"), (a + F.length(part(raw))).cast("int").alias("b")))
+    return F.filter(F.array(*out), lambda x: F.trim(x["raw"]) != "")
 
-    def group(raw: Column, i: Column) -> Column:
-        a = F.col("start") + F.greatest(F.call_function("locate", raw, F.col("whole")) - 1, F.lit(0))
-        b = a + F.length(raw)
-        return F.struct((i + 1).alias("group"), raw.alias("raw"), a.cast("int").alias("g_start"), b.cast("int").alias("g_end"), T.line_number(text, a).alias("sl"), T.line_number(text, b).alias("el"))
 
-    groups = F.transform(F.filter("groups", lambda x: x.isNotNull()), group)
+def scan(df: DataFrame, rules: RuleSet, id_col: str = "doc_id", text_col: str = "text", most: int | None = grammar.SEARCH_MAX) -> DataFrame:
+    """id, ord, party, match_type, text, start_line, end_line, start, end: the findings of each text in order.
+
+    most: the search window in characters; None scans whole texts.
+    """
+    m = matches(df, id_col, text_col, rules.master, grammar.GROUP_COUNT, most)
     # the matches are few; written once, the master pattern runs once
-    m = cut(m.select("id", "pos", "whole", "start", "end", "start_line", "end_line", groups.alias("groups"), T.normalize_license(F.col("whole")).alias("shown")), "matches")
+    m = cut(m.select("id", "row_no", "pos", "whole", "start", "end", "start_line", "end_line", "lines_before", "fresh_line", group_places().alias("groups"), T.normalize_license(F.col("whole")).alias("shown")), "matches")
 
     # groups: excluded and blank ones go, the others always give a finding
     g = m.select("*", F.explode("groups").alias("g")).select("*", "g.*").drop("g")
-    g = g.filter((F.trim(F.coalesce("raw", F.lit(""))) != "") & ~T.found_any(F.col("raw"), rules.excludes))
+    g = g.filter(~T.found_any(F.col("raw"), rules.excludes))
+    g = g.withColumn("sl", line_within(F.col("a"))).withColumn("el", line_within(F.col("b"))).withColumn("g_start", F.col("start") + F.col("a")).withColumn("g_end", F.col("start") + F.col("b"))
     g = g.withColumn("lic", T.normalize_license(F.col("raw"))).withColumn("own", T.normalize_owner(F.col("lic")))
     known, owner = _license_party(F.col("lic"), rules), _owner_party(F.col("own"), rules)
     says_license = F.lower("lic").rlike("licen[sc]e")
@@ -78,27 +108,27 @@ def scan(df: DataFrame, rules: RuleSet, id_col: str = "doc_id", text_col: str =
     g = g.withColumn("known", known)
     g = g.withColumn("party", F.coalesce("known", F.when(unknown, F.lit("UNKNOWN")), owner, F.lit("THIRD_PARTY")))
     g = g.withColumn("match_type", F.when(F.col("known").isNotNull() | unknown, "LICENSE").otherwise("AUTHOR_OWNER"))
-    found = g.select("id", F.lit(0).alias("late"), "pos", "group", "party", "match_type", F.col("shown").alias("text"), F.col("sl").alias("start_line"), F.col("el").alias("end_line"), F.col("g_start").alias("start"), F.col("g_end").alias("end"))
+    found = g.select("id", "row_no", F.lit(0).alias("late"), "pos", "group", "party", "match_type", F.col("shown").alias("text"), F.col("sl").alias("start_line"), F.col("el").alias("end_line"), F.col("g_start").alias("start"), F.col("g_end").alias("end"))
 
     # fall-back: matches that gave nothing, while no license has been seen
-    per = found.groupBy("id", "pos").agg(F.count("*").alias("built"), F.sum(F.when(F.col("match_type") == "LICENSE", 1).otherwise(0)).alias("licenses"))
-    order = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    f = m.drop("groups").join(per, ["id", "pos"], "left").na.fill(0, ["built", "licenses"])
-    f = f.withColumn("before", F.sum("licenses").over(order)).withColumn("ever", F.sum("licenses").over(Window.partitionBy("id")))
+    per = found.groupBy("row_no", "pos").agg(F.count("*").alias("built"), F.sum(F.when(F.col("match_type") == "LICENSE", 1).otherwise(0)).alias("licenses"))
+    order = Window.partitionBy("row_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    f = m.drop("groups", "lines_before", "fresh_line").join(per, ["row_no", "pos"], "left").na.fill(0, ["built", "licenses"])
+    f = f.withColumn("before", F.sum("licenses").over(order)).withColumn("ever", F.sum("licenses").over(Window.partitionBy("row_no")))
     f = f.filter((F.col("built") == 0) & (F.col("before") == 0) & ~F.col("shown").rlike(r"(?i)\Ano copyright(?:able)?") & ~T.found_any(F.col("whole"), rules.excludes))
     f = f.withColumn("own", T.normalize_owner(F.col("shown"))).withColumn("lp", _license_party(F.col("shown"), rules)).withColumn("op", _owner_party(F.col("own"), rules))
     f = f.withColumn("hit", F.coalesce("lp", "op"))
     vague = F.col("hit").isNull()
-    prior = Window.partitionBy("id", "vague").orderBy("pos")
+    prior = Window.partitionBy("row_no", "vague").orderBy("pos")
     f = f.withColumn("vague", vague)
     far = (F.col("start_line") - F.lag("end_line").over(prior) >= 6) & (F.col("start") - F.lag("end").over(prior) >= 300)
     f = f.withColumn("opens", F.when(F.col("vague"), F.coalesce(far, F.lit(True))).otherwise(F.lit(False)))
     f = f.withColumn("session", F.sum(F.col("opens").cast("int")).over(order)).filter(F.col("session") <= grammar.CLUSTERS_MAX)
-    by_hit = f.filter(~F.col("vague")).select("id", F.lit(0).alias("late"), "pos", F.lit(0).alias("group"), F.col("hit").alias("party"), F.when(F.col("lp").isNotNull(), "LICENSE").otherwise("AUTHOR_OWNER").alias("match_type"), F.col("shown").alias("text"), "start_line", "end_line", "start", "end")
+    by_hit = f.filter(~F.col("vague")).select("id", "row_no", F.lit(0).alias("late"), "pos", F.lit(0).alias("group"), F.col("hit").alias("party"), F.when(F.col("lp").isNotNull(), "LICENSE").otherwise("AUTHOR_OWNER").alias("match_type"), F.col("shown").alias("text"), "start_line", "end_line", "start", "end")
     words = F.array_sort(F.collect_list(F.struct("pos", "shown")))
-    clusters = f.filter(F.col("vague") & (F.col("ever") == 0)).groupBy("id", "session").agg(
-        F.min("pos").alias("pos"), F.array_join(F.transform(words, lambda x: x["shown"]), "...").alias("text"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.min("start").alias("start"), F.max("end").alias("end"))
-    clusters = clusters.select("id", F.lit(1).alias("late"), "pos", F.lit(0).alias("group"), F.lit("UNKNOWN").alias("party"), F.lit("LICENSE").alias("match_type"), "text", "start_line", "end_line", "start", "end")
+    clusters = f.filter(F.col("vague") & (F.col("ever") == 0)).groupBy("row_no", "session").agg(
+        F.first("id").alias("id"), F.min("pos").alias("pos"), F.array_join(F.transform(words, lambda x: x["shown"]), "...").alias("text"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.min("start").alias("start"), F.max("end").alias("end"))
+    clusters = clusters.select("id", "row_no", F.lit(1).alias("late"), "pos", F.lit(0).alias("group"), F.lit("UNKNOWN").alias("party"), F.lit("LICENSE").alias("match_type"), "text", "start_line", "end_line", "start", "end")
     every = found.unionByName(by_hit).unionByName(clusters)
-    number = Window.partitionBy("id").orderBy("late", "pos", "group")
+    number = Window.partitionBy("row_no").orderBy("late", "pos", "group")
     return every.select("id", F.row_number().over(number).alias("ord"), "party", "match_type", "text", "start_line", "end_line", "start", "end")

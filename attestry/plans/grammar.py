@@ -84,6 +84,79 @@ def _any(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
+def _atom_end(p: str, i: int) -> int:
+    """Where the atom of a regex that begins at i ends: a group, a class, an escape or one character."""
+    if p[i] == "\\":
+        return p.index("}", i) + 1 if p[i + 1 : i + 2] in "pP" and p[i + 2 : i + 3] == "{" else i + 2
+    if p[i] == "[":
+        i += 2
+        while p[i] != "]":
+            i += 2 if p[i] == "\\" else 1
+        return i + 1
+    if p[i] == "(":
+        i += 1
+        while p[i] != ")":
+            i = _atom_end(p, i)
+    return i + 1
+
+
+def _alternatives(p: str) -> list[str]:
+    out, begun, i = [], 0, 0
+    while i < len(p):
+        if p[i] == "|":
+            out.append(p[begun:i])
+            begun = i + 1
+            i += 1
+        else:
+            i = _atom_end(p, i)
+    return [*out, p[begun:]]
+
+
+def first_characters(p: str) -> frozenset[str] | None:
+    """The characters, in lower case, a match of p can begin with; None where that cannot be said or p can be empty."""
+    out: set[str] = set()
+    for alt in _alternatives(p):
+        i, open_end = 0, True
+        while i < len(alt) and open_end:
+            j = _atom_end(alt, i)
+            atom = alt[i:j]
+            times = re.match(r"(?:[?*+]|\{[0-9]+(?:,[0-9]*)?\})[?+]?", alt[j:])
+            i = j + (times.end() if times else 0)
+            if re.match(r"\(\?<?[=!]", atom) or atom in ("\\b", "\\A", "^"):
+                continue
+            if atom.startswith("(?:"):
+                found = first_characters(atom[3:-1])
+            elif atom[0] == "[":
+                found = None if re.search(r"[\\^&-]", atom[1:-1]) else frozenset(atom[1:-1])
+            elif atom[0] == "\\":
+                found = None if atom[1].isalnum() else frozenset(atom[1])
+            else:
+                found = None if atom[0] in "(.$" else frozenset(atom)
+            if found is None:
+                return None
+            out |= found
+            open_end = bool(times) and times[0][0] in "?*" or bool(times) and times[0].startswith("{0")
+        if open_end:
+            return None
+    return frozenset(c.lower() for c in out)
+
+
+def by_first_character(patterns: list[str]) -> str:
+    """The alternation of patterns in their order, but only those are tried that can begin with the character at hand."""
+    firsts = [first_characters(p) for p in patterns]
+    lists: dict[tuple[int, ...], str] = {}
+    letters = sorted(set().union(*[f for f in firsts if f is not None]))
+    for c in letters:
+        here = tuple(k for k, f in enumerate(firsts) if f is None or c in f)
+        lists[here] = lists.get(here, "") + re.sub(r"[^a-z0-9]", lambda m: "\\" + m[0] if m[0].isascii() else m[0], c)
+    out = [f"(?=[{chars}])(?:{_any([patterns[k] for k in here])})" for here, chars in lists.items()]
+    anywhere = [p for p, f in zip(patterns, firsts, strict=True) if f is None]
+    if anywhere:
+        known = "".join(lists.values())
+        out.append((f"(?![{known}])" if known else "") + f"(?:{_any(anywhere)})")
+    return "|".join(out)
+
+
 def full_match(patterns: list[str]) -> str | None:
     """A regex that is true for whole texts matching one of the expanded patterns; None for no patterns."""
     return f"{FLAGS}\\A(?:{_any(patterns)})\\z" if patterns else None
@@ -91,28 +164,30 @@ def full_match(patterns: list[str]) -> str | None:
 
 NEVER = "(?!)"
 
+#: Groups of the master pattern, by number of finding: what stands before, the group itself, what stands behind, and whether
+#: it is in the repeated part.  1 known license 2 "provided under the ... license" 3 "License: ..." line 4 author
+#: 5, 6 owner behind years, owner before years 7, 8 the same in following lines.
+GROUPS = ((0, 1, 0, False), (2, 3, 0, False), (4, 5, 0, False), (6, 7, 0, False), (8, 9, 0, False), (10, 11, 12, False), (13, 14, 0, True), (15, 16, 17, True))
+GROUP_COUNT = 17
 
-def master(third: list[str], first: list[str], forbidden: list[str], owners: list[str]) -> str:
-    """One alternation, first alternative wins: 8 groups.
 
-    1 known license (third-party, first-party, forbidden) 2 "provided under the ... license" 3 "License: ..." line
-    4 author 5, 6 owner behind years, owner before years 7, 8 the same in following lines; then contract words.
-    """
-    known = _any([embedded(p) for p in (*third, *first, *forbidden)]) or NEVER
+def master(third: list[str], first: list[str], forbidden: list[str], owners: list[str]) -> str:
+    """One alternation, first alternative wins, with the groups above; then contract words."""
+    known = by_first_character([embedded(p) for p in (*third, *first, *forbidden)]) or NEVER
     owner_words = f"{_NAME}(?:[\\x20\\t]{{1,4}}{_NAME}){{0,{WORDS_MAX}}}"
     extra = _any([embedded(p) for p in owners])
     name = f"(?:{extra}|{owner_words})" if extra else owner_words
     sign = rf"(?:copyright(?:ed|s)?(?:{MAYBE_SPACE}(?:\(c\)|©|&copy;))?|\(c\)|©|&copy;)"
     gap = r"[\s,:\p{Z}*/#-]{1,47}"
-    claim = lambda: rf"{sign}{gap}(?:{_YEARS}{gap}(?:by{SPACE})?({name})|({name}){gap}{_YEARS})"
-    follow = rf"(?:{WS}{{1,{SPACE_MAX}}}{claim()}){{0,5}}"
-    contract = _any([expand(p) for p in CONTRACT_WORDS])
+    claim = rf"(?:({sign}{gap}{_YEARS}{gap}(?:by{SPACE})?)({name})|({sign}{gap})({name})({gap}{_YEARS}))"
+    follow = rf"(?:{WS}{{1,{SPACE_MAX}}}{claim}){{0,5}}"
+    contract = by_first_character([expand(p) for p in CONTRACT_WORDS])
     parts = [
         f"({known})",
-        rf"\b(?:is|are){SPACE}(?:distributed|provided|released|made{SPACE}available|licensed){SPACE}under{SPACE}(?!this\b)((?:{NOT_SPACE}{{1,{NAME_MAX}}}{SPACE}){{1,12}}?licen[sc]es?)\b",
-        rf"\blicen[sc]e[\x20\t]*:[\x20\t]*({NOT_SPACE}{{1,{NAME_MAX}}}(?:[\x20\t]{{1,4}}{NOT_SPACE}{{1,{NAME_MAX}}}){{0,9}})",
-        rf"\b(?:the{SPACE}authors?{SPACE}of{SPACE}this{SPACE}software{SPACE}(?:is|are){SPACE}|authors?[\x20\t]*:[\x20\t]*)({name})",
-        rf"{claim()}{follow}",
+        rf"(\b(?:is|are){SPACE}(?:distributed|provided|released|made{SPACE}available|licensed){SPACE}under{SPACE}(?!this\b))((?:{NOT_SPACE}{{1,{NAME_MAX}}}{SPACE}){{1,12}}?licen[sc]es?)\b",
+        rf"(\blicen[sc]e[\x20\t]*:[\x20\t]*)({NOT_SPACE}{{1,{NAME_MAX}}}(?:[\x20\t]{{1,4}}{NOT_SPACE}{{1,{NAME_MAX}}}){{0,9}})",
+        rf"(\b(?:the{SPACE}authors?{SPACE}of{SPACE}this{SPACE}software{SPACE}(?:is|are){SPACE}|authors?[\x20\t]*:[\x20\t]*))({name})",
+        rf"{claim}{follow}",
         rf"\b(?:{contract})(?:{SPACE}(?:{contract})){{0,35}}\b",
     ]
     # a match begins where a word begins: no other place tries the alternatives

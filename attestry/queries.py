@@ -20,9 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Texts dealt over all cores: a single input file would be one task of heavy regex work."""
+    """Texts dealt over all cores where the input has fewer splits than cores; other inputs are read as they lie."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(4 * n)
 
 
 # --- findings -------------------------------------------------------------------------------------------------------
@@ -133,11 +133,12 @@ def entity_unquote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize_license(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter(~F.col("text").rlike("(?i)https?://|www[.]|</"))
-    return d.select("doc_id", F.md5(T.normalize_license(F.col("text")).cast("binary")).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_license(F.col("text")).cast("binary")).alias("digest"))
 
 
-NORMALIZE_SQL = r"""SELECT doc_id, md5(trim(regexp_replace(text, '[\s\p{Z}*/#\x{B7}\x{A7}\x{AD}\x{B6}\x{A0}]+', ' ', 'g'), ' ')) AS digest FROM documents WHERE NOT regexp_matches(text, '(?i)https?://|www[.]|</')"""
+_KEPT = grammar.URL.replace("'", "''")
+NORMALIZE_SQL = rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '(?i){_KEPT}|</') AS m, regexp_split_to_array(text, '(?i){_KEPT}|</') AS g FROM documents)
+SELECT doc_id, md5(trim(array_to_string(list_transform(range(1, len(g) + 1), lambda i: regexp_replace(g[i], '[\s\p{{Z}}*/#\x{{B7}}\x{{A7}}\x{{AD}}\x{{B6}}\x{{A0}}]+', ' ', 'g') || coalesce(m[i], '')), ''), ' ')) AS digest FROM t"""
 
 
 def normalize_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,14 +197,26 @@ c AS (SELECT d.source, coalesce(k, 0) > 1 OR (coalesce(k, 0) = 1 AND NOT regexp_
 SELECT source, review, CAST(CASE WHEN review THEN -1 ELSE 2 END AS INTEGER) AS vote FROM c"""
 
 
+SHORT_WORDS = "(?i)(the|der|les|con)"
+
+
 def clustered_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hint words of each document in gap sessions: a new one 6 lines and 300 characters behind the last word."""
-    m = scan.matches(table(spark, sf_dir, "documents"), "doc_id", "text", r"(?i)\b(the|der|les|con)\b", 1).select("id", "pos", "whole", "start", "end", "start_line", "end_line")
-    w = Window.partitionBy("id").orderBy("pos")
+    """Short words of each document in gap sessions: a new one 6 lines and 300 characters behind the last word."""
+    m = scan.matches(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", SHORT_WORDS, 1)
+    w = Window.partitionBy("row_no").orderBy("pos")
     far = (F.col("start_line") - F.lag("end_line").over(w) >= 6) & (F.col("start") - F.lag("end").over(w) >= 300)
     return m.withColumn("opens", F.coalesce(far, F.lit(True)).cast("int")).withColumn("session", F.sum("opens").over(w))
 
 
+_CLUSTERS = f"""t AS (SELECT doc_id, regexp_extract_all(text, '{SHORT_WORDS}') AS m, regexp_split_to_array(text, '{SHORT_WORDS}') AS g FROM documents),
+p AS (SELECT doc_id, unnest(m) AS w, unnest(g[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM t),
+c AS (SELECT doc_id, i, gap, length(w) AS n, sum(length(gap) + length(w)) OVER o AS e, sum(length(gap) - length(replace(gap, chr(10), ''))) OVER o AS lines FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+l AS (SELECT doc_id, i, e - n AS a, e, lines + 1 - CASE WHEN ends_with(gap, chr(10)) THEN 1 ELSE 0 END AS a_line, lines + 1 AS e_line FROM c),
+f AS (SELECT *, coalesce(a_line - lag(e_line) OVER o >= 6 AND a - lag(e) OVER o >= 300, TRUE) AS opens FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS session FROM f),
+k AS (SELECT doc_id, CAST(session AS BIGINT) AS session, count(*) AS n_words, CAST(min(a) AS INTEGER) AS start, CAST(max(e) AS INTEGER) AS "end" FROM s GROUP BY doc_id, session)"""
+
+
 def unknown_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = clustered_words(spark, sf_dir)
     return m.groupBy(F.col("id").alias("doc_id"), "session").agg(F.count("*").alias("n_words"), F.min("start").alias("start"), F.max("end").alias("end"))
@@ -318,6 +331,8 @@ SQL: dict[str, str] = {
     "exclude_patterns": "SELECT doc_id, regexp_matches(text, 'Apache') OR regexp_matches(text, 'version 3') AS excluded FROM documents WHERE regexp_matches(text, '(?i)licen[sc]e')",
     "file_verdict": FILE_VERDICT_SQL,
     "change_verdict": CHANGE_VERDICT_SQL,
+    "unknown_clusters": f"WITH {_CLUSTERS} SELECT * FROM k",
+    "cluster_top10": f"WITH {_CLUSTERS} SELECT doc_id, count(*) AS n_clusters, CAST(sum(n_words) AS BIGINT) AS n_words FROM k WHERE session <= {grammar.CLUSTERS_MAX} GROUP BY doc_id",
     "unknown_suppression": f"WITH {_NOTICES} SELECT doc_id FROM documents WHERE regexp_matches(text, '{WORD_RE}') AND doc_id NOT IN (SELECT doc_id FROM n)",
     "comment_dedupe": COMMENT_DEDUPE_SQL,
     "reviewer_dedupe": "SELECT CASE WHEN c_custkey % 2 = 0 THEN 's' || c_custkey ELSE c_name END AS reviewer FROM customer WHERE c_custkey % 3 <> 0",

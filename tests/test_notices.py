@@ -7,6 +7,7 @@ import tarfile
 import zipfile
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from attestry import cli
@@ -88,6 +89,54 @@ def test_unknown_evidence(spark):
     assert [x["party"] for x in found(spark, [far + "\nReleased under the MIT License."])[0]] == ["THIRD_PARTY"]
 
 
+NOTICES = [
+    "Copyright 2019 Foo\nCopyright 2020 Foo", "author: thor", "Copyright 2019 Foo\nCopyright 2019 Foo\nCopyright 2019 Foo\n", "x\n\nCopyright (c) Foo Works 2001\n# Copyright Bar 2002, 2003\n# copyright 2004 by Baz",
+    "\nlicense: mit\nLicensed under the MIT License.\r\nThe author of this software is Ann Other. All rights reserved", "is licensed under the licensed under license of licenses", "herein\nhereby\n\nCopyright Foobar 2020\nCopyright Foo 2021\npatent",
+    "", "no notice", "Ünder the Apache License 2.0\n\U0001F600 (c) 1999 Ü Works",
+]
+
+
+def test_matches_are_those_of_another_engine(spark):
+    """Places, lines and groups of the master pattern as the regex module finds them, with and without the split by first character."""
+    plain = grammar.by_first_character
+    texts = [*NOTICES, "\n".join(NOTICES), policy.probe_text(40)]
+    for rules in (P, P.owner("first", "foo works?.*")):
+        grammar.by_first_character = grammar._any
+        try:
+            undivided = regex.compile(rules.master)
+        finally:
+            grammar.by_first_character = plain
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        m = scan.matches(df, "doc_id", "text", rules.master, grammar.GROUP_COUNT).withColumn("g", scan.group_places())
+        got = {i: [] for i in range(len(texts))}
+        for r in m.orderBy("id", "pos").collect():
+            got[r["id"]].append((r["whole"], r["start"], r["end"], r["start_line"], r["end_line"], [(g["group"], r["start"] + g["a"], r["start"] + g["b"]) for g in r["g"]]))
+        for pattern in (undivided, regex.compile(rules.master)):
+            for i, t in enumerate(texts):
+                line = lambda at: 1 + t.count("\n", 0, max(at - 1, 0))  # noqa: E731, B023
+                want = [
+                    (x[0], x.start(), x.end(), line(x.start()), line(x.end()), [(k, *x.span(raw)) for k, (_, raw, _, _) in enumerate(grammar.GROUPS, 1) if x[raw] and x[raw].strip(" ")])
+                    for x in pattern.finditer(t)
+                ]
+                assert got[i] == want, t[:80]
+
+
+def test_group_offsets(spark):
+    a, b = found(spark, NOTICES[:2]).values()
+    assert [(r["start"], r["end"]) for r in a] == [(15, 18), (34, 37)] and [(r["start"], r["end"]) for r in b] == [(8, 12)]
+
+
+def test_first_characters():
+    f = grammar.first_characters
+    assert f("(?:gnu )?(?:affero|agpl)") == {"g", "a"} and f("(?<!as )not") == {"n"} and f("[ab]c|\\(d") == {"a", "b", "("} and f("x{0,3}?y") == {"x", "y"}
+    assert f(".a") is None and f("a?") is None and f("\\p{L}x") is None and f("") is None and f("[^a]b") is None
+
+
+def test_texts_with_equal_or_no_ids(spark):
+    df = spark.createDataFrame([(None, "Copyright 2019 Foo"), (None, "Copyright 2019 Bar"), (1, "author: A"), (1, "author: A")], "doc_id long, text string")
+    assert sorted((r["id"] or 0, r["ord"], r["start"]) for r in scan.scan(df, P).collect()) == [(0, 1, 15), (0, 1, 15), (1, 1, 8), (1, 1, 8)]
+
+
 def test_policy_changes_party(spark):
     t = ["Copyright 2020 Example Works", "// License: apache2"]
     own = P.owner("forbidden", "example works.*")
