@@ -9,14 +9,14 @@ from __future__ import annotations
 import argparse
 import os
 import sys
-import tempfile
+import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import scan
 from .plans import catalog, policy
-from .sources import files, sinks
+from .sources import files, sinks, store
 
 PRESETS = {"generic": catalog.GENERIC, "permissive": catalog.PERMISSIVE}
 
@@ -38,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def scan_files(spark: SparkSession, args: argparse.Namespace, out=sys.stdout, err=sys.stderr) -> int:
+def scan_files(spark: SparkSession, args: argparse.Namespace, out=sys.stdout, err=sys.stderr, stdin=sys.stdin.buffer) -> int:
     if bool(args.listing) == bool(args.files):
         print("name files or one listing", file=err)
         return 1
@@ -48,23 +48,26 @@ def scan_files(spark: SparkSession, args: argparse.Namespace, out=sys.stdout, er
             return 2
         found = files.read_files(spark, args.files, skip=())
     else:
-        listing = args.listing
-        if listing == "-":
-            with tempfile.NamedTemporaryFile("wb", delete=False) as t:
-                t.write(sys.stdin.buffer.read())
-                listing = t.name
         skip = tuple(x for x in args.skip if x) if args.skip is not None else (files.DEFAULT_SKIP,)
-        found = files.read_listing(spark, listing, args.zero, skip)
-    texts = files.texts(found, args.deep).withColumn("key", F.struct("path_stack", "size"))
-    lines = scan.scan(texts, PRESETS[args.rules], "key").select("*", "id.*", F.lit(0).alias("elapsed_us")).orderBy("path_stack", "ord")
+        if args.listing == "-":
+            names = stdin.read().decode().split("\0" if args.zero else "\n")
+            found = files.read_named(spark, spark.createDataFrame([(x,) for x in names], "value string"), "value", skip)
+        else:
+            found = files.read_listing(spark, args.listing, args.zero, skip)
+    began, kept = time.perf_counter(), store.mark()
+    texts = store.cut(files.texts(found, args.deep), "texts")  # read and unpacked once
+    keyed = texts.withColumn("key", F.struct("path_stack", "size", "elapsed_us"))
+    lines = scan.scan(keyed, PRESETS[args.rules], "key").select("*", "id.*").orderBy("path_stack", "ord")
     for r in sinks.finding_lines(lines).toLocalIterator():
         print(r["value"], file=out)
     if args.verbose:
-        s = texts.agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.max("size").alias("largest")).first()
-        print(f"{s['files']} files, {s['bytes']} bytes, largest {s['largest']}", file=err)
+        s = sinks.throughput(texts, time.perf_counter() - began).first()
+        print(f"{s['n_scans']} files, {s['n_bytes']} bytes, largest {s['max_bytes']}, {s['n_binary']} binary, longest {s['max_us']} us, {s['files_per_s']:.1f} files/s", file=err)
     for r in sinks.errors(texts).toLocalIterator():
         print("<".join(reversed(r["path_stack"])), r["error"], file=err)
-    return sinks.exit_code(texts)
+    code = sinks.exit_code(texts)
+    store.release(spark, kept)
+    return code
 
 
 def probe_policy(spark: SparkSession, args: argparse.Namespace, out=sys.stdout) -> int:

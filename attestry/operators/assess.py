@@ -38,6 +38,7 @@ def change_verdicts(files: DataFrame, change: str, allowed: str = "third_party_a
 
 
 def message(party: Column, match_type: Column, text: Column, overall_rank: Column, allowed: Column, project: Column) -> Column:
+    # fixed values: the words of a comment
     head = F.when(party == "FIRST_PARTY", "First-party ").when(party == "THIRD_PARTY", "Third-party ").when(party == "FORBIDDEN", "Disapproved ").otherwise("Unrecognized ")
     kind = F.when(match_type == "LICENSE", "license ").otherwise("author or owner ")
     where = F.when((party == "THIRD_PARTY") & (overall_rank != 0), F.concat(F.when(allowed, "allowed").otherwise("disallowed"), F.lit(" in repository "), project)).otherwise("")

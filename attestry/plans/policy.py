@@ -12,15 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import catalog, grammar
+from . import catalog
 
 # Keys of a policy file.
 LISTS = ("reviewer", "cc", "alwaysReviewPath", "alwaysReview", "matchProjects", "excludeProjects", "thirdPartyAllowedProjects", "exclude", "excludePattern", "firstParty", "thirdParty", "forbidden", "firstPartyPattern", "thirdPartyPattern", "forbiddenPattern")
 SINGLE = ("enable", "fromAccountId", "reviewLabel", "timeTestMax")
 REGEX_LISTS = ("alwaysReviewPath", "alwaysReview", "matchProjects", "excludeProjects", "thirdPartyAllowedProjects", "excludePattern")
 DEFAULT_LABEL, DEFAULT_TIME_MAX = "Copyright-Review", 8
-#: Seconds from which a probe is possibly okay, a possible problem, very likely one, and far too long.
-TIERS = ((60.0, "way too long"), (10.0, "very likely a problem"), (2.0, "possible problem"), (1.0, "possibly okay"), (0.0, "okay"))
+# The bounds in seconds; the words are our own.
+TIERS = ((60.0, "unusable"), (10.0, "far too slow"), (2.0, "slow"), (1.0, "a little slow"), (0.0, "fast"))
 #: Fixed value: the form of a token.
 TOKEN = re.compile(r"Copyright-check: ([0-9a-fA-F]+)\.([0-9a-fA-F]{16})")
 
@@ -132,7 +132,7 @@ def check_project(p: Policy, labels: Mapping[str, list[str]], approvers: Mapping
     name, email, active, username.
     """
     hard = "ERROR" if p.enabled else "WARNING"
-    out = []
+    out = [] if p.enabled is not None else [Message("HINT", "enable", "", "no server section switches this on; it applies to no project")]
     if not p.one("reviewLabel"):
         out.append(Message(hard, "reviewLabel", "", "no review label"))
     elif p.label not in labels:
@@ -156,6 +156,41 @@ def check_project(p: Policy, labels: Mapping[str, list[str]], approvers: Mapping
     return out
 
 
+# --- changes of the policy ------------------------------------------------------------------------------------------
+
+#: Where a policy is kept.
+CONFIG_REF, CONFIG_FILE = "refs/meta/config", "project.config"
+
+
+def config_events(events: DataFrame, root_project: str) -> DataFrame:
+    """Of events (project, branch, files array, ...) those that change the policy file of the root project."""
+    return events.filter((F.col("branch") == CONFIG_REF) & (F.col("project") == root_project) & F.array_contains("files", CONFIG_FILE))
+
+
+@dataclass
+class Outcome:
+    """What becomes of a changed policy: a push can be rejected, a change under review gets comments at the tokens."""
+
+    rejected: bool
+    messages: list[Message]
+    comments: list[tuple[int, int, int, int, str]] = field(default_factory=list)
+
+
+def judge_change(new: Policy, current: Policy | None, commit_message: str, *, push: bool, default_time_max: int = DEFAULT_TIME_MAX) -> Outcome:
+    """Nothing for a policy that equals the current one.  Changed rules need one valid time token in the commit message."""
+    if current is not None and new.signature() == current.signature():
+        return Outcome(False, [])
+    most = new.time_max if not new.failed else default_time_max
+    messages, comments = list(new.messages), []
+    if new.rules is not None and (current is None or current.rules != new.rules) and most > 0:
+        times = read_tokens(commit_message, new.signature())
+        if must_report(times, most):
+            what = [f"token is not of this policy" if t < 0 else f"took {t / 1e6:.3f} s, {tier(t / 1e6)}; {most} s are allowed" if t > most * 1_000_000 else "more than one token" if len(times) > 1 else "valid" for t in times]
+            messages += [Message("ERROR" if push else "WARNING", "timeTestMax", str(most), x) for x in what or ["no time token in the commit message; run the probe"]]
+            comments = [(*at, x) for at, x in zip(token_places(commit_message), what, strict=True)]
+    return Outcome(push and any(m.severity == "ERROR" for m in messages), messages, comments)
+
+
 def messages_frame(spark: SparkSession, messages: list[Message]) -> DataFrame:
     return spark.createDataFrame([(m.severity, m.key, m.value, m.text) for m in messages], "severity string, key string, value string, message string")
 
@@ -224,7 +259,3 @@ def probe(spark: SparkSession, rules: catalog.RuleSet) -> float:
     began = time.perf_counter()
     scan(df, rules).write.format("noop").mode("overwrite").save()
     return time.perf_counter() - began
-
-
-def limit() -> int:
-    return grammar.SEARCH_MAX

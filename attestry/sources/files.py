@@ -7,15 +7,17 @@ import codecs
 import gzip
 import io
 import lzma
-import re
 import tarfile
+import time
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..plans.policy import Policy, parse_sections, read_policy
 
 DEFAULT_SKIP = r"[/][.]git[/]"
@@ -38,7 +40,11 @@ COMPRESSED = {".bz2": bz2.decompress, ".tbz2": bz2.decompress, ".gz": gzip.decom
 ODD_BYTES = {0x85: "™", 0x99: "™", 0x87: "*", 0xB7: "*", 0x94: "ö", 0xA0: " ", 0xA7: " ", 0xAD: " ", 0xB6: " ", 0xA9: "©", 0xAE: "®"}
 
 
+_odd: list[int] = []
+
+
 def _odd_byte(e: UnicodeError) -> tuple[str, int]:
+    _odd.append(e.start)
     b = e.object[e.start]
     return (chr(b) if b >= 0xC0 else ODD_BYTES.get(b, "?")), e.start + 1
 
@@ -46,29 +52,36 @@ def _odd_byte(e: UnicodeError) -> tuple[str, int]:
 codecs.register_error("attestry-odd-byte", _odd_byte)
 
 
-def decode(data: bytes) -> str:
-    """Text of bytes that are mostly UTF-8.  Reading ends at the first buffer end with more odd bytes than lines."""
+def decode_counted(data: bytes) -> tuple[str, int, int | None]:
+    """Text of bytes that are mostly UTF-8, the number of odd bytes, and the place in the text of the first.
+
+    One pass, a buffer at a time.  Reading ends at the first buffer end with more odd bytes than line ends.
+    """
     try:
-        return data.decode()
+        return data.decode(), 0, None
     except UnicodeDecodeError:
         pass
-    for end in range(BUFFER, len(data) + BUFFER, BUFFER):
-        head = data[:end]
-        odd = sum(1 for _ in _odd_places(head))
-        if odd > head.count(b"\n") and end < len(data):
-            return head.decode(errors="attestry-odd-byte")
-    return data.decode(errors="attestry-odd-byte")
+    decoder = codecs.getincrementaldecoder("utf-8")("attestry-odd-byte")
+    out, lines, odd, held, first = [], 0, 0, 0, None
+    for at in range(0, len(data), BUFFER):
+        _odd.clear()
+        part = decoder.decode(data[at : at + BUFFER], at + BUFFER >= len(data))
+        if _odd and first is None:
+            first = len(data[: held + _odd[0]].decode())
+        held = at + BUFFER - len(decoder.getstate()[0])
+        odd += len(_odd)
+        lines += part.count("\n")
+        out.append(part)
+        if odd > lines and at + BUFFER < len(data):
+            _odd.clear()
+            out.append(decoder.decode(b"", True))
+            odd += len(_odd)
+            break
+    return "".join(out), odd, first
 
 
-def _odd_places(data: bytes) -> Iterator[int]:
-    at = 0
-    while at < len(data):
-        try:
-            data[at:].decode()
-            return
-        except UnicodeDecodeError as e:
-            yield at + e.start
-            at += e.start + 1
+def decode(data: bytes) -> str:
+    return decode_counted(data)[0]
 
 
 def archive_kind(name: str) -> str | None:
@@ -87,7 +100,10 @@ def decompressed(name: str, data: bytes) -> tuple[str, bytes]:
     return name, data
 
 
-def _ar_entries(data: bytes) -> Iterator[tuple[str, bytes]]:
+Entry = tuple[str, Callable[[], bytes]]
+
+
+def _ar_entries(data: bytes) -> Iterator[Entry]:
     if not data.startswith(b"!<arch>\n"):
         raise ValueError("not an ar archive")
     at = 8
@@ -97,11 +113,17 @@ def _ar_entries(data: bytes) -> Iterator[tuple[str, bytes]]:
         name = head[:16].decode("latin-1").strip().rstrip("/")
         body = data[at + 60 : at + 60 + size]
         if name and not name.startswith("/"):
-            yield name, body
+            yield name, lambda body=body, size=size: _whole(body, size)
         at += 60 + size + size % 2
 
 
-def _cpio_entries(data: bytes) -> Iterator[tuple[str, bytes]]:
+def _whole(body: bytes, size: int) -> bytes:
+    if len(body) < size:
+        raise EOFError("archive ends within an entry")
+    return body
+
+
+def _cpio_entries(data: bytes) -> Iterator[Entry]:
     at = 0
     while data[at : at + 6] in (b"070701", b"070702"):
         f = [int(data[at + 6 + 8 * i : at + 14 + 8 * i], 16) for i in range(13)]
@@ -110,34 +132,37 @@ def _cpio_entries(data: bytes) -> Iterator[tuple[str, bytes]]:
         if name == "TRAILER!!!":
             return
         if f[1] & 0o170000 == 0o100000:
-            yield name, data[body_at : body_at + f[6]]
+            yield name, lambda body=data[body_at : body_at + f[6]], size=f[6]: _whole(body, size)
         at = body_at + (f[6] + 3) // 4 * 4
-    if not at:
-        raise ValueError("not a new-format cpio archive")
+    raise ValueError("cpio archive without its trailer" if at else "not a new-format cpio archive")
 
 
-def _tar_entries(data: bytes) -> Iterator[tuple[str, bytes]]:
+def _tar_entries(data: bytes) -> Iterator[Entry]:
     with tarfile.open(fileobj=io.BytesIO(data)) as t:
         for e in t:
             if e.isfile():
-                yield e.name, t.extractfile(e).read()
+                yield e.name, lambda e=e: _whole(t.extractfile(e).read(), e.size)
+        if len(data) % 512 or data[-512:].strip(b"\0"):
+            raise EOFError("tar archive without its end")
 
 
-def _zip_entries(data: bytes) -> Iterator[tuple[str, bytes]]:
+def _zip_entries(data: bytes) -> Iterator[Entry]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         for e in z.infolist():
             if not e.is_dir() and (e.external_attr >> 16) & 0o170000 != 0o120000:
-                yield e.filename, z.read(e)
+                yield e.filename, lambda e=e: z.read(e)
 
 
 READERS = {"ar": _ar_entries, "cpio": _cpio_entries, "tar": _tar_entries, "jar": _zip_entries, "zip": _zip_entries}
+_UNREADABLE = (ValueError, OSError, EOFError, tarfile.TarError, zipfile.BadZipFile, zlib.error, lzma.LZMAError, RuntimeError, NotImplementedError)
 
 
 def entries(name: str, data: bytes, stack: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], bytes, str | None]]:
     """(path stack, bytes, error) of a file, or of the entries of an archive, nested archives included.
 
-    A file that cannot be read as the archive its name promises is taken as it is; after a good entry, up to three
-    unreadable ones are passed over.
+    A file that cannot be read as the archive its name promises is taken as it is.  After a good entry each unreadable
+    one gives an error and the next is tried, three times at most; where the archive itself breaks off, that is an error of
+    the archive.
     """
     here = (*stack, name)
     plain, body = decompressed(name, data)
@@ -145,24 +170,28 @@ def entries(name: str, data: bytes, stack: tuple[str, ...] = ()) -> Iterator[tup
     if kind in READERS and len(here) <= MAX_NESTING:
         seen = bad = 0
         reader = READERS[kind](body)
-        while True:
+        while bad <= BAD_ENTRIES:
             try:
                 entry, content = next(reader)
             except StopIteration:
                 break
-            except (ValueError, OSError, EOFError, tarfile.TarError, zipfile.BadZipFile, RuntimeError, NotImplementedError) as e:
+            except _UNREADABLE as e:  # nothing comes behind it
+                if seen:
+                    yield here, b"", f"{type(e).__name__}: {e}"
+                break
+            try:
+                content = content()
+            except _UNREADABLE as e:
                 bad += 1
-                if not seen:
-                    break
-                if bad > BAD_ENTRIES:
-                    yield here, b"", str(e)
-                    break
-                continue
+                if seen:
+                    yield (*here, entry), b"", f"{type(e).__name__}: {e}"
+                    continue
+                break
             seen += 1
             yield from entries(entry, content, here)
         if seen:
             return
-        body = data if kind and not seen and body is data else body
+        body = data if kind and body is data else body
     yield here, body, None
 
 
@@ -174,37 +203,53 @@ def read_files(spark: SparkSession, paths: str | list[str], skip: tuple[str, ...
     return df.select("path", "length", "content")
 
 
-def read_listing(spark: SparkSession, listing: str, zero: bool = False, skip: tuple[str, ...] = (DEFAULT_SKIP,)) -> DataFrame:
-    """Files named by a listing, separated by newlines or NULs."""
-    names = spark.read.text(listing, lineSep="\0" if zero else "\n").filter("value <> ''")
+def read_named(spark: SparkSession, names: DataFrame, column: str = "value", skip: tuple[str, ...] = (DEFAULT_SKIP,)) -> DataFrame:
+    """The files whose paths stand in a column.  Spark's reader takes a list of paths, so the names, not the files, pass
+    through the driver: for more than some millions of them name their folders instead (read_files)."""
+    names = names.select(F.col(column).alias("value")).filter("value <> ''")
     for s in skip:
         names = names.filter(~F.col("value").rlike(s))
     return read_files(spark, [r["value"] for r in names.distinct().toLocalIterator()], skip=())
 
 
+def read_listing(spark: SparkSession, listing: str, zero: bool = False, skip: tuple[str, ...] = (DEFAULT_SKIP,)) -> DataFrame:
+    """Files named by a listing, separated by newlines or NULs."""
+    return read_named(spark, spark.read.text(listing, lineSep="\0" if zero else "\n"), "value", skip)
+
+
 def texts(files: DataFrame, deep: bool = True) -> DataFrame:
-    """path, path_stack, size, text, error: one row for each file or archive entry, decoded."""
+    """path, path_stack, size, text, error, n_odd, first_odd, elapsed_us: one row for each file or archive entry, decoded.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.list_(pa.string()), pa.int64(), pa.string(), pa.string()]
+    n_odd, first_odd: bytes that are no UTF-8, and the place of the first; elapsed_us: time of unpacking and decoding.
+    """
+    names = ["path", "path_stack", "size", "text", "error", "n_odd", "first_odd", "elapsed_us"]
+    kinds = [pa.string(), pa.list_(pa.string()), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["path", "path_stack", "size", "text", "error"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
         rows: list[tuple] = []
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 data = content.as_py() or b""
+                began = time.perf_counter()
                 found = entries(path, data) if deep else [((path,), decompressed(path, data)[1], None)]
                 for stack, body, error in found:
-                    rows.append((path, list(stack), len(body), decode(body), error))
+                    text, n_odd, first_odd = decode_counted(body)
+                    now = time.perf_counter()
+                    rows.append((path, list(stack), len(body), text, error, n_odd, first_odd, int((now - began) * 1e6)))
+                    began = now
                     if len(rows) >= 64:
                         yield batch(rows)
                         rows = []
         if rows:
             yield batch(rows)
 
-    return files.select("path", "content").mapInArrow(work, "path string, path_stack array<string>, size long, text string, error string")
+    shape = "path string, path_stack array<string>, size long, text string, error string, n_odd long, first_odd long, elapsed_us long"
+    out = files.select("path", "content").mapInArrow(work, shape)
+    cleaned = F.transform("path_stack", lambda x, i: F.when(i > 0, T.printable_name(x)).otherwise(x))  # names of entries
+    return out.withColumn("path_stack", cleaned)
 
 
 REGULAR = (0o100644, 0o100755, 0o100664)
@@ -232,7 +277,3 @@ def read_policy_file(spark: SparkSession, path: str, section: str) -> Policy:
     rows = spark.read.text(path, wholetext=True).take(1)
     found = parse_sections(rows[0]["value"] if rows else "")
     return read_policy(found.get(section, {}))
-
-
-def skip_expression(patterns: list[str]) -> str:
-    return "|".join(f"(?:{re.sub('^$', '(?!)', p)})" for p in patterns)

@@ -33,10 +33,28 @@ def observed(texts: DataFrame, name: str = "scan") -> tuple[DataFrame, Observati
     return texts.observe(o, F.count("*").alias("files"), F.sum("size").alias("bytes"), F.max("size").alias("largest"), F.count("error").alias("errors")), o
 
 
-def write_review(verdicts: DataFrame, comments: DataFrame, path: str, mode: str = "append") -> None:
-    verdicts.write.mode(mode).parquet(f"{path}/verdicts")
-    comments.write.mode(mode).parquet(f"{path}/comments")
+def write_review(verdicts: DataFrame, comments: DataFrame, path: str, batch: int = 0) -> None:
+    """Both under a folder of the batch, replacing what stands there; read back, batch is a column."""
+    verdicts.write.mode("overwrite").parquet(f"{path}/verdicts/batch={batch}")
+    comments.write.mode("overwrite").parquet(f"{path}/comments/batch={batch}")
 
 
 def counters(scanned: DataFrame, *by: str) -> DataFrame:
-    return scanned.groupBy(*by).agg(F.count("*").alias("n_scans"))
+    """n_scans by the given columns (project, branch), and where scanned has them: n_errors, total_us and max_us of
+    elapsed_us, n_bytes and max_bytes of size, n_binary files with odd bytes."""
+    made = [F.count("*").alias("n_scans")]
+    if "error" in scanned.columns:
+        made.append(F.count("error").alias("n_errors"))
+    if "elapsed_us" in scanned.columns:
+        made += [F.sum("elapsed_us").alias("total_us"), F.max("elapsed_us").alias("max_us")]
+    if "size" in scanned.columns:
+        made += [F.sum("size").alias("n_bytes"), F.max("size").alias("max_bytes")]
+    if "n_odd" in scanned.columns:
+        made.append(F.count_if(F.col("n_odd") > 0).alias("n_binary"))
+    return scanned.groupBy(*by).agg(*made)
+
+
+def throughput(scanned: DataFrame, seconds: float) -> DataFrame:
+    """counters of everything, with files and bytes a second; the largest file and the longest time are the high-water marks."""
+    rate = lambda c: F.col(c) / F.lit(max(seconds, 1e-9))
+    return counters(scanned).withColumns({"files_per_s": rate("n_scans"), "bytes_per_s": rate("n_bytes")})

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import text as T
 from ..operators import assess, scan
 from ..plans.policy import Policy, ordinary_branch, project_enabled
-from ..sources import sinks
+from ..sources import sinks, store
 
 SCHEMA = "project string, branch string, revision string, path string, mode int, text string"
 
@@ -46,21 +46,22 @@ def review(batch: DataFrame, policy: Policy, enabled_by_default: bool = True) ->
 def start(spark: SparkSession, source: str, out: str, checkpoint: str, current_policy: Callable[[], Policy], **trigger) -> StreamingQuery:
     """Review the revisions landing in source as JSON.  current_policy is asked anew for each micro-batch.
 
-    Comments already in out are not posted again, so patch sets of a change do not repeat them.
+    Comments already in out are not posted again, so patch sets of a change do not repeat them.  Each batch writes its own
+    folder of out, so a batch that is run again replaces what it wrote before.
     """
 
-    def handle(batch: DataFrame, _: int) -> None:
+    def handle(batch: DataFrame, number: int) -> None:
         policy = current_policy()
         if policy.failed or policy.rules is None:
             return
+        kept = store.mark()
         verdicts, comments = review(batch, policy)
-        try:
-            prior = spark.read.parquet(f"{out}/comments")
+        if store.exists(spark, f"{out}/comments"):
+            paths = batch.select("path").distinct()
+            prior = spark.read.parquet(f"{out}/comments").filter(F.col("batch") < number).join(paths, "path", "left_semi")
             comments = assess.new_comments(comments, prior)
-        except Exception as e:  # the first batch finds no comments yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        sinks.write_review(verdicts, comments, out)
+        sinks.write_review(verdicts, comments, out, number)
+        store.release(spark, kept)
 
     stream = spark.readStream.schema(SCHEMA).json(source)
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
