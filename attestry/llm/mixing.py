@@ -6,7 +6,8 @@ its release and its deadline, so at every slot each source is within one block o
 the others go on with their weights renormalised, from that slot as zero; nothing is dropped or repeated.
 
 Within such a stretch the schedule repeats after W slots.  The plan is therefore a short table made from weights and
-block counts alone: per stretch and source the slots of one period.  Blocks find their slot by arithmetic on that table,
+block counts alone: per stretch and source the slots of one period.  There is no bound on sources or weights: a plan of
+over SENT_SLOTS slots is not sent to the tasks but written and joined.  Blocks find their slot by arithmetic on that table,
 however many there are.  Ranks within a source come from counts of hash buckets plus ranks within a bucket, so a source
 that holds most rows is ranked by many tasks.
 
@@ -18,21 +19,25 @@ empty result; all columns pass through as struct row, whatever their names.
 from __future__ import annotations
 
 import json
+import uuid
+from bisect import bisect_left
+from collections.abc import Iterator
 from heapq import heappop, heappush
 from math import gcd
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import packed
+from .common import packed, shared_dir
 
-#: Bounds of the plan, which is sent to all tasks.
-MAX_STREAMS, MAX_WEIGHT = 256, 20_000
+#: So many slots of a plan are sent to all tasks; a larger plan is a table that is joined.
+SENT_SLOTS = 1 << 18
 REST = "rest"
 
 
-def period(weights: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each stream within one period, by earliest deadline among released blocks; ties by name."""
+def period(weights: dict[str, int], left: dict[str, int]) -> tuple[dict[str, list[int]], int | None]:
+    """Slots of each stream within one period, by earliest deadline among released blocks, ties by name; and the slot at
+    which a stream runs out of its left blocks, where the list ends, or None."""
     total = sum(weights.values())
     waiting: list[tuple[int, str, int]] = []
     ready: list[tuple[int, str, int]] = []
@@ -45,32 +50,65 @@ def period(weights: dict[str, int]) -> dict[str, list[int]]:
             heappush(ready, (-(-(k + 1) * total // weights[name]), name, k))
         _, name, k = heappop(ready)
         slots[name].append(t)
+        if k + 1 == left[name]:
+            return slots, t
         heappush(waiting, ((k + 1) * total // weights[name], name, k + 1))
-    return slots
+    return slots, None
 
 
-def plan(blocks: dict[str, int], weights: dict[str, int]) -> list[dict]:
-    """Rows (stream, first, n, base, weight, total, slots): blocks first ... first + n - 1 of a stream in one stretch."""
-    left, done, base, rows = {k: n for k, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
+def plan(blocks: dict[str, int], weights: dict[str, int]) -> Iterator[dict]:
+    """Rows (stream, first, n, base, weight, total, slots): blocks first ... first + n - 1 of a stream in one stretch.
+
+    A stretch lists the slots of one period, or of itself where it is shorter, so all lists hold no more slots than there
+    are blocks.
+    """
+    left, done, base = {k: n for k, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0
     while left:
         g = gcd(*[weights[k] for k in left])
         w = {k: weights[k] // g for k in sorted(left)}
-        total, slots = sum(w.values()), period(w)
-        end = min((n - 1) // w[k] * total + slots[k][(n - 1) % w[k]] for k, n in left.items()) + 1
+        total = sum(w.values())
+        slots, last = period(w, left)
+        end = 1 + (last if last is not None else min((n - 1) // w[k] * total + slots[k][(n - 1) % w[k]] for k, n in left.items()))
         for k in w:
-            n = end // total * w[k] + sum(x < end % total for x in slots[k])
-            rows.append({"stream": k, "first": done[k], "n": n, "base": base, "weight": w[k], "total": total, "slots": slots[k]})
+            n = end // total * w[k] + bisect_left(slots[k], end % total)
+            yield {"stream": k, "first": done[k], "n": n, "base": base, "weight": w[k], "total": total, "slots": slots[k]}
             done[k] += n
             left[k] -= n
         base += end
         left = {k: n for k, n in left.items() if n}
-    return rows
+
+
+_PLAN = "stream string, first bigint, n bigint, base bigint, weight bigint, total bigint, slots array<bigint>"
+
+
+def plan_table(spark: SparkSession, rows: Iterator[dict]) -> DataFrame:
+    """The plan as a literal, to be broadcast, while it is small; else as a table in the shared folder, written part by part."""
+    path, part, size = None, [], 0
+
+    def literal() -> DataFrame:
+        shape = "array<struct<" + _PLAN.replace(" ", ":").replace(",:", ",") + ">>"
+        return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(part)), shape)))
+
+    for r in rows:
+        if not r["n"]:
+            continue
+        part.append(r)
+        size += len(r["slots"]) + 8
+        if size > SENT_SLOTS:
+            path = path or f"{shared_dir(spark)}/mixing-plan-{uuid.uuid4().hex}"
+            literal().write.mode("append").parquet(path)
+            part, size = [], 0
+    if path is None:
+        return F.broadcast(literal())
+    if part:
+        literal().write.mode("append").parquet(path)
+    return spark.read.schema(_PLAN).parquet(path)
 
 
 def positions(df: DataFrame, weights: dict[str, int], rest: int = 1, block_docs: int = 8, id_col: str = "doc_id", source_col: str = "source", bucket_rows: int = 100_000) -> DataFrame:
     """row, doc_id, stream, block, released, deadline, slot, position (order of the mix)."""
-    if len(weights) >= MAX_STREAMS or sum(weights.values()) + rest > MAX_WEIGHT or min([rest, *weights.values()]) < 1:
-        raise ValueError(f"weights must be whole numbers from 1, for fewer than {MAX_STREAMS} sources, {MAX_WEIGHT} in all")
+    if min([rest, *weights.values()]) < 1 or any(int(w) != w for w in weights.values()):
+        raise ValueError("weights must be whole numbers from 1")
     spark = df.sparkSession
     shares = {f"={k}": v for k, v in weights.items()} | {REST: rest}
     source = F.col(f"`{source_col}`")
@@ -79,9 +117,7 @@ def positions(df: DataFrame, weights: dict[str, int], rest: int = 1, block_docs:
     base = df.select(packed(df).alias("row"), d.alias("doc_id"), stream.alias("stream"), F.md5(F.coalesce(d.cast("string"), F.lit("")).cast("binary")).alias("h"))
 
     sizes = {r["stream"]: r["n"] for r in base.groupBy("stream").agg(F.count("*").alias("n")).collect()}  # one row for each weight at most
-    table = plan({k: -(-n // block_docs) for k, n in sizes.items()}, shares)
-    shape = "array<struct<stream:string,first:bigint,n:bigint,base:bigint,weight:bigint,total:bigint,slots:array<bigint>>>"
-    schedule = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(table)), shape)))
+    schedule = plan_table(spark, plan({k: -(-n // block_docs) for k, n in sizes.items()}, shares))
 
     digits, total = 1, sum(sizes.values())
     while total / 16**digits > bucket_rows and digits < 8:
@@ -96,7 +132,7 @@ def positions(df: DataFrame, weights: dict[str, int], rest: int = 1, block_docs:
     placed = ranked.select("row", "doc_id", "stream", F.floor(n / block_docs).alias("block"), (n % block_docs).alias("within"))
     mine = (F.col("block") >= F.col("first")) & (F.col("block") < F.col("first") + F.col("n"))
     k, w, tot = F.col("block") - F.col("first"), F.col("weight"), F.col("total")
-    joined = placed.join(F.broadcast(schedule), "stream").filter(mine)  # at most streams x streams rows
+    joined = placed.join(schedule, "stream").filter(mine)
     whole = lambda c: c.cast("long")
     out = joined.select(
         "row", "doc_id", "stream", "block", "within", (F.col("base") + F.floor(k * tot / w)).alias("released"), (F.col("base") + F.ceil((k + 1) * tot / w)).alias("deadline"),

@@ -6,7 +6,8 @@ source range it came from.  The same detectors run on the rewritten text and the
 touch no base span of their kind are added.
 
 Defined cases: null text is empty and has no spans; empty text likewise; texts of any length are read whole in one
-linear pass per detector; repeated rows give equal results; an empty table gives an empty result.
+linear pass per detector; repeated rows give equal results; of spans that tie the base one stays; an empty table gives an
+empty result; columns other than id and text are not read, whatever they are called.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ scored.  labels, lang, source and doc_id are never inputs of a score.
 
 Defined cases: null text is empty; an empty text has no hits and the score of a text without hits; a null doc_id counts
 as held out; repeated label rows count once; without usable labels (none, or of one class) the score is 0 for all;
-an empty table gives an empty result.
+texts of any length are read whole; ties do not arise; an empty table gives an empty result; columns other than id, text
+and the label are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -162,8 +163,11 @@ def labelled(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return docs.join(F.broadcast(chosen), "lid").select((crc_of(F.col("lid")) % 5).alias("fold"), "toxic", "text")
 
 
-def learn_lexicon(train: DataFrame, max_terms: int = 4096, min_docs: int = 4, precision: float = 0.9) -> Lexicon:
-    """Terms in at least min_docs toxic documents of which the given share of all their documents is toxic."""
+def learn_lexicon(train: DataFrame, min_docs: int = 4, precision: float = 0.9) -> Lexicon:
+    """All terms in at least min_docs toxic documents of which the given share of all their documents is toxic.
+
+    Their number is bounded by the words of the bounded training sample; none is left out.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
@@ -187,7 +191,7 @@ def learn_lexicon(train: DataFrame, max_terms: int = 4096, min_docs: int = 4, pr
         yield flush()
 
     counts = train.select("toxic", "text").mapInArrow(count, "stem boolean, term string, n long, toxic long").groupBy("stem", "term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    good = counts.filter((F.col("toxic") >= min_docs) & (F.col("toxic") >= precision * F.col("n"))).orderBy(F.desc("toxic"), "stem", "term").limit(max_terms).collect()
+    good = counts.filter((F.col("toxic") >= min_docs) & (F.col("toxic") >= precision * F.col("n"))).orderBy("stem", "term").collect()
     words = [r["term"] for r in good if not r["stem"]]
     return Lexicon(frozenset(words), frozenset(r["term"] for r in good if r["stem"]), tuple(words))
 

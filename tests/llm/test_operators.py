@@ -375,3 +375,31 @@ def test_mixing(spark, none):
     few = {r["row"]["doc_id"]: r["position"] for r in mixing.positions(d.filter("source = 'b'"), weights, 1, 4, bucket_rows=2).collect()}
     assert many == few
     assert mixing.positions(none, weights).count() == 0 and mixing.mix(d, weights).columns == ["doc_id", "source", "slot", "position"]
+
+
+@pytest.mark.parametrize("sent", [1 << 18, 40])
+def test_mixing_without_bounds(spark, monkeypatch, sent):
+    """Three hundred sources with large weights, the plan sent or joined, against the schedule played slot by slot."""
+    monkeypatch.setattr(mixing, "SENT_SLOTS", sent)
+    r = random.Random(31)
+    weights = {f"s{k}": r.randrange(1, 400) for k in range(300)}
+    blocks = {f"={k}": r.randrange(1, 5) for k in weights}
+    assert sum(weights.values()) > 20_000
+    data = [(k * 100 + i, f"s{k}") for k in range(300) for i in range(blocks[f"=s{k}"] * 2)]
+    out = mixing.positions(spark.createDataFrame(data, "doc_id long, source string"), weights, 1, 2).collect()
+    assert len(out) == len(data) and len({x["position"] for x in out}) == len(out)
+    got = {x["slot"]: (x["stream"], x["block"]) for x in out}
+    left, start, k, t = dict(blocks), 0, dict.fromkeys(blocks, 0), 0
+    done = dict.fromkeys(blocks, 0)
+    while left:
+        total = sum(weights[s[1:]] for s in left)
+        ready = [(-(-(k[s] + 1) * total // weights[s[1:]]), s) for s in left if k[s] * total // weights[s[1:]] <= t - start]
+        s = min(ready)[1]
+        assert got[t] == (s, done[s])
+        done[s] += 1
+        k[s] += 1
+        left[s] -= 1
+        t += 1
+        if not left[s]:
+            left = {x: n for x, n in left.items() if n}
+            start, k = t, dict.fromkeys(left, 0)
