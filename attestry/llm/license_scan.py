@@ -5,15 +5,16 @@ documents of the corpus hold each, rarest first.  A window of twice the template
 template's share of words (containment).  Such a window must hold one of the template's first |T| - need + 1 words
 (prefix filter), needs a text with need of its words (length filter), and after its first hit at place i can reach at
 most |T| - i words (positional filter).  Around the hits the window slides over every start; the filters only skip
-windows that cannot match, so none is missed, wherever it stands.
+windows that cannot match, so none is missed, wherever it stands.  Short templates must stand in their order as well.
 
 Defined cases: null text is empty: no words, null first_word and last_word, empty labels, score 0.  Repeated rows
-give equal results, an empty table an empty result; only the id and text columns are read.
+give equal results, an empty table an empty result; texts of any length are scanned whole; ties do not arise; only the id and text columns are read.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,17 +40,25 @@ class Template:
     label: str
     text: str
     share: float = 0.8
+    ordered: bool = False
 
 
-#: Short notices must stand whole; longer texts may be edited.
+#: Short notices must stand whole and in their order; longer texts may be edited.
 TEMPLATES = (
-    Template("apache-2.0", "Licensed under the Apache License, Version 2.0", 1.0),
-    Template("mit", "Released under the MIT License", 1.0),
-    Template("gpl-3.0", "licensed under the GNU General Public License, version 3", 1.0),
-    Template("gpl-2.0", "licensed under the GNU General Public License, version 2", 1.0),
-    Template("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", 1.0),
-    Template("cc-by-4.0", "Creative Commons Attribution 4.0 International License", 1.0),
+    Template("apache-2.0", "Licensed under the Apache License, Version 2.0", 1.0, True),
+    Template("mit", "Released under the MIT License", 1.0, True),
+    Template("gpl-3.0", "licensed under the GNU General Public License, version 3", 1.0, True),
+    Template("gpl-2.0", "licensed under the GNU General Public License, version 2", 1.0, True),
+    Template("agpl", "GNU Affero General Public License", 1.0, True),
+    Template("lgpl", "GNU Lesser General Public License", 1.0, True),
+    Template("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", 1.0, True),
+    Template("cc-by-4.0", "Creative Commons Attribution 4.0 International License", 1.0, True),
+    Template("mpl-2.0", "Mozilla Public License, Version 2.0", 1.0, True),
     Template("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0", 0.9),
+    Template("epl", "Eclipse Public License", 1.0, True),
+    Template("bsl-1.0", "Boost Software License, Version 1.0", 1.0, True),
+    Template("bsd", "BSD 3-Clause License", 1.0, True),
+    Template("bsd", "BSD 2-Clause License", 1.0, True),
     Template("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at www.apache.org/licenses/LICENSE-2.0"),
     Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction"),
     Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
@@ -66,6 +75,7 @@ class Entry:
     length: int  # in words
     ordered: tuple[bytes, ...]  # distinct words, rarest first
     need: int
+    sequence: tuple[bytes, ...] = ()  # where not empty, all words in the order in which they must stand
 
     @property
     def prefix(self) -> tuple[bytes, ...]:
@@ -77,7 +87,7 @@ def indexed(templates: tuple[Template, ...], freq: dict[bytes, int]) -> list[Ent
     for t in templates:
         w = words(t.text.encode())
         ordered = tuple(sorted(set(w), key=lambda x: (freq.get(x, 0), x)))
-        out.append(Entry(t.label, len(w), ordered, math.ceil(t.share * len(ordered) - 1e-9)))
+        out.append(Entry(t.label, len(w), ordered, math.ceil(t.share * len(ordered) - 1e-9), tuple(w) if t.ordered else ()))
     return out
 
 
@@ -114,6 +124,21 @@ def windows_held(w: list[bytes], at: dict[bytes, list[int]], e: Entry) -> float:
     return best / len(e.ordered) if best >= e.need else 0.0
 
 
+def stands_in_order(at: dict[bytes, list[int]], e: Entry) -> bool:
+    """Whether the words of the template follow one another, others between them or not, within a window."""
+    for begin in at.get(e.sequence[0], ()):
+        place = begin
+        for x in e.sequence[1:]:
+            there = at.get(x, ())
+            k = bisect_right(there, place)
+            if k == len(there) or there[k] >= begin + 2 * e.length:
+                break
+            place = there[k]
+        else:
+            return True
+    return False
+
+
 def blocks_held(w: list[bytes], at: dict[bytes, list[int]], e: Entry) -> float:
     """As windows_held, over the windows that start at multiples of the template's length only; no query uses it.
 
@@ -188,7 +213,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
                         if x in wanted:
                             at.setdefault(x, []).append(i)
                     for e in entries:
-                        if held := windows_held(w, at, e):
+                        if (held := windows_held(w, at, e)) and (not e.sequence or stands_in_order(at, e)):
                             labels.add(e.label)
                             score = max(score, held)
                 rows.append((len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -210,6 +211,39 @@ def test_license_scan(spark, docs, none):
     assert license_scan.scan(docs).count() == docs.count() and license_scan.scan(none).count() == 0
 
 
+def test_short_templates_keep_their_order(spark):
+    texts = ["the mit students were released under a new license", "Released, as it is, under the MIT License", "Mozilla Public License Version 2.0", "license public eclipse", "the Eclipse Public License", "BSD 3-Clause License", "under the license of released mit " * 9]
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(6)] == ["", "mit", "mpl-2.0", "", "epl", "bsd"]
+    r = random.Random(41)
+    for _ in range(400):
+        sequence = [b"a", b"b", b"c", b"a"][: r.randrange(2, 5)]
+        w = [r.choice([b"a", b"b", b"c", b"x"]) for _ in range(r.randrange(14))]
+        e = license_scan.Entry("t", len(sequence), tuple(sorted(set(sequence))), len(set(sequence)), tuple(sequence))
+        at = {}
+        for i, x in enumerate(w):
+            at.setdefault(x, []).append(i)
+        span = 2 * len(sequence)
+        want = any(list(part) == sequence for k in range(len(w)) for part in itertools.combinations(w[k : k + span], len(sequence)))
+        assert license_scan.stands_in_order(at, e) == want
+
+
+def test_digest_of_personal_data(spark, docs, rows):
+    """base_sha256, spans and counts of the query from the plain patterns."""
+    plain = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", lambda m: True), "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        "card": (r"[0-9](?:[\x20-]?[0-9])+", lambda m: 16 <= len(d := re.sub("[ -]", "", m)) <= 19 and pii.luhn(d)), "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    }
+    texts = [*(t for _, t in rows), "a@b.co, 1.2.3.4 and 4111 1111 1111 1111; +49 (30) 123-4567", "x@y 999.1.1.1 4111-1111-1111-1112 +12", "jo@x.org joe at host dot org"]
+    got = {r["doc_id"]: r for r in pii.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        base = [f"{k}:{m.start()}:{m.end()}" for k, (p, ok) in plain.items() for m in re.finditer(p, t or "") if ok(m[0])]
+        r = got[i]
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest() and [r[f"n_{k}"] for k in plain] == [sum(x.startswith(k) for x in base) for k in plain]
+        assert set(base) <= set(filter(None, r["spans"].split(","))) and (r["n_added"] or r["spans"] == ",".join(base))
+    assert got[len(texts) - 1]["spans"] == "email:0:8,email:9:28"
+
+
 def test_set_join_filters_lose_nothing():
     r = random.Random(3)
     t = license_scan.Template("t", " ".join(f"v{i}" for i in range(12)))
