@@ -185,7 +185,7 @@ def judge_change(new: Policy, current: Policy | None, commit_message: str, *, pu
     if new.rules is not None and (current is None or current.rules != new.rules) and most > 0:
         times = read_tokens(commit_message, new.signature())
         if must_report(times, most):
-            what = [f"token is not of this policy" if t < 0 else f"took {t / 1e6:.3f} s, {tier(t / 1e6)}; {most} s are allowed" if t > most * 1_000_000 else "more than one token" if len(times) > 1 else "valid" for t in times]
+            what = ["token is not of this policy" if t < 0 else f"took {t / 1e6:.3f} s, {tier(t / 1e6)}; {most} s are allowed" if t > most * 1_000_000 else "more than one token" if len(times) > 1 else "valid" for t in times]
             messages += [Message("ERROR" if push else "WARNING", "timeTestMax", str(most), x) for x in what or ["no time token in the commit message; run the probe"]]
             comments = [(*at, x) for at, x in zip(token_places(commit_message), what, strict=True)]
     return Outcome(push and any(m.severity == "ERROR" for m in messages), messages, comments)

@@ -346,6 +346,10 @@ def test_cli(spark, tmp_path):
     lines = out.getvalue().splitlines()
     assert len(lines) == 2 and lines[0].startswith("FIRST_PARTY LICENSE [1,1) [3,19)") and "FORBIDDEN" in lines[1] and "n.txt<" in lines[1]
     assert run() == 1 and run(tmp_path) == 2
+    out, err = io.StringIO(), io.StringIO()
+    names = io.BytesIO(f"{tmp_path / 'a.c'}\0{tmp_path / 'b.zip'}\0".encode())
+    assert cli.scan_files(spark, cli.parser().parse_args(["scan", "-f", "-", "-0", "--deep", "-v", "--rules", "permissive"]), out, err, names) == 0
+    assert len(out.getvalue().splitlines()) == 2 and err.getvalue().startswith("2 files, ")
     out = io.StringIO()
     assert cli.probe_policy(spark, cli.parser().parse_args(["probe", "plugin notices", str(tmp_path / "p.config")]), out) == 0
     assert policy.TOKEN.search(out.getvalue())
