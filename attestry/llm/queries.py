@@ -65,6 +65,34 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+def _op4_sql() -> str:
+    """Windows of twice a template's length that begin at one of its words, counted by a join of the words with themselves."""
+    entries = license_scan.indexed(license_scan.TEMPLATES, {})
+    table = ", ".join(f"({k}, '{e.label}', {e.length}, {len(e.ordered)}, {e.need}, '{'(?:[^ ]+ )*'.join(x.decode() + ' ' for x in e.sequence)}')" for k, e in enumerate(entries))
+    held = ", ".join(f"({k}, '{x.decode()}')" for k, e in enumerate(entries) for x in e.ordered)
+    phrases = " UNION ALL ".join(
+        f"SELECT r, i, '{label}' AS label FROM k WHERE " + " AND ".join(f"w{j or ''} = '{x}'" for j, x in enumerate(phrase.split())) for phrase, label in license_scan.PHRASES.items()
+    )
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS a FROM documents),
+k AS (SELECT r, i, w, lead(w) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM (SELECT r, unnest(a) AS w, generate_subscripts(a, 1) - 1 AS i FROM d) WINDOW o AS (PARTITION BY r ORDER BY i)),
+b AS ({phrases}),
+f AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY r),
+t(t, label, length, size, need, sequence) AS (VALUES {table}),
+h AS (SELECT k.r, k.i, k.w, x.t FROM k JOIN (VALUES {held}) x(t, w) ON x.w = k.w),
+c AS (SELECT h.r, h.t, h.i, count(DISTINCT g.w) AS n FROM h JOIN t ON t.t = h.t JOIN h g ON g.r = h.r AND g.t = h.t AND g.i BETWEEN h.i AND h.i + 2 * t.length - 1 GROUP BY h.r, h.t, h.i),
+m AS (SELECT c.r, t.label, max(n) / CAST(any_value(t.size) AS DOUBLE) AS score FROM c JOIN t ON t.t = c.t JOIN d ON d.r = c.r WHERE n >= need
+      GROUP BY c.r, c.t, t.label HAVING bool_or(sequence = '' OR regexp_matches(array_to_string(d.a[c.i + 1 : c.i + 2 * t.length], ' ') || ' ', '^' || sequence))),
+l AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM (SELECT r, label, score FROM m UNION ALL SELECT r, label, 1.0 FROM b) GROUP BY r)
+SELECT d.doc_id, CAST(len(a) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN f ON f.r = d.r LEFT JOIN l ON l.r = d.r
+"""
+
+
+OP4_SQL = _op4_sql()
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scores(documents(spark, sf_dir))
 
@@ -110,6 +138,30 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(documents(spark, sf_dir))
 
 
+def _op10_sql() -> str:
+    """Hashes of the strings of 1, 2, 4 ... 256 bytes from each byte, each made of two of half its length; 400 bytes are 256, 128 and 16."""
+    steps, last = [], "b"
+    for k in (1, 2, 4, 8, 16, 32, 64, 128):
+        kept = "r, i, n, x" + ", h16" * (k > 16) + f", h{k}" * (k in (16, 128))
+        steps.append(f"d{2 * k} AS (SELECT {kept}, hash(h{k}, lead(h{k}, {k}) OVER (PARTITION BY r ORDER BY i)) AS h{2 * k} FROM {last})")
+        last = f"d{2 * k}"
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT r, i, n, x, hash(x) AS h1 FROM (SELECT r, unnest(range(0, length(x) // 2)) AS i, length(x) // 2 AS n, unnest(regexp_extract_all(x, '..')) AS x FROM t)),
+{", ".join(steps)},
+w AS (SELECT r, i, x, CASE WHEN i + 256 <= n THEN h256 END AS p, CASE WHEN i + 400 <= n THEN hash(h256, lead(h128, 256) OVER o, lead(h16, 384) OVER o) END AS q FROM d256 WINDOW o AS (PARTITION BY r ORDER BY i)),
+c AS (SELECT r, i, x, CASE WHEN p IS NOT NULL AND count(*) OVER (PARTITION BY p) > 1 THEN i END AS p, CASE WHEN q IS NOT NULL AND count(*) OVER (PARTITION BY q) > 1 THEN i END AS q FROM w),
+m AS (SELECT r, i, x, coalesce(i - max(p) OVER o < 256, FALSE) AS shared, coalesce(i - max(q) OVER o < 400, FALSE) AS gone FROM c WINDOW o AS (PARTITION BY r ORDER BY i)),
+s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), FALSE) AS opens FROM m),
+g AS (SELECT r, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, count(*) FILTER (WHERE shared) AS n_shared, string_agg(x, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM s GROUP BY r)
+SELECT t.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(n_shared, 0) AS n_shared, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM t LEFT JOIN g ON g.r = t.r
+"""
+
+
+OP10_SQL = _op10_sql()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
@@ -123,4 +175,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op9_quality": OP9_SQL}
+SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op4_license_scan": OP4_SQL, "op9_quality": OP9_SQL, "op10_suffix_dedup": OP10_SQL}

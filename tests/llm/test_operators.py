@@ -688,3 +688,34 @@ def test_mixing_without_bounds(spark, monkeypatch, sent):
         if not left[s]:
             left = {x: n for x, n in left.items() if n}
             start, k = t, dict.fromkeys(left, 0)
+
+
+@pytest.mark.parametrize("name", ["op4_license_scan", "op10_suffix_dedup"])
+def test_sql_of_whole_queries(spark, docs, tmp_path, name):
+    """The query's rows are those of its SQL, on every odd text and on notices that stand whole, edited, scattered and out of order."""
+    import duckdb
+
+    from attestry.llm import queries
+
+    r = random.Random(33)
+    parts = [*(x for t in license_scan.TEMPLATES for x in [t.text, t.text.replace(" ", "\n\t").upper()]), "cc by", "All Rights Reserved", "general public license"]
+    for k in range(120):
+        w = " ".join(r.choice(parts) for _ in range(2)).split()
+        for _ in range(r.randrange(0, 12)):
+            w.insert(r.randrange(len(w) + 1), "übrig")
+        if k % 3 == 0:
+            w = [x for x in w if r.random() > 0.1]
+        if k % 5 == 0:
+            r.shuffle(w)
+        parts.append(" ".join(w))
+    more = spark.createDataFrame([(1000 + i, x) for i, x in enumerate(parts)], "doc_id long, text string")
+    docs.select("doc_id", "text").unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
+    df = queries.QUERIES[name](spark, str(tmp_path))
+    names = sorted(df.columns)
+    mine = sorted((tuple(x[n] for n in names) for x in df.collect()), key=str)
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    other = c.sql(queries.SQL[name])
+    assert sorted(other.columns) == names
+    at = [other.columns.index(n) for n in names]
+    assert sorted((tuple(x[i] for i in at) for x in other.fetchall()), key=str) == mine
