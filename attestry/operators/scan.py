@@ -30,15 +30,19 @@ def line_ends(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
-def matches(df: DataFrame, id_col: str, text_col: str, regex: str, groups: int, most: int | None = None) -> DataFrame:
+def matches(df: DataFrame, id_col: str, text_col: str, regex: str, groups: int, most: int | None = None, gate: str | None = None) -> DataFrame:
     """id, row_no, pos, whole, groups (array), start, end, start_line, end_line, lines_before, fresh_line: one row per match.
 
     lines_before: line ends before the match; fresh_line: 1 if one of them stands right before it.  row_no tells texts
-    with equal ids apart.  most: how many characters of a text are searched; all of them without it.
+    with equal ids apart.  most: how many characters of a text are searched; all of them without it.  gate: a cheaper
+    regex that is found in every text, put in lower case, that holds a match; the other texts are not searched.
     """
     marks = _MATCH + "".join(f"{_FIELD}${i}" for i in range(1, groups + 1)) + f"{_FIELD}$0{_END}"
     text = T.searched(F.col(f"`{text_col}`"), most)
-    base = df.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row_no"), F.explode(F.array(F.split(F.regexp_replace(text, regex, marks), _MATCH, -1))).alias("parts"))
+    split = F.split(F.regexp_replace(text, regex, marks), _MATCH, -1)
+    if gate:  # not a filter: that would be moved before the texts are dealt over the cores
+        split = F.when(F.lower(F.translate(text, *grammar.FOLDED)).rlike(gate), split)
+    base = df.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row_no"), F.explode(F.array(split)).alias("parts"))
     parts = base.filter(F.size("parts") > 1).select("id", "row_no", F.posexplode("parts").alias("pos", "part"))
     halves = F.split("part", _END, 2)
     fields = F.split(halves[0], _FIELD, -1)
@@ -93,7 +97,7 @@ def scan(df: DataFrame, rules: RuleSet, id_col: str = "doc_id", text_col: str =
 
     most: the search window in characters; None scans whole texts.
     """
-    m = matches(df, id_col, text_col, rules.master, grammar.GROUP_COUNT, most)
+    m = matches(df, id_col, text_col, rules.master, grammar.GROUP_COUNT, most, rules.gate)
     # the matches are few; written once, the master pattern runs once
     m = cut(m.select("id", "row_no", "pos", "whole", "start", "end", "start_line", "end_line", "lines_before", "fresh_line", group_places().alias("groups"), T.normalize_license(F.col("whole")).alias("shown")), "matches")
 

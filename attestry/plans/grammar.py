@@ -157,6 +157,51 @@ def by_first_character(patterns: list[str]) -> str:
     return "|".join(out)
 
 
+def anchors(p: str) -> frozenset[str] | None:
+    """Literals, in lower case, one of which stands in every match of p; None where no such set is seen."""
+    out: set[str] = set()
+    for alt in _alternatives(p):
+        found: list[frozenset[str]] = []
+        run, i = "", 0
+        while i < len(alt):
+            j = _atom_end(alt, i)
+            atom = alt[i:j]
+            times = re.match(r"(?:[?*+]|\{[0-9]+(?:,[0-9]*)?\})[?+]?", alt[j:])
+            i = j + (times.end() if times else 0)
+            if re.match(r"\(\?<?[=!]", atom) or atom in ("\\b", "\\A", "^", "$"):
+                continue
+            literal = atom[1:] if atom[0] == "\\" and not atom[1].isalnum() else atom if len(atom) == 1 and atom != "." else ""
+            if literal and not times:
+                run += literal
+                continue
+            found, run = found + [frozenset([run.lower()])] * bool(run), ""
+            optional = times and (times[0][0] in "?*" or times[0].startswith("{0"))
+            if not optional and atom[0] == "(" and (atom[1] != "?" or atom.startswith("(?:")) and (inner := anchors(atom[3:-1] if atom[1] == "?" else atom[1:-1])):
+                found.append(inner)
+        found += [frozenset([run.lower()])] * bool(run)
+        if not found:
+            return None
+        out |= max(found, key=lambda a: min(map(_rarity, a)))
+    return frozenset(out)
+
+
+def _rarity(literal: str) -> float:
+    """Digits are common, letters beyond ASCII are not."""
+    return sum(0.25 if c.isdigit() else 1 if c.isascii() else 4 for c in literal)
+
+
+#: The characters beyond ASCII that stand for ASCII letters when case is ignored, and those letters.
+FOLDED = ("\u0130\u0131\u017f\u212a", "iisk")
+
+
+def holding(literals: frozenset[str]) -> str:
+    """A regex, for texts in lower case, that is found where one of the literals stands."""
+    plain = lambda x: re.sub(r"[^\w]", lambda m: "\\" + m[0] if m[0].isascii() else m[0], x)
+    least = sorted(x for x in literals if not any(y != x and y in x for y in literals))
+    heads = dict.fromkeys(x[0] for x in least)
+    return "|".join(f"{plain(h)}(?:{'|'.join(plain(x[1:]) for x in least if x[0] == h)})" for h in heads)
+
+
 def full_match(patterns: list[str]) -> str | None:
     """A regex that is true for whole texts matching one of the expanded patterns; None for no patterns."""
     return f"{FLAGS}\\A(?:{_any(patterns)})\\z" if patterns else None
@@ -171,8 +216,8 @@ GROUPS = ((0, 1, 0, False), (2, 3, 0, False), (4, 5, 0, False), (6, 7, 0, False)
 GROUP_COUNT = 17
 
 
-def master(third: list[str], first: list[str], forbidden: list[str], owners: list[str]) -> str:
-    """One alternation, first alternative wins, with the groups above; then contract words."""
+def _parts(third: list[str], first: list[str], forbidden: list[str], owners: list[str]) -> list[str]:
+    """The alternatives of the master pattern, with the groups above; then contract words."""
     known = by_first_character([embedded(p) for p in (*third, *first, *forbidden)]) or NEVER
     owner_words = f"{_NAME}(?:[\\x20\\t]{{1,4}}{_NAME}){{0,{WORDS_MAX}}}"
     extra = _any([embedded(p) for p in owners])
@@ -182,7 +227,7 @@ def master(third: list[str], first: list[str], forbidden: list[str], owners: lis
     claim = rf"(?:({sign}{gap}{_YEARS}{gap}(?:by{SPACE})?)({name})|({sign}{gap})({name})({gap}{_YEARS}))"
     follow = rf"(?:{WS}{{1,{SPACE_MAX}}}{claim}){{0,5}}"
     contract = by_first_character([expand(p) for p in CONTRACT_WORDS])
-    parts = [
+    return [
         f"({known})",
         rf"(\b(?:is|are){SPACE}(?:distributed|provided|released|made{SPACE}available|licensed){SPACE}under{SPACE}(?!this\b))((?:{NOT_SPACE}{{1,{NAME_MAX}}}{SPACE}){{1,12}}?licen[sc]es?)\b",
         rf"(\blicen[sc]e[\x20\t]*:[\x20\t]*)({NOT_SPACE}{{1,{NAME_MAX}}}(?:[\x20\t]{{1,4}}{NOT_SPACE}{{1,{NAME_MAX}}}){{0,9}})",
@@ -190,5 +235,15 @@ def master(third: list[str], first: list[str], forbidden: list[str], owners: lis
         rf"{claim}{follow}",
         rf"\b(?:{contract})(?:{SPACE}(?:{contract})){{0,35}}\b",
     ]
+
+
+def master(third: list[str], first: list[str], forbidden: list[str], owners: list[str]) -> str:
+    """One alternation; the first alternative that matches wins."""
     # a match begins where a word begins: no other place tries the alternatives
-    return FLAGS + r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}(©&<\"'.])(?:" + _any(parts) + ")"
+    return FLAGS + r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}(©&<\"'.])(?:" + _any(_parts(third, first, forbidden, owners)) + ")"
+
+
+def gate(third: list[str], first: list[str], forbidden: list[str], owners: list[str]) -> str | None:
+    """A small regex, for texts in lower case, found wherever the master pattern is; None where a rule allows none."""
+    literals = anchors(_any([p for p in _parts(third, first, forbidden, owners) if p != f"({NEVER})"]))
+    return holding(literals) if literals else None

@@ -128,6 +128,25 @@ def test_group_offsets(spark):
     assert [(r["start"], r["end"]) for r in a] == [(15, 18), (34, 37)] and [(r["start"], r["end"]) for r in b] == [(8, 12)]
 
 
+def test_anchors():
+    a = grammar.anchors
+    assert a("(?:the )?(?:mit|expat) licen[cs]e") == {" licen"} and a("ab?c{2}def") == {"def"} and a("x(?:long|longer)y?") == {"long", "longer"} and a("copyright|\\(C\\)|©") == {"copyright", "(c)", "©"}
+    assert a("(?!not)abc(?=z)de") == {"abcde"} and a("a(b{0,3}c)+d") == {"a"} and a("[ab]+|word") is None and a("x?") is None and a(".*") is None
+    assert grammar.holding(frozenset({"licensed", "licen", "lic(x"})) == "l(?:ic\\(x|icen)"
+
+
+def test_texts_passed_over_hold_no_match(spark):
+    """The same matches with and without the look at literals, whatever the case and whichever letters stand for ASCII ones."""
+    odd = str.maketrans({"s": "\u017f", "k": "\u212a", "i": "\u0131", "S": "\u017f", "K": "\u212a", "I": "\u0130"})
+    texts = [y for x in NOTICES for y in (x, x.upper(), x.lower(), x.translate(odd), x.title())] + [policy.probe_text(40), "", "plain words only", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for rules in (P, catalog.GENERIC, P.owner("first", "foo works?.*")):
+        assert rules.gate
+        plain, gated = (scan.matches(df, "doc_id", "text", rules.master, grammar.GROUP_COUNT, None, g).drop("row_no").collect() for g in (None, rules.gate))
+        assert plain and sorted(map(str, plain)) == sorted(map(str, gated))
+    assert P.license("third", "(?:a|b?)").gate is None
+
+
 def test_first_characters():
     f = grammar.first_characters
     assert f("(?:gnu )?(?:affero|agpl)") == {"g", "a"} and f("(?<!as )not") == {"n"} and f("[ab]c|\\(d") == {"a", "b", "("} and f("x{0,3}?y") == {"x", "y"}
