@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, license_scan, line_dedup, lm_score, mixing, pii, quality, simhash, suffix_dedup, toxicity
+from . import decontam, license_scan, line_dedup, lm_score, mixing, pii, quality, simhash, suffix_dedup, toxicity, url_filter
 from .common import documents
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -162,6 +162,55 @@ FROM t LEFT JOIN g ON g.r = t.r
 OP10_SQL = _op10_sql()
 
 
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), model).drop("score")
+
+
+def _op13_sql() -> str:
+    """The gradient steps one after another as tables of (bucket, weight, speed), then the same sums over the pages."""
+    u = url_filter
+    part = lambda k: f"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', {k})"
+
+    def grams(seed: int, n: int) -> str:
+        h = str(seed)
+        for k in range(n):
+            h = f"({h} * {u.FACTOR}::BIGINT + c{seed}[i + {k}]) % {u.PRIME}"
+        return f"list_transform(range(1, len(c{seed}) - {n - 2}), lambda i: ({h}) % {u.BUCKETS})"
+
+    def found(source: str) -> str:
+        codes = lambda x: f"list_transform(string_split('^' || {x} || '$', ''), lambda x: unicode(x)::BIGINT)"
+        every = ", ".join(grams(seed, n) for seed in u.SEEDS for n in u.SIZES)
+        return f"SELECT *, list_distinct(flatten([{every}])) AS found FROM (SELECT *, {codes('host')} AS c{u.SEEDS[0]}, {codes('path')} AS c{u.SEEDS[1]} FROM {source})"
+
+    low = f"translate({part(1)}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    labelled = ", ".join([f"('{x}', 1.0)" for x in u.BLOCKED] + [f"('{x}', 0.0)" for x in u.ALLOWED])
+    b = u.BUCKETS
+    steps = [f"w0 AS (SELECT k, 0.0::DOUBLE AS w, 0.0::DOUBLE AS v FROM (SELECT DISTINCT k FROM f) UNION ALL SELECT {b}, 0.0, 0.0)"]
+    for s in range(u.STEPS):
+        steps.append(
+            f"m{s} AS MATERIALIZED (SELECT i, n, (1 / (1 + exp(-((SELECT w FROM w{s} WHERE k = {b}) + sum(w) / sqrt(n)))) - y) * CASE WHEN y = 1 THEN {u.BLOCKED_SHARE} / {len(u.BLOCKED)} ELSE {1 - u.BLOCKED_SHARE} / {len(u.ALLOWED)} END AS e FROM f JOIN w{s} USING (k) GROUP BY i, n, y), "
+            f"g{s} AS (SELECT k, sum(e / sqrt(n)) AS d FROM f JOIN m{s} USING (i, n) GROUP BY k UNION ALL SELECT {b}, sum(e) FROM m{s}), "
+            f"w{s + 1} AS MATERIALIZED (SELECT k, round(w + v, 6) AS w, v FROM (SELECT k, w, round({u.MOMENTUM} * v - {u.RATE} * (d + CASE WHEN k < {b} THEN {u.DECAY} * w ELSE 0 END), 6) AS v FROM w{s} JOIN g{s} USING (k)))"
+        )
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    longest = sorted(u.RULES, key=lambda r: -len(r[1] + r[2]))
+    case = lambda what: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{what(v, h, p)}'" for v, h, p in longest) + " END"
+    return f"""
+WITH l AS (SELECT row_number() OVER () AS i, y, {low} AS host, {part(2)} AS path FROM (VALUES {labelled}) t(url, y)),
+f AS MATERIALIZED (SELECT i, y::DOUBLE AS y, len(found) AS n, unnest(found) AS k FROM ({found("l")})),
+{", ".join(steps)},
+p AS (SELECT row_number() OVER () AS r, page_id, {low} AS host, {part(2)} AS path FROM pages),
+q AS (SELECT r, len(found) AS n, unnest(found) AS k FROM ({found("p")})),
+z AS (SELECT r, (SELECT w FROM w{u.STEPS} WHERE k = {b}) + sum(coalesce(w, 0)) / sqrt(any_value(n)) AS z FROM q LEFT JOIN w{u.STEPS} USING (k) GROUP BY r)
+SELECT page_id, host, path, {case(lambda v, h, p: h + p)} AS rule, coalesce({case(lambda v, h, p: v)}, CASE WHEN z >= 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM p JOIN z USING (r)
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
@@ -173,6 +222,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_url_filter": op13_url_filter,
 }
 
-SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op4_license_scan": OP4_SQL, "op9_quality": OP9_SQL, "op10_suffix_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op4_license_scan": OP4_SQL, "op9_quality": OP9_SQL, "op10_suffix_dedup": OP10_SQL, "op13_url_filter": OP13_SQL}
