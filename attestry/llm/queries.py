@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, license_scan, line_dedup, lm_score, mixing, pii, quality, simhash, suffix_dedup, toxicity, url_filter
+from . import decontam, filter_audit, license_scan, line_dedup, lm_score, mixing, pii, quality, simhash, suffix_dedup, toxicity, url_filter
 from .common import documents
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -162,6 +162,32 @@ FROM t LEFT JOIN g ON g.r = t.r
 OP10_SQL = _op10_sql()
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+e AS (SELECT text, min(doc_id) AS least FROM d GROUP BY text),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic,
+    [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * (length(d.text) - length(regexp_replace(d.text, '[A-Z]', '', 'g'))) > 3 * length(d.text),
+     regexp_matches(d.text, '[#$%&*|]'), coalesce(d.doc_id > e.least, FALSE)] AS f
+  FROM d JOIN w USING (r) JOIN e ON e.text = d.text LEFT JOIN l ON l.doc_id = d.doc_id),
+o AS (SELECT a || b || c || x || y AS filter_order FROM (SELECT unnest(['A','B','C','D','E']) AS a), (SELECT unnest(['A','B','C','D','E']) AS b), (SELECT unnest(['A','B','C','D','E']) AS c),
+    (SELECT unnest(['A','B','C','D','E']) AS x), (SELECT unnest(['A','B','C','D','E']) AS y) WHERE len(list_distinct([a, b, c, x, y])) = 5),
+s AS (SELECT filter_order, step, strpos('ABCDE', substr(filter_order, step, 1)) AS k, list_transform(range(1, step), lambda i: strpos('ABCDE', substr(filter_order, i, 1))) AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+g AS (SELECT part, good, toxic, f, count(*) AS n FROM f GROUP BY ALL),
+m AS (SELECT part, filter_order, step, k, good, toxic, n, f[k] AS fails, coalesce(list_bool_or(list_transform(before, lambda i: f[i])), FALSE) AS gone, len(list_filter(f, lambda x: x)) AS n_fails FROM g, s),
+t AS (SELECT part, filter_order, step, k, CAST(coalesce(sum(n) FILTER (WHERE NOT fails AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (WHERE fails AND NOT gone), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (WHERE fails AND gone), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (WHERE fails AND n_fails = 1), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(n) FILTER (WHERE fails AND NOT gone AND good), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(n) FILTER (WHERE fails AND NOT gone AND toxic), 0) AS BIGINT) AS toxic_lost
+  FROM m GROUP BY part, filter_order, step, k)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley FROM t
+"""
+
+
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = url_filter.train(url_filter.labelled_urls(spark))
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), model).drop("score")
@@ -222,7 +248,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_filter_audit": op12_filter_audit,
     "op13_url_filter": op13_url_filter,
 }
 
-SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op4_license_scan": OP4_SQL, "op9_quality": OP9_SQL, "op10_suffix_dedup": OP10_SQL, "op13_url_filter": OP13_SQL}
+SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op4_license_scan": OP4_SQL, "op9_quality": OP9_SQL, "op10_suffix_dedup": OP10_SQL, "op12_filter_audit": OP12_SQL, "op13_url_filter": OP13_SQL}
