@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, filter_audit, license_scan, line_dedup, lm_score, mixing, pii, quality, simhash, suffix_dedup, toxicity, url_filter
+from . import decontam, filter_audit, license_scan, line_dedup, lm_score, mixing, pii, prefix_trie, quality, simhash, suffix_dedup, toxicity, url_filter
 from .common import documents
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -162,6 +162,29 @@ FROM t LEFT JOIN g ON g.r = t.r
 OP10_SQL = _op10_sql()
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("digest")
+
+
+#: Prefixes as lists of turn digests, grouped as they are; CRC-32 by its eight steps a byte.
+OP11_SQL = r"""
+WITH RECURSIVE t AS (SELECT conv_id AS c, sha256(sha256(coalesce(role, '')) || sha256(coalesce(text, ''))) AS t, turn,
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT c, list({'t': t, 'w': w} ORDER BY turn NULLS FIRST, t) AS own FROM t GROUP BY c),
+z(c, i, crc) AS (SELECT c, 0, 4294967295::BIGINT FROM l UNION ALL
+  SELECT c, i + 1, CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END
+  FROM (SELECT c, i, CASE WHEN i % 8 = 0 THEN xor(crc, unicode(substr(CAST(c AS VARCHAR), i // 8 + 1, 1))::BIGINT) ELSE crc END AS x FROM z WHERE i < 8 * length(CAST(c AS VARCHAR)))),
+h AS (SELECT c, xor(crc, 4294967295::BIGINT) % 4 AS h FROM z WHERE i = 8 * length(CAST(c AS VARCHAR))),
+b AS (SELECT l.c, list_concat(coalesce(b.own, [])[1:h], l.own[h + 1:]) AS turns FROM l JOIN h USING (c) LEFT JOIN l b ON b.c = l.c - l.c % 20),
+p AS (SELECT c, len(turns) AS n, d, list_transform(turns[1:d], lambda x: x.t) AS k, CASE WHEN d > 0 THEN turns[d].w ELSE 0 END AS w FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM b)),
+n AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, any_value(w) AS w, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256, count(*) FILTER (WHERE n > d) AS longer FROM p GROUP BY d, k),
+s AS (SELECT a.d, a.k, CAST(sum((n.n_convs - 1) * n.w) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE n.longer = 0) AS n_leaves, count(*) FILTER (WHERE n.d = a.d + 1) AS n_children
+  FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM n) n JOIN n a ON a.d = n.up AND a.k = n.k[1:n.up] GROUP BY a.d, a.k)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, s.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.d = n.d AND s.k = n.k LEFT JOIN n u ON u.d = n.d - 1 AND u.k = n.k[1:n.d - 1]
+"""
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -248,8 +271,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_filter_audit": op12_filter_audit,
     "op13_url_filter": op13_url_filter,
 }
 
-SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op4_license_scan": OP4_SQL, "op9_quality": OP9_SQL, "op10_suffix_dedup": OP10_SQL, "op12_filter_audit": OP12_SQL, "op13_url_filter": OP13_SQL}
+SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op4_license_scan": OP4_SQL, "op9_quality": OP9_SQL, "op10_suffix_dedup": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_url_filter": OP13_SQL}
