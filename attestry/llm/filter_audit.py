@@ -7,7 +7,7 @@ from which all 120 orders follow by arithmetic.
 
 Copies of a text fail the same filters but for the duplicate filter, so they are counted together before they are shuffled:
 one row for each task, text, part and label.  A text, word, part or repeated row that holds a third of the table makes no large
-group anywhere.  Words are shuffled as pairs of (document, word) with their counts, never as texts.
+group anywhere.  A text moves once, to the task that counts its words.
 
 Defined cases: a null text is empty; it has no words, fails A and no other filter but, if an earlier text is empty too, E.  Very long
 texts are rows of words like any other.  A null lang is the part "", as is an empty one.  Documents with a null doc_id
@@ -43,10 +43,16 @@ def _keyed(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFram
 
 
 def word_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k1, k2, n_words, n_distinct of the documents that have words; words of rows repeated with their id add up."""
-    each = _keyed(df, id_col, text_col, F.explode(words(F.col(f"`{text_col}`"))).alias("word"))
-    by_word = each.groupBy("k1", "k2", "word").agg(F.count("*").alias("n"))
-    return by_word.groupBy("k1", "k2").agg(F.sum("n").alias("n_words"), F.count("*").alias("n_distinct"))
+    """k1, k2, n_words, n_distinct of the documents that have words; words of rows repeated with their id add up.
+
+    Texts are dealt by document first, so that both counts need no shuffle of words: a text is smaller than its pairs of
+    (document, word).  The input split is part of the key, so a row repeated everywhere is dealt over all tasks.
+    """
+    dealt = _keyed(df, id_col, text_col, F.spark_partition_id().alias("split"), F.col(f"`{text_col}`").alias("text")).repartition("k1", "k2", "split")
+    each = dealt.select("k1", "k2", "split", F.explode(words(F.col("text"))).alias("word"))
+    by_word = each.groupBy("k1", "k2", "split", "word").agg(F.count("*").alias("n"))
+    by_doc = by_word.groupBy("k1", "k2", "split").agg(F.sum("n").alias("n_words"), F.count("*").alias("n_distinct"))
+    return by_doc.groupBy("k1", "k2").agg(F.sum("n_words").alias("n_words"), F.max("n_distinct").alias("n_distinct"))
 
 
 def text_flags(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
