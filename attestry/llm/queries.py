@@ -252,8 +252,8 @@ f AS MATERIALIZED (SELECT i, y::DOUBLE AS y, len(found) AS n, unnest(found) AS k
 p AS (SELECT row_number() OVER () AS r, page_id, {low} AS host, {part(2)} AS path FROM pages),
 q AS (SELECT r, len(found) AS n, unnest(found) AS k FROM ({found("p")})),
 z AS (SELECT r, (SELECT w FROM w{u.STEPS} WHERE k = {b}) + sum(coalesce(w, 0)) / sqrt(any_value(n)) AS z FROM q LEFT JOIN w{u.STEPS} USING (k) GROUP BY r)
-SELECT page_id, host, path, {case(lambda v, h, p: h + p)} AS rule, coalesce({case(lambda v, h, p: v)}, CASE WHEN z >= 0 THEN 'block' ELSE 'allow' END) AS verdict
-FROM p JOIN z USING (r)
+SELECT page_id, host, path, {case(lambda v, h, p: h + p)} AS rule, coalesce({case(lambda v, h, p: v)}, CASE WHEN coalesce(z, (SELECT w FROM w{u.STEPS} WHERE k = {b})) >= 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN z USING (r)
 """
 
 

@@ -7,7 +7,7 @@ rows count in each step.  Scoring is a projection: no
 shuffle, no Python, in time linear in the length of a URL.
 
 Defined cases: a null URL, or one without "://", has an empty host and path; rules never fit it and the model judges
-the empty strings.  URLs of any length are read whole.  Equal URLs get equal verdicts, repeated rows each stay.  Where two rules
+the empty strings by its bias.  URLs of any length are read whole.  Equal URLs get equal verdicts, repeated rows each stay.  Where two rules
 of equal length fit, the one named first wins.  An empty table gives an empty result; an empty labelled table a model
 that allows everything.  Columns of the input other than id and URL are ignored, whatever their names.
 """
@@ -101,7 +101,7 @@ def probability(found: Column, m: Model) -> Column:
     """Logistic function of the bias and the mean-scaled sum of the weights of the buckets found."""
     weights = F.split(F.lit(" ".join(f"{w:.6f}".rstrip("0").rstrip(".") if w else "0" for w in m.weights)), " ").cast("array<double>")  # folded to one literal
     total = F.aggregate(found, F.lit(0.0), lambda a, k: a + F.get(weights, k))
-    return 1 / (1 + F.exp(-(m.bias + total / F.sqrt(F.size(found)))))
+    return 1 / (1 + F.exp(-(m.bias + total / F.sqrt(F.greatest(F.size(found), F.lit(1))))))
 
 
 #: Parameters of the production model: gradient steps with momentum, weight decay, and the share of the loss that the
@@ -126,7 +126,7 @@ def train(labelled: DataFrame, url: str = "url", blocked: str = "blocked", bucke
     for _ in range(steps):
         error = (probability(F.col("found"), Model(w[-1], tuple(w[:-1]), sizes)) - F.when(F.col("y"), 1.0).otherwise(0.0)) * share
         each = rows.select("found", error.alias("e"))
-        slope = each.select(F.explode(F.concat("found", F.array(F.lit(buckets)))).alias("k"), F.col("e"), F.sqrt(F.size("found")).alias("r"))
+        slope = each.select(F.explode(F.concat("found", F.array(F.lit(buckets)))).alias("k"), F.col("e"), F.sqrt(F.greatest(F.size("found"), F.lit(1))).alias("r"))
         sums = slope.groupBy("k").agg(F.sum(F.when(F.col("k") == buckets, F.col("e")).otherwise(F.col("e") / F.col("r"))).alias("d")).collect()  # buckets + 1 rows at most
         for r in sums:
             k = r["k"]
