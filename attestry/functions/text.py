@@ -17,14 +17,31 @@ def unquote(c: Column) -> Column:
     return F.regexp_replace(c, r"&quot;|&#34;|</?var>", '"')
 
 
+def holds(c: Column, literals: list[str] | tuple[str, ...] | str) -> Column:
+    """True where one of the literals stands in c."""
+    out = F.lit(False)
+    for x in literals:
+        out = out | F.contains(c, F.lit(x))
+    return out
+
+
 def prepared(c: Column) -> Column:
-    """A whole text for the search: marks taken out, entities replaced."""
-    return unquote(F.translate(F.coalesce(c, F.lit("")), MARKS, " " * len(MARKS)))
+    """A whole text for the search: marks taken out, entities replaced.  Texts that hold neither are passed on as they are."""
+    c = F.coalesce(c, F.lit(""))
+    bare = F.when(holds(c, MARKS), F.translate(c, MARKS, " " * len(MARKS))).otherwise(c)
+    return F.when(holds(c, "&<"), unquote(bare)).otherwise(bare)
 
 
 def searched(c: Column, most: int | None = grammar.SEARCH_MAX) -> Column:
     """What is searched of a text: the first `most` characters as prepared (the scanner's own limit), all for None."""
-    return prepared(c) if most is None else F.substring(prepared(c), 1, most)
+    whole = prepared(c)
+    return whole if most is None else F.when(F.octet_length(c) > most, F.substring(whole, 1, most)).otherwise(whole)
+
+
+def folded(c: Column) -> Column:
+    """A text in lower case, with the letters that stand for ASCII ones when case is ignored."""
+    c = F.coalesce(c, F.lit(""))
+    return F.lower(F.when(holds(c, grammar.FOLDED[0]), F.translate(c, *grammar.FOLDED)).otherwise(c))
 
 
 def normalize_license(c: Column) -> Column:

@@ -30,18 +30,66 @@ def line_ends(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
-def matches(df: DataFrame, id_col: str, text_col: str, regex: str, groups: int, most: int | None = None, gate: str | None = None) -> DataFrame:
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once: a lambda variable is bound, a column reference may be inlined."""
+    return F.transform(F.array(value), body)[0]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Texts dealt over all cores where the input has fewer splits than cores; other inputs are read as they lie."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(4 * n)
+
+
+def chosen_pattern(text: Column, index: grammar.RuleIndex) -> Column:
+    """The master pattern of a text: only the alternatives whose literals it holds, each in its place; null where there are none.
+
+    First the few roots are looked for; roots lead to alternatives, whose other literals are looked for then.  What is looked
+    for in an ordinary text does not grow with the rules.  No literal holds a quotation mark or a blank, so preparing a
+    text makes none that was not there.
+    """
+    joined = lambda seps, xs: seps[0].join(joined(seps[1:], x) for x in xs) if seps else xs  # noqa: E731  nested lists as one string
+    table = lambda xs: F.split(F.lit("\x01".join(xs)), "\x01")  # noqa: E731  folded to one literal
+    alternatives = index.alternatives
+    roots, patterns = table(index.roots), table([a.pattern for a in alternatives])
+    needs = table([joined("\x02\x03\x04", [b.sets for b in a.branches]) for a in alternatives])
+    led = table([",".join(str(k) for k, a in enumerate(alternatives) if any(r in b.roots for b in a.branches)) for r in index.roots])
+    some = lambda xs, made: F.when(F.size(xs) > 0, made)  # noqa: E731  else null
+
+    def pattern(held: Column) -> Column:
+        def part(place: int, groups: int, made) -> Column:
+            own = [k for k, a in enumerate(alternatives) if a.place == place]
+            here = F.filter(held, lambda k: k.between(own[0], own[-1])) if own else F.array().cast("array<int>")
+            every = F.array_join(F.transform(here, lambda k: F.concat(F.lit("(?:"), F.get(patterns, k), F.lit(")"))), "|")
+            # a part left out keeps its groups, empty, so that the others keep their numbers
+            return let(every, lambda c: F.when(c == "", F.lit(grammar.NEVER + "()" * groups)).otherwise(made(c)))
+
+        before, between, behind = map(F.lit, grammar.WORDS)
+        parts = [part(0, 1, lambda c: F.concat(F.lit("("), c, F.lit(")"))), *[part(k, n, lambda c: c) for k, n in enumerate(grammar.GROUPS_OF_PARTS, 1)], part(5, 0, lambda c: F.concat(before, c, between, c, behind))]
+        return F.concat(F.lit(grammar.HEAD), F.array_join(F.array(*parts), "|"), F.lit(grammar.TAIL))
+
+    def searched(t: Column) -> Column:
+        one_of = lambda s: F.exists(F.split(s, "\x04"), lambda x: F.contains(t, x))
+        fits = lambda k: F.exists(F.split(F.get(needs, k), "\x02"), lambda b: F.forall(F.split(b, "\x03"), one_of))
+        led_to = lambda there: F.array_sort(F.array_distinct(F.flatten(F.transform(there, lambda i: F.split(F.get(led, i), ",").cast("array<int>")))))
+        there = F.array_compact(F.transform(roots, lambda x, i: F.when(F.contains(t, x), i)))
+        return let(there, lambda xs: some(xs, let(F.filter(led_to(xs), fits), lambda ks: some(ks, pattern(ks)))))
+
+    return let(T.folded(text), searched)
+
+
+def matches(df: DataFrame, id_col: str, text_col: str, regex: str, groups: int, most: int | None = None, gate: grammar.RuleIndex | None = None) -> DataFrame:
     """id, row_no, pos, whole, groups (array), start, end, start_line, end_line, lines_before, fresh_line: one row per match.
 
     lines_before: line ends before the match; fresh_line: 1 if one of them stands right before it.  row_no tells texts
-    with equal ids apart.  most: how many characters of a text are searched; all of them without it.  gate: a cheaper
-    regex that is found in every text, put in lower case, that holds a match; the other texts are not searched.
+    with equal ids apart.  most: how many characters of a text are searched; all of them without it.  gate: the index of the
+    regex's rules; texts without any of its literals are not searched, the others for the alternatives whose literals they hold.
     """
     marks = _MATCH + "".join(f"{_FIELD}${i}" for i in range(1, groups + 1)) + f"{_FIELD}$0{_END}"
-    text = T.searched(F.col(f"`{text_col}`"), most)
-    split = F.split(F.regexp_replace(text, regex, marks), _MATCH, -1)
-    if gate:  # not a filter: that would be moved before the texts are dealt over the cores
-        split = F.when(F.lower(F.translate(text, *grammar.FOLDED)).rlike(gate), split)
+    raw = F.col(f"`{text_col}`")
+    text = T.searched(raw, most)
+    pattern = chosen_pattern(raw, gate) if gate else F.lit(regex)  # no filter: that would be moved before the texts are dealt over the cores
+    split = let(pattern, lambda p: F.when(p.isNotNull(), F.split(F.regexp_replace(text, p, F.lit(marks)), _MATCH, -1)))
     base = df.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row_no"), F.explode(F.array(split)).alias("parts"))
     parts = base.filter(F.size("parts") > 1).select("id", "row_no", F.posexplode("parts").alias("pos", "part"))
     halves = F.split("part", _END, 2)
@@ -97,7 +145,7 @@ def scan(df: DataFrame, rules: RuleSet, id_col: str = "doc_id", text_col: str =
 
     most: the search window in characters; None scans whole texts.
     """
-    m = matches(df, id_col, text_col, rules.master, grammar.GROUP_COUNT, most, rules.gate)
+    m = matches(spread(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))), id_col, text_col, rules.master, grammar.GROUP_COUNT, most, rules.gate)
     # the matches are few; written once, the master pattern runs once
     m = cut(m.select("id", "row_no", "pos", "whole", "start", "end", "start_line", "end_line", "lines_before", "fresh_line", group_places().alias("groups"), T.normalize_license(F.col("whole")).alias("shown")), "matches")
 

@@ -8,6 +8,7 @@ explode.  Spark SQL's regex functions use the same dialect, so the result is a l
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 # Limits of the grammar.
 NAME_MAX, WORDS_MAX, SPACE_MAX, YEARS_MAX = 30, 35, 47, 30
@@ -157,9 +158,12 @@ def by_first_character(patterns: list[str]) -> str:
     return "|".join(out)
 
 
-def anchors(p: str) -> frozenset[str] | None:
-    """Literals, in lower case, one of which stands in every match of p; None where no such set is seen."""
-    out: set[str] = set()
+def requirements(p: str) -> list[list[frozenset[str]]] | None:
+    """For each branch of p, sets of literals in lower case: every match of the branch holds one of each set.
+
+    None where a branch has no such set, so that nothing is known of its matches.
+    """
+    out: list[list[frozenset[str]]] = []
     for alt in _alternatives(p):
         found: list[frozenset[str]] = []
         run, i = "", 0
@@ -176,13 +180,24 @@ def anchors(p: str) -> frozenset[str] | None:
                 continue
             found, run = found + [frozenset([run.lower()])] * bool(run), ""
             optional = times and (times[0][0] in "?*" or times[0].startswith("{0"))
-            if not optional and atom[0] == "(" and (atom[1] != "?" or atom.startswith("(?:")) and (inner := anchors(atom[3:-1] if atom[1] == "?" else atom[1:-1])):
-                found.append(inner)
+            if not optional and atom[0] == "(" and (atom[1] != "?" or atom.startswith("(?:")) and (inner := requirements(atom[3:-1] if atom[1] == "?" else atom[1:-1])):
+                # of several branches, the literals of a set of each: the rarest ones, and the others that all branches have
+                found += inner[0] if len(inner) == 1 else list(dict.fromkeys(frozenset().union(*[pick(x, key=_least_rarity) for x in inner]) for pick in (max, min)))
         found += [frozenset([run.lower()])] * bool(run)
         if not found:
             return None
-        out |= max(found, key=lambda a: min(map(_rarity, a)))
-    return frozenset(out)
+        out.append(found)
+    return out
+
+
+def _least_rarity(literals: frozenset[str]) -> float:
+    return min(map(_rarity, literals))
+
+
+def anchors(p: str) -> frozenset[str] | None:
+    """Literals, in lower case, one of which stands in every match of p; None where no such set is seen."""
+    branches = requirements(p)
+    return None if branches is None else frozenset().union(*[max(x, key=_least_rarity) for x in branches])
 
 
 def _rarity(literal: str) -> float:
@@ -194,14 +209,6 @@ def _rarity(literal: str) -> float:
 FOLDED = ("\u0130\u0131\u017f\u212a", "iisk")
 
 
-def holding(literals: frozenset[str]) -> str:
-    """A regex, for texts in lower case, that is found where one of the literals stands."""
-    plain = lambda x: re.sub(r"[^\w]", lambda m: "\\" + m[0] if m[0].isascii() else m[0], x)
-    least = sorted(x for x in literals if not any(y != x and y in x for y in literals))
-    heads = dict.fromkeys(x[0] for x in least)
-    return "|".join(f"{plain(h)}(?:{'|'.join(plain(x[1:]) for x in least if x[0] == h)})" for h in heads)
-
-
 def full_match(patterns: list[str]) -> str | None:
     """A regex that is true for whole texts matching one of the expanded patterns; None for no patterns."""
     return f"{FLAGS}\\A(?:{_any(patterns)})\\z" if patterns else None
@@ -214,11 +221,12 @@ NEVER = "(?!)"
 #: 5, 6 owner behind years, owner before years 7, 8 the same in following lines.
 GROUPS = ((0, 1, 0, False), (2, 3, 0, False), (4, 5, 0, False), (6, 7, 0, False), (8, 9, 0, False), (10, 11, 12, False), (13, 14, 0, True), (15, 16, 17, True))
 GROUP_COUNT = 17
+#: How many groups the parts behind the known licenses have.
+GROUPS_OF_PARTS = (2, 2, 2, 10)
 
 
-def _parts(third: list[str], first: list[str], forbidden: list[str], owners: list[str]) -> list[str]:
-    """The alternatives of the master pattern, with the groups above; then contract words."""
-    known = by_first_character([embedded(p) for p in (*third, *first, *forbidden)]) or NEVER
+def _around(owners: list[str]) -> list[str]:
+    """The alternatives of the master pattern behind the known licenses, with the groups above."""
     owner_words = f"{_NAME}(?:[\\x20\\t]{{1,4}}{_NAME}){{0,{WORDS_MAX}}}"
     extra = _any([embedded(p) for p in owners])
     name = f"(?:{extra}|{owner_words})" if extra else owner_words
@@ -226,24 +234,78 @@ def _parts(third: list[str], first: list[str], forbidden: list[str], owners: lis
     gap = r"[\s,:\p{Z}*/#-]{1,47}"
     claim = rf"(?:({sign}{gap}{_YEARS}{gap}(?:by{SPACE})?)({name})|({sign}{gap})({name})({gap}{_YEARS}))"
     follow = rf"(?:{WS}{{1,{SPACE_MAX}}}{claim}){{0,5}}"
-    contract = by_first_character([expand(p) for p in CONTRACT_WORDS])
     return [
-        f"({known})",
         rf"(\b(?:is|are){SPACE}(?:distributed|provided|released|made{SPACE}available|licensed){SPACE}under{SPACE}(?!this\b))((?:{NOT_SPACE}{{1,{NAME_MAX}}}{SPACE}){{1,12}}?licen[sc]es?)\b",
         rf"(\blicen[sc]e[\x20\t]*:[\x20\t]*)({NOT_SPACE}{{1,{NAME_MAX}}}(?:[\x20\t]{{1,4}}{NOT_SPACE}{{1,{NAME_MAX}}}){{0,9}})",
         rf"(\b(?:the{SPACE}authors?{SPACE}of{SPACE}this{SPACE}software{SPACE}(?:is|are){SPACE}|authors?[\x20\t]*:[\x20\t]*))({name})",
         rf"{claim}{follow}",
-        rf"\b(?:{contract})(?:{SPACE}(?:{contract})){{0,35}}\b",
     ]
 
 
+#: The pattern around its alternatives: a match begins where a word begins, no other place tries them.
+HEAD, TAIL = FLAGS + r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}(©&<\"'.])(?:", ")"
+
+
+#: What stands around the alternation of contract words, which comes twice.
+WORDS = (r"\b(?:", rf")(?:{SPACE}(?:", r")){0,35}\b")
+
+
 def master(third: list[str], first: list[str], forbidden: list[str], owners: list[str]) -> str:
     """One alternation; the first alternative that matches wins."""
-    # a match begins where a word begins: no other place tries the alternatives
-    return FLAGS + r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}(©&<\"'.])(?:" + _any(_parts(third, first, forbidden, owners)) + ")"
+    known = by_first_character([embedded(p) for p in (*third, *first, *forbidden)]) or NEVER
+    contract = by_first_character([expand(p) for p in CONTRACT_WORDS])
+    return HEAD + _any([f"({known})", *_around(owners), contract.join(WORDS)]) + TAIL
+
+
+@dataclass(frozen=True)
+class Branch:
+    """What a text must hold to match: one of the roots, and one literal of each set."""
+
+    roots: tuple[str, ...]
+    sets: tuple[tuple[str, ...], ...]
+
+
+@dataclass(frozen=True)
+class Alternative:
+    """A part of the master pattern, the place it has there, and what a text must hold for it: all of one branch."""
+
+    place: int
+    pattern: str
+    branches: tuple[Branch, ...]
+
+
+@dataclass(frozen=True)
+class RuleIndex:
+    """From literals to the alternatives of a master pattern.
+
+    roots: a few literals, one of which stands in every text that can match at all.  alternatives: known licenses (place 0), the
+    four parts with groups of their own (1 to 4), contract words (5).
+    """
+
+    roots: tuple[str, ...]
+    alternatives: tuple[Alternative, ...]
+
+
+def rule_index(third: list[str], first: list[str], forbidden: list[str], owners: list[str]) -> RuleIndex | None:
+    """The index of a rule set; None where some alternative can match a text without any literal."""
+    placed = [(0, embedded(p)) for p in (*third, *first, *forbidden)] + list(enumerate(_around(owners), 1)) + [(5, expand(p)) for p in CONTRACT_WORDS]
+    known = [requirements(p) for _, p in placed]
+    if any(r is None for r in known):
+        return None
+    roots = _roots([branch for r in known for branch in r])
+
+    def made(sets: list[frozenset[str]]) -> Branch:
+        rooted = next(s for s in sets if all(any(r in x for r in roots) for x in s))
+        return Branch(tuple(r for r in roots if any(r in x for x in rooted)), tuple(tuple(sorted(s)) for s in dict.fromkeys(sets)))
+
+    return RuleIndex(roots, tuple(Alternative(k, p, tuple(map(made, r))) for (k, p), r in zip(placed, known, strict=True)))
 
 
-def gate(third: list[str], first: list[str], forbidden: list[str], owners: list[str]) -> str | None:
-    """A small regex, for texts in lower case, found wherever the master pattern is; None where a rule allows none."""
-    literals = anchors(_any([p for p in _parts(third, first, forbidden, owners) if p != f"({NEVER})"]))
-    return holding(literals) if literals else None
+def _roots(branches: list[list[frozenset[str]]]) -> tuple[str, ...]:
+    """A small set of literals that holds, for each branch, a part of every literal of one of its sets."""
+    chosen: list[str] = []
+    covered = lambda x: any(r in x for r in chosen)
+    cost = lambda s: sum(1 + 4096 * 4.0 ** -_rarity(x) for x in s if not covered(x))  # noqa: E731  a search each, more for short ones, which let most texts through
+    for branch in sorted(branches, key=lambda sets: (len(sets), sorted(map(sorted, sets)))):
+        chosen += sorted(x for x in min(branch, key=lambda s: (cost(s), sorted(s))) if not covered(x))
+    return tuple(sorted(x for x in set(chosen) if not any(y != x and y in x for y in chosen)))

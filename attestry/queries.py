@@ -19,12 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Texts dealt over all cores where the input has fewer splits than cores; other inputs are read as they lie."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(4 * n)
-
-
 # --- findings -------------------------------------------------------------------------------------------------------
 
 #: Notices of known licenses in the simple form that SQL dialects share: label, party, regex.
@@ -39,7 +33,7 @@ WORD_RE = r"(?i)(licen[sc]e|warranty|liability|patent|herein|hereby|jurisdiction
 
 
 def doc_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), catalog.PERMISSIVE).withColumnRenamed("id", "doc_id")
+    return scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), catalog.PERMISSIVE).withColumnRenamed("id", "doc_id")
 
 
 def doc_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,11 +41,11 @@ def doc_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.scan(spread(table(spark, sf_dir, "pages").select("page_id", "html")), catalog.PERMISSIVE, "page_id", "html").withColumnRenamed("id", "page_id")
+    return scan.scan(table(spark, sf_dir, "pages").select("page_id", "html"), catalog.PERMISSIVE, "page_id", "html").withColumnRenamed("id", "page_id")
 
 
 def generic_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), catalog.GENERIC)
+    found = scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), catalog.GENERIC)
     return found.groupBy("party", "match_type").agg(F.count("*").alias("n_findings"), F.countDistinct("id").alias("n_docs"))
 
 
@@ -97,7 +91,7 @@ PARTY_CASCADE_SQL = f"""SELECT doc_id, CASE WHEN {_ANY["FORBIDDEN"]} THEN 'FORBI
 
 
 def match_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = scan.matches(table(spark, sf_dir, "documents"), "doc_id", "text", WORD_RE, 1, grammar.SEARCH_MAX)  # its SQL names the limit
+    m = scan.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", WORD_RE, 1, grammar.SEARCH_MAX)  # its SQL names the limit
     return m.select(F.col("id").alias("doc_id"), F.col("pos").cast("int").alias("pos"), "whole")
 
 
@@ -148,7 +142,7 @@ def normalize_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
 def owner_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owner notices made from customer names."""
     c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("/* Copyright (C) 2019 "), F.translate("c_name", "#", "-"), F.lit(" */")).alias("t"))
-    found = scan.scan(spread(c), catalog.PERMISSIVE.owner("first", "customer-0+1[0-9]{0,12}"), "c_custkey", "t")
+    found = scan.scan(c, catalog.PERMISSIVE.owner("first", "customer-0+1[0-9]{0,12}"), "c_custkey", "t")
     return found.select(F.col("id").alias("c_custkey"), "party", "match_type", "start", "end")
 
 
@@ -202,7 +196,7 @@ SHORT_WORDS = "(?i)(the|der|les|con)"
 
 def clustered_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short words of each document in gap sessions: a new one 6 lines and 300 characters behind the last word."""
-    m = scan.matches(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", SHORT_WORDS, 1)
+    m = scan.matches(scan.spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", SHORT_WORDS, 1)
     w = Window.partitionBy("row_no").orderBy("pos")
     far = (F.col("start_line") - F.lag("end_line").over(w) >= 6) & (F.col("start") - F.lag("end").over(w) >= 300)
     return m.withColumn("opens", F.coalesce(far, F.lit(True)).cast("int")).withColumn("session", F.sum("opens").over(w))

@@ -132,7 +132,26 @@ def test_anchors():
     a = grammar.anchors
     assert a("(?:the )?(?:mit|expat) licen[cs]e") == {" licen"} and a("ab?c{2}def") == {"def"} and a("x(?:long|longer)y?") == {"long", "longer"} and a("copyright|\\(C\\)|©") == {"copyright", "(c)", "©"}
     assert a("(?!not)abc(?=z)de") == {"abcde"} and a("a(b{0,3}c)+d") == {"a"} and a("[ab]+|word") is None and a("x?") is None and a(".*") is None
-    assert grammar.holding(frozenset({"licensed", "licen", "lic(x"})) == "l(?:ic\\(x|icen)"
+    need = grammar.requirements
+    assert need("ab[cd]ef|gh") == [[{"ab"}, {"ef"}], [{"gh"}]] and need("(?:aa19|bbb20)x") == [[{"aa19", "bbb20"}, {"x"}]] and need("ab|c?") is None
+    assert need("(?:red[xy]7|blue[xy]8)") == [[{"red", "blue"}, {"7", "8"}]]
+    assert grammar._roots([[frozenset({"license"})], [frozenset({"licen"})], [frozenset({"rarely", "often"}), frozenset({"license"})]]) == ("licen",)
+
+
+def test_rules_share_roots():
+    """Every match holds a root; twice the rules, of the same kind, need no more of them."""
+    g = P.gate
+    assert all(b.roots and set(b.roots) <= set(g.roots) and all(b.sets) for a in g.alternatives for b in a.branches)
+    more = P.license("third", *[f"the works license number {k}" for k in range(len(g.alternatives))])
+    assert len(more.gate.alternatives) == 2 * len(g.alternatives) and more.gate.roots == g.roots
+
+
+def test_pattern_of_a_text(spark):
+    """A text is searched for what it can hold only, in the order of the master pattern."""
+    df = spark.createDataFrame([(0, "nothing"), (1, "&copy; nobody"), (2, "a PATENT, and the MIT license"), (3, "Copyright 2019 X"), (4, "terms of")], "doc_id long, text string")
+    got = [r[0] for r in df.orderBy("doc_id").select(scan.chosen_pattern(F.col("text"), P.gate)).collect()]
+    assert got[:2] == [None, None] and "patents?" in got[2] and "mit" in got[2] and "apache" not in got[2] and "jurisdiction" not in got[2]
+    assert all(regex.compile(p).groups == grammar.GROUP_COUNT for p in got if p) and "19|20" in got[3] and "mit" not in got[3]
 
 
 def test_texts_passed_over_hold_no_match(spark):
