@@ -46,16 +46,16 @@ def scan_files(spark: SparkSession, args: argparse.Namespace, out=sys.stdout, er
         if any(os.path.isdir(f) for f in args.files):
             print("a directory is no file", file=err)
             return 2
-        found = files.read_files(spark, args.files, skip=())
+        names, skip = spark.createDataFrame([(x,) for x in args.files], "path string"), ()
     else:
         skip = tuple(x for x in args.skip if x) if args.skip is not None else (files.DEFAULT_SKIP,)
         if args.listing == "-":
-            names = stdin.read().decode().split("\0" if args.zero else "\n")
-            found = files.read_named(spark, spark.createDataFrame([(x,) for x in names], "value string"), "value", skip)
+            lines = stdin.read().decode().split("\0" if args.zero else "\n")
+            names = spark.createDataFrame([(x,) for x in lines], "path string").distinct()
         else:
-            found = files.read_listing(spark, args.listing, args.zero, skip)
+            names = files.listed(spark, args.listing, args.zero)
     began, kept = time.perf_counter(), store.mark()
-    texts = store.cut(files.texts(found, args.deep), "texts")  # read and unpacked once
+    texts = store.cut(files.texts_of(names, "path", skip, args.deep), "texts")  # read and unpacked once
     keyed = texts.withColumn("key", F.struct("path_stack", "size", "elapsed_us"))
     lines = scan.scan(keyed, PRESETS[args.rules], "key").select("*", "id.*").orderBy("path_stack", "ord")
     for r in sinks.finding_lines(lines).toLocalIterator():

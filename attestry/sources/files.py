@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import bz2
 import codecs
-import gzip
 import io
-import lzma
-import tarfile
 import time
-import zipfile
-import zlib
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,23 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.policy import Policy, parse_sections, read_policy
+from . import archives, store
+from .archives import UNREADABLE, archive_kind, decompressed
 
 DEFAULT_SKIP = r"[/][.]git[/]"
 MAX_NESTING, BAD_ENTRIES = 10, 3
 BUFFER = 2048
 
-# Archive suffixes, in the order they are tested, and compression suffixes.
-ARCHIVES = (
-    ("ar", (".a", ".deb", ".ar", "-ar", "-deb", "-a")),
-    ("arj", (".arj",)),
-    ("cpio", (".cpio",)),
-    ("dump", (".dump", ".dmp")),
-    ("jar", (".jar", ".aar", ".apk", ".apex", ".war", ".rar", ".ear", ".sar", ".par", ".kar", "-jar")),
-    ("tar", (".tar", "-tar", ".pax")),
-    ("zip", (".zip", ".ZIP", "-zip", "-ZIP", ".sfx", ".docx", ".docm", ".xlsx", ".xlsm", ".pptx", ".pptm", ".odf", ".odt", ".odp", ".ods", ".odg")),
-)
-COMPRESSED = {".bz2": bz2.decompress, ".tbz2": bz2.decompress, ".gz": gzip.decompress, ".tgz": gzip.decompress, "-gz": gzip.decompress, ".z": gzip.decompress, ".xz": lzma.decompress, ".txz": lzma.decompress, ".lzma": lzma.decompress}
-
 # Characters for single bytes that are not UTF-8; from 0xC0 the Latin-1 character, else "?".
 ODD_BYTES = {0x85: "™", 0x99: "™", 0x87: "*", 0xB7: "*", 0x94: "ö", 0xA0: " ", 0xA7: " ", 0xAD: " ", 0xB6: " ", 0xA9: "©", 0xAE: "®"}
 
@@ -84,115 +69,48 @@ def decode(data: bytes) -> str:
     return decode_counted(data)[0]
 
 
-def archive_kind(name: str) -> str | None:
-    return next((kind for kind, ends in ARCHIVES if name.endswith(ends)), None)
-
-
-def decompressed(name: str, data: bytes) -> tuple[str, bytes]:
-    """Name without its compression suffix and the bytes; as they were if that fails."""
-    for end, unpack in COMPRESSED.items():
-        if name.lower().endswith(end):
-            try:
-                rest = name[: -len(end)]
-                return (rest + ".tar" if end in (".tgz", ".tbz2", ".txz") else rest), unpack(data)
-            except (OSError, EOFError, lzma.LZMAError, ValueError):
-                return name, data
-    return name, data
-
-
-Entry = tuple[str, Callable[[], bytes]]
-
-
-def _ar_entries(data: bytes) -> Iterator[Entry]:
-    if not data.startswith(b"!<arch>\n"):
-        raise ValueError("not an ar archive")
-    at = 8
-    while at + 60 <= len(data):
-        head = data[at : at + 60]
-        size = int(head[48:58])
-        name = head[:16].decode("latin-1").strip().rstrip("/")
-        body = data[at + 60 : at + 60 + size]
-        if name and not name.startswith("/"):
-            yield name, lambda body=body, size=size: _whole(body, size)
-        at += 60 + size + size % 2
-
-
-def _whole(body: bytes, size: int) -> bytes:
-    if len(body) < size:
-        raise EOFError("archive ends within an entry")
-    return body
-
-
-def _cpio_entries(data: bytes) -> Iterator[Entry]:
-    at = 0
-    while data[at : at + 6] in (b"070701", b"070702"):
-        f = [int(data[at + 6 + 8 * i : at + 14 + 8 * i], 16) for i in range(13)]
-        name = data[at + 110 : at + 110 + f[11] - 1].decode("latin-1")
-        body_at = at + (110 + f[11] + 3) // 4 * 4
-        if name == "TRAILER!!!":
-            return
-        if f[1] & 0o170000 == 0o100000:
-            yield name, lambda body=data[body_at : body_at + f[6]], size=f[6]: _whole(body, size)
-        at = body_at + (f[6] + 3) // 4 * 4
-    raise ValueError("cpio archive without its trailer" if at else "not a new-format cpio archive")
-
-
-def _tar_entries(data: bytes) -> Iterator[Entry]:
-    with tarfile.open(fileobj=io.BytesIO(data)) as t:
-        for e in t:
-            if e.isfile():
-                yield e.name, lambda e=e: _whole(t.extractfile(e).read(), e.size)
-        if len(data) % 512 or data[-512:].strip(b"\0"):
-            raise EOFError("tar archive without its end")
-
-
-def _zip_entries(data: bytes) -> Iterator[Entry]:
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for e in z.infolist():
-            if not e.is_dir() and (e.external_attr >> 16) & 0o170000 != 0o120000:
-                yield e.filename, lambda e=e: z.read(e)
-
-
-READERS = {"ar": _ar_entries, "cpio": _cpio_entries, "tar": _tar_entries, "jar": _zip_entries, "zip": _zip_entries}
-_UNREADABLE = (ValueError, OSError, EOFError, tarfile.TarError, zipfile.BadZipFile, zlib.error, lzma.LZMAError, RuntimeError, NotImplementedError)
-
-
 def entries(name: str, data: bytes, stack: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], bytes, str | None]]:
     """(path stack, bytes, error) of a file, or of the entries of an archive, nested archives included.
 
-    A file that cannot be read as the archive its name promises is taken as it is.  After a good entry each unreadable
+    A file that cannot be unpacked or read as the archive its name promises is taken as it is.  After a good entry each unreadable
     one gives an error and the next is tried, three times at most; where the archive itself breaks off, that is an error of
     the archive.
     """
-    here = (*stack, name)
     plain, body = decompressed(name, data)
-    kind = archive_kind(plain)
-    if kind in READERS and len(here) <= MAX_NESTING:
+    yield from _unfolded((*stack, name), archive_kind(plain), io.BytesIO(body), len(body), lambda: body)
+
+
+def _unfolded(here: tuple[str, ...], kind: str | None, f: BinaryIO, size: int | None, whole: Callable[[], bytes]) -> Iterator[tuple[tuple[str, ...], bytes, str | None]]:
+    """The entries of an archive, or the whole file where it gives none."""
+    if kind in archives.READERS and len(here) <= MAX_NESTING:
         seen = bad = 0
-        reader = READERS[kind](body)
+        reader = archives.places(kind, f, size)
         while bad <= BAD_ENTRIES:
             try:
-                entry, content = next(reader)
+                place = next(reader)
             except StopIteration:
                 break
-            except _UNREADABLE as e:  # nothing comes behind it
+            except UNREADABLE as e:  # nothing comes behind it
                 if seen:
-                    yield here, b"", f"{type(e).__name__}: {e}"
+                    yield here, b"", said(e)
                 break
             try:
-                content = content()
-            except _UNREADABLE as e:
+                body = archives.content(f, place)
+            except UNREADABLE as e:
                 bad += 1
-                if seen:
-                    yield (*here, entry), b"", f"{type(e).__name__}: {e}"
-                    continue
-                break
+                if not seen:
+                    break
+                yield (*here, place.name), b"", said(e)
+                continue
             seen += 1
-            yield from entries(entry, content, here)
+            yield from entries(place.name, body, here)
         if seen:
             return
-        body = data if kind and body is data else body
-    yield here, body, None
+    yield here, whole(), None
+
+
+def said(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
 
 
 def read_files(spark: SparkSession, paths: str | list[str], skip: tuple[str, ...] = (DEFAULT_SKIP,), recursive: bool = True) -> DataFrame:
@@ -204,52 +122,216 @@ def read_files(spark: SparkSession, paths: str | list[str], skip: tuple[str, ...
 
 
 def read_named(spark: SparkSession, names: DataFrame, column: str = "value", skip: tuple[str, ...] = (DEFAULT_SKIP,)) -> DataFrame:
-    """The files whose paths stand in a column.  Spark's reader takes a list of paths, so the names, not the files, pass
-    through the driver: for more than some millions of them name their folders instead (read_files)."""
+    """The files whose paths stand in a column, as rows with their bytes.  Spark's reader takes a list of paths, so the names
+    pass through the driver; texts_of reads them in tasks."""
     names = names.select(F.col(column).alias("value")).filter("value <> ''")
     for s in skip:
         names = names.filter(~F.col("value").rlike(s))
     return read_files(spark, [r["value"] for r in names.distinct().toLocalIterator()], skip=())
 
 
+def listed(spark: SparkSession, listing: str, zero: bool = False) -> DataFrame:
+    """path: the names of a listing, separated by newlines or NULs."""
+    return spark.read.text(listing, lineSep="\0" if zero else "\n").select(F.col("value").alias("path")).filter("path <> ''").distinct()
+
+
 def read_listing(spark: SparkSession, listing: str, zero: bool = False, skip: tuple[str, ...] = (DEFAULT_SKIP,)) -> DataFrame:
     """Files named by a listing, separated by newlines or NULs."""
     return read_named(spark, spark.read.text(listing, lineSep="\0" if zero else "\n"), "value", skip)
 
 
+Found = tuple[tuple[str, ...], bytes, str | None]
+_TEXTS = "path string, path_stack array<string>, size long, text string, error string, n_odd long, first_odd long, elapsed_us long"
+_KINDS = [pa.string(), pa.list_(pa.string()), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+
+
+def _decoded(found: Iterator[tuple[str, Found]], rows_most: int = 64, bytes_most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of texts of (path, what was found there): bounded by rows, and by bytes but for a single large one."""
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], [x.split()[0] for x in _TEXTS.split(", ")])
+
+    rows: list[tuple] = []
+    held = 0
+    began = time.perf_counter()
+    for path, (stack, body, error) in found:
+        text, n_odd, first_odd = decode_counted(body)
+        now = time.perf_counter()
+        rows.append((path, list(stack), len(body), text, error, n_odd, first_odd, int((now - began) * 1e6)))
+        held += len(body)
+        began = now
+        if len(rows) >= rows_most or held >= bytes_most:
+            yield batch(rows)
+            rows, held = [], 0
+    if rows:
+        yield batch(rows)
+
+
+def _clean(texts: DataFrame) -> DataFrame:
+    return texts.withColumn("path_stack", F.transform("path_stack", lambda x, i: F.when(i > 0, T.printable_name(x)).otherwise(x)))  # names of entries
+
+
 def texts(files: DataFrame, deep: bool = True) -> DataFrame:
     """path, path_stack, size, text, error, n_odd, first_odd, elapsed_us: one row for each file or archive entry, decoded.
 
-    n_odd, first_odd: bytes that are no UTF-8, and the place of the first; elapsed_us: time of unpacking and decoding.
+    n_odd, first_odd: bytes that are no UTF-8, and the place of the first; elapsed_us: time of unpacking and decoding.  Whole
+    files stand in rows here, of 2 GB at most; texts_of reads larger archives.
     """
-    names = ["path", "path_stack", "size", "text", "error", "n_odd", "first_odd", "elapsed_us"]
-    kinds = [pa.string(), pa.list_(pa.string()), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[str, Found]]:
+            for b in batches:
+                for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    data = content.as_py() or b""
+                    for x in entries(path, data) if deep else [((path,), decompressed(path, data)[1], None)]:
+                        yield path, x
+
+        yield from _decoded(found())
+
+    return _clean(files.select("path", "content").mapInArrow(work, _TEXTS))
+
+
+# --- files read by tasks --------------------------------------------------------------------------------------------
+
+#: About so many bytes of an archive are one task's; files up to LARGEST bytes are read whole.
+RANGE_BYTES, LARGEST = 64 << 20, (1 << 31) - (1 << 20)
+#: Archives that can be read forward only; a zip archive has its index at its end.
+STREAMED = ("ar", "cpio", "tar")
+_PLACES = "path string, name string, at long, size long, how string, error string"
+
+
+def _placed(path: str) -> Iterator[tuple]:
+    """Rows of _PLACES: one for each entry of an archive that can be read in pieces, else one for the file."""
+    try:
+        with archives.opened(path) as f:
+            size = f.size()
+            kind = None if archives.compression(path) else archive_kind(path)
+            seen = False
+            if kind in archives.READERS:
+                reader = archives.places(kind, f, size)
+                while True:
+                    try:
+                        p = next(reader)
+                        if not seen:  # an archive counts as one once an entry of it can be read
+                            archives.content(f, p)
+                            seen = True
+                    except StopIteration:
+                        break
+                    except UNREADABLE as e:
+                        if seen:
+                            yield path, None, size, 0, "error", said(e)
+                        break
+                    yield path, p.name, p.at, p.size, p.how, None
+            if not seen:
+                yield path, None, 0, size, "whole", None
+    except UNREADABLE as e:
+        yield path, None, 0, 0, "error", said(e)
+
+
+def _whole_file(path: str, size: int, deep: bool) -> Iterator[Found]:
+    """A file that is no archive or cannot be read in pieces; compressed archives are read as streams, an entry at a time."""
+    packed = archives.compression(path)
+    kind = archive_kind(packed[1]) if packed and deep else None
+    if kind in STREAMED:
+        seen = False
+        try:
+            with archives.opened(path) as f, archives.COMPRESSED[packed[0]](f) as plain:
+                for name, body in archives.streamed(kind, plain):
+                    seen = True
+                    yield from entries(name, body, (path,))
+        except UNREADABLE as e:
+            if seen:
+                yield (path,), b"", said(e)
+        if seen:
+            return
+    if size > LARGEST:
+        yield (path,), b"", f"ValueError: {size} bytes are more than a row can hold"
+        return
+    with archives.opened(path) as f:
+        data = f.read()
+    # an archive that gives no entry is a text like any other file
+    tried = archive_kind(path) in archives.READERS or kind in STREAMED
+    yield from [((path,), decompressed(path, data)[1], None)] if tried or not deep else entries(path, data)
+
+
+def _read_places(batches: Iterator[pa.RecordBatch], deep: bool) -> Iterator[pa.RecordBatch]:
+    def found() -> Iterator[tuple[str, Found]]:
+        open_path, f = None, None
+        try:
+            for b in batches:
+                for path, name, at, size, how, error in zip(*[b.column(x.split()[0]).to_pylist() for x in _PLACES.split(", ")], strict=True):
+                    try:
+                        if how == "error":
+                            yield path, ((path,), b"", error)
+                        elif how == "whole":
+                            for x in _whole_file(path, size, deep):
+                                yield path, x
+                        else:
+                            if open_path != path:
+                                if f:
+                                    f.close()
+                                open_path, f = path, archives.opened(path)
+                            if size > LARGEST:
+                                raise ValueError(f"{size} bytes are more than a row can hold")
+                            for x in entries(name, archives.content(f, archives.Place(name, at, size, how)), (path,)):
+                                yield path, x
+                    except UNREADABLE as e:
+                        yield path, ((path,) if name is None else (path, name), b"", said(e))
+        finally:
+            if f:
+                f.close()
+
+    yield from _decoded(found())
+
+
+def places_of(names: DataFrame, column: str = "path", skip: tuple[str, ...] = (DEFAULT_SKIP,), deep: bool = True) -> DataFrame:
+    """path, name, at, size, how, error: an index of the entries of all archives named, and a row for each other file."""
+    named = names.select(F.col(f"`{column}`").alias("path")).filter("path <> ''")
+    for s in skip:
+        named = named.filter(~F.col("path").rlike(s))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [x.split() for x in _PLACES.split(", ")]
+        kinds = [pa.string() if kind == "string" else pa.int64() for _, kind in columns]
+
         def batch(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [c for c, _ in columns])
 
         rows: list[tuple] = []
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data = content.as_py() or b""
-                began = time.perf_counter()
-                found = entries(path, data) if deep else [((path,), decompressed(path, data)[1], None)]
-                for stack, body, error in found:
-                    text, n_odd, first_odd = decode_counted(body)
-                    now = time.perf_counter()
-                    rows.append((path, list(stack), len(body), text, error, n_odd, first_odd, int((now - began) * 1e6)))
-                    began = now
-                    if len(rows) >= 64:
+            for path in b.column("path").to_pylist():
+                for row in _placed(path) if deep else _unopened(path):
+                    rows.append(row)
+                    if len(rows) >= 4096:
                         yield batch(rows)
                         rows = []
         if rows:
             yield batch(rows)
 
-    shape = "path string, path_stack array<string>, size long, text string, error string, n_odd long, first_odd long, elapsed_us long"
-    out = files.select("path", "content").mapInArrow(work, shape)
-    cleaned = F.transform("path_stack", lambda x, i: F.when(i > 0, T.printable_name(x)).otherwise(x))  # names of entries
-    return out.withColumn("path_stack", cleaned)
+    return named.repartition(4 * names.sparkSession.sparkContext.defaultParallelism).mapInArrow(work, _PLACES)
+
+
+def _unopened(path: str) -> Iterator[tuple]:
+    try:
+        with archives.opened(path) as f:
+            yield path, None, 0, f.size(), "whole", None
+    except UNREADABLE as e:
+        yield path, None, 0, 0, "error", said(e)
+
+
+def texts_of(names: DataFrame, column: str = "path", skip: tuple[str, ...] = (DEFAULT_SKIP,), deep: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """As texts, of files that stand as paths or URIs in a column; neither names nor files pass through the driver.
+
+    One task walks the headers of an archive and writes where its entries lie; then every range of about range_bytes is
+    another task's, which opens the archive and reads its entries one at a time.  Compressed archives are one task's stream.
+    Memory holds an entry, never an archive.  Damaged entries give error rows, however many; a file that cannot
+    be opened gives one.  The files must be in a store that Arrow can open; read_files takes what only Spark reads.
+    """
+    index = store.cut(places_of(names, column, skip, deep), "places")
+    total = index.agg(F.sum("size")).first()[0] or 0
+    n = max(names.sparkSession.sparkContext.defaultParallelism, -(-total // range_bytes))
+    dealt = index.repartition(n, "path", F.floor(F.col("at") / range_bytes)).sortWithinPartitions("path", "at")
+    return _clean(dealt.mapInArrow(lambda batches: _read_places(batches, deep), _TEXTS))
 
 
 REGULAR = (0o100644, 0o100755, 0o100664)
