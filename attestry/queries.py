@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import assess, scan
+from .operators import asof, assess, scan
 from .plans import catalog, grammar
 from .sources import files, sinks
 
@@ -276,6 +276,17 @@ def scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.counters(table(spark, sf_dir, "events"), "event_type")
 
 
+def version_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with the last signup at or before it, as a revision with the policy of its time."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    versions = e.filter("event_type = 'signup'").select(F.col("ts").alias("since"), F.col("event_id").alias("version"))
+    return asof.as_of(e.filter("event_type <> 'signup'"), versions, at="ts").select("event_id", "version")
+
+
+VERSION_SQL = """WITH v AS (SELECT ts, max(event_id) AS version FROM events WHERE event_type = 'signup' GROUP BY ts), e AS (SELECT * FROM events WHERE event_type <> 'signup')
+SELECT e.event_id, v.version FROM e ASOF LEFT JOIN v ON e.ts >= v.ts"""
+
+
 def finding_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = scan.matches(table(spark, sf_dir, "documents"), "doc_id", "text", r"(?i)(licen[sc]e)", 1).filter("pos = 1")
     f = m.select(F.lit("UNKNOWN").alias("party"), F.lit("LICENSE").alias("match_type"), "start_line", "end_line", "start", "end", F.col("whole").alias("text"), F.when(F.col("id").isNotNull(), F.array(F.lit("a b.zip"), F.col("id").cast("string"))).alias("path_stack"), F.lit(0).cast("long").alias("size"), F.lit(5).cast("long").alias("elapsed_us"))
@@ -303,7 +314,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         doc_verdicts, doc_findings, page_findings, generic_findings, doc_comments, known_license_docs, license_counts_by_lang, rule_attribution, party_cascade, match_explode, match_offsets, line_numbers, truncate_scan,
         entity_unquote, normalize_license, normalize_owner, owner_findings, path_skip, always_review, exclude_patterns, file_verdict, change_verdict, unknown_clusters, cluster_top10, unknown_suppression, comment_dedupe,
-        reviewer_dedupe, tree_diff, rule_suggest, scan_counts, finding_lines, turn_scan, benchmark_scan,
+        reviewer_dedupe, tree_diff, rule_suggest, scan_counts, version_in_force, finding_lines, turn_scan, benchmark_scan,
     )
 }
 
@@ -333,6 +344,7 @@ SQL: dict[str, str] = {
     "tree_diff": TREE_DIFF_SQL,
     "rule_suggest": RULE_SUGGEST_SQL,
     "scan_counts": "SELECT event_type, count(*) AS n_scans FROM events GROUP BY event_type",
+    "version_in_force": VERSION_SQL,
     "finding_lines": FINDING_LINES_SQL,
     "turn_scan": f"SELECT role, count(*) AS n_turns, CAST(sum(CASE WHEN regexp_matches(text, '{WORD_RE}') THEN 1 ELSE 0 END) AS BIGINT) AS n_hints FROM conversations GROUP BY role",
     "benchmark_scan": f"SELECT item_id, len(regexp_extract_all(text, '{WORD_RE}')) AS n_findings FROM benchmark",

@@ -44,6 +44,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def made(spark: SparkSession, path: str) -> None:
+    """Make a folder, unless it is there."""
+    fs, p = _filesystem(spark, path)
+    fs.mkdirs(p)
+
+
 def mark() -> int:
     """A place in the list of intermediate tables, for release."""
     return len(_written)
