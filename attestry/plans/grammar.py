@@ -149,7 +149,7 @@ def by_first_character(patterns: list[str]) -> str:
     letters = sorted(set().union(*[f for f in firsts if f is not None]))
     for c in letters:
         here = tuple(k for k, f in enumerate(firsts) if f is None or c in f)
-        lists[here] = lists.get(here, "") + re.sub(r"[^a-z0-9]", lambda m: "\\" + m[0] if m[0].isascii() else m[0], c)
+        lists[here] = lists.get(here, "") + _in_class(c)
     out = [f"(?=[{chars}])(?:{_any([patterns[k] for k in here])})" for here, chars in lists.items()]
     anywhere = [p for p, f in zip(patterns, firsts, strict=True) if f is None]
     if anywhere:
@@ -298,7 +298,17 @@ def rule_index(third: list[str], first: list[str], forbidden: list[str], owners:
         rooted = next(s for s in sets if all(any(r in x for r in roots) for x in s))
         return Branch(tuple(r for r in roots if any(r in x for x in rooted)), tuple(tuple(sorted(s)) for s in dict.fromkeys(sets)))
 
-    return RuleIndex(roots, tuple(Alternative(k, p, tuple(map(made, r))) for (k, p), r in zip(placed, known, strict=True)))
+    return RuleIndex(roots, tuple(Alternative(k, guarded(p), tuple(map(made, r))) for (k, p), r in zip(placed, known, strict=True)))
+
+
+def guarded(p: str) -> str:
+    """p behind a look at the next character, where only some can begin a match of it."""
+    firsts = first_characters(p)
+    return p if firsts is None else f"(?=[{''.join(map(_in_class, sorted(firsts)))}]){p if len(_alternatives(p)) == 1 else f'(?:{p})'}"
+
+
+def _in_class(c: str) -> str:
+    return "\\" + c if c.isascii() and not c.isalnum() else c
 
 
 def _roots(branches: list[list[frozenset[str]]]) -> tuple[str, ...]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import catalog
+from . import catalog, grammar
 
 # Keys of a policy file.
 LISTS = ("reviewer", "cc", "alwaysReviewPath", "alwaysReview", "matchProjects", "excludeProjects", "thirdPartyAllowedProjects", "exclude", "excludePattern", "firstParty", "thirdParty", "forbidden", "firstPartyPattern", "thirdPartyPattern", "forbiddenPattern")
@@ -245,17 +245,33 @@ def tier(seconds: float) -> str:
     return next(text for least, text in TIERS if seconds > least or not least)
 
 
-def probe_text(lines: int = 256) -> str:
-    """About 256 KiB that resemble the starts of many patterns and match none."""
-    kinds = (" " * 1000, " xA3" * 250, ", 7F" * 250, "0123456789abcdef" * 62, "aBcDeFgH iJkLmNoP " * 55)
-    return "\n".join(kinds[i % len(kinds)] for i in range(lines))
+def probe_text(lines: int = 256, rules: catalog.RuleSet = catalog.PERMISSIVE) -> str:
+    """About 1 KiB a line, made from the rules: what begins like their patterns and goes on as long as they allow, matching none.
+
+    For each alternative of the master pattern a line takes the literals its matches hold, so that the scanner cannot pass it over, but
+    glued to a letter; then the same literals short of their last letter, with the longest blanks between; then a sign of
+    ownership and as many names as an owner may have, without a year.
+    """
+    index, out = rules.gate, []
+    branches = [b for a in index.alternatives for b in a.branches] if index else []
+    for k in range(lines):
+        words = [s[k % len(s)] for s in branches[k % len(branches)].sets] if branches else []
+        glued = " ".join(f"x{w}x" for w in words)
+        short = (" " * grammar.SPACE_MAX).join(f"{w[:-1]}_" for w in words if not any(r in w[:-1] for r in index.roots))
+        names = " ".join(f"N{chr(97 + i % 26) * (1 + (i + k) % grammar.NAME_MAX // 2)}" for i in range(grammar.WORDS_MAX + 1))
+        line = f"{glued} {short} \u00a9 {names} "
+        out.append((line * (1 + 1024 // len(line)))[:1024])
+    return "\n".join(out)
 
 
 def probe(spark: SparkSession, rules: catalog.RuleSet) -> float:
-    """Seconds for scanning the probe text."""
+    """Seconds for scanning the probe text of these rules."""
     from ..operators.scan import scan
 
-    df = spark.createDataFrame([(1, probe_text())], "doc_id long, text string")
-    began = time.perf_counter()
-    scan(df, rules).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - began
+    def scanned(text: str) -> float:
+        began = time.perf_counter()
+        scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), rules).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    scanned(probe_text(8, rules))  # plans and compiles
+    return scanned(probe_text(rules=rules))

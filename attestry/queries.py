@@ -91,11 +91,11 @@ PARTY_CASCADE_SQL = f"""SELECT doc_id, CASE WHEN {_ANY["FORBIDDEN"]} THEN 'FORBI
 
 
 def match_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = scan.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", WORD_RE, 1, grammar.SEARCH_MAX)  # its SQL names the limit
+    m = scan.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", WORD_RE, 1)
     return m.select(F.col("id").alias("doc_id"), F.col("pos").cast("int").alias("pos"), "whole")
 
 
-MATCH_EXPLODE_SQL = f"""WITH t AS (SELECT doc_id, regexp_extract_all(substring(text, 1, {grammar.SEARCH_MAX}), '{WORD_RE}') AS a FROM documents)
+MATCH_EXPLODE_SQL = f"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '{WORD_RE}') AS a FROM documents)
 SELECT doc_id, CAST(i AS INTEGER) AS pos, a[i] AS whole FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM t)"""
 
 
