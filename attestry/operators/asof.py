@@ -23,7 +23,7 @@ def as_of(events: DataFrame, versions: DataFrame, at: str = "at", since: str = "
     # one row for each bucket: what stood at its end, and from that what stood before it
     ends = both.filter("t IS NOT NULL").groupBy("b").agg(F.max(F.when(F.col("kind") == 0, F.struct("t", "v"))).alias("last"))
     before = ends.select("b", F.last("last", ignorenulls=True).over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    newest = v.agg(F.max(F.struct("t", "v")).alias("newest"))
+    newest = v.agg(F.max(F.struct("t", "v")).alias("newest")).select(F.col("newest")["v"])
     timed = seen.filter("t IS NOT NULL").join(before, "b", "left").select("row", F.coalesce("v", F.col("before")["v"]).alias("v"))
-    untimed = seen.filter("t IS NULL").select("row", F.lit(1).alias("one")).join(newest.select(F.lit(1).alias("one"), "newest"), "one", "left").select("row", F.col("newest")["v"].alias("v"))
+    untimed = seen.filter("t IS NULL").select("row", newest.scalar().alias("v"))
     return timed.unionByName(untimed).select("row.*", F.col("v").alias(value))

