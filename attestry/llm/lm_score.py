@@ -44,10 +44,10 @@ END = b" "  # no word holds a blank
 @dataclass(frozen=True)
 class Settings:
     frequent: int = 131_072
-    vocabulary: int = 400
-    class_size: int = 20
+    vocabulary: int = 4_096
+    class_size: int = 64
     others: int = 80
-    width: int = 12
+    width: int = 24
     streams: int = 512
     window: int = 32
     warm_docs: int = 1_500
