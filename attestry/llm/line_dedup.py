@@ -4,12 +4,15 @@ Line keys become 128-bit hashes; occurrences (hash, document, position) are rang
 by document and position, and streamed: the first document of a run keeps its lines, later ones lose theirs once
 enough documents hold the key.  Only positions travel back, as runs of kept lines per document, never text.
 
-A key that alone holds more than 1/1024 of all occurrences would fill one range.  There are at most 1024 such keys, so
-their document counts and last documents are pre-aggregated and broadcast, and their occurrences are judged in place.
-
-Defined cases: null or empty text is one empty line, kept.  Each distinct (doc_id, text) row is a document; exact
-repetitions of a row are one document and get the same result.  A null doc_id ranks below every other.  An empty
-table gives an empty result.  Further columns pass through, whatever their names.
+A key that alone holds more than 1/1024 of all occurrences, or more than TASK_ROWS, would burden one range.  Document counts
+and last documents of such keys are pre-aggregated and broadcast, and their occurrences are judged in place; the limit rises
+with the table where more than SENT_KEYS keys could pass it, so what is sent is bounded at every size.
+
+Defined cases: null or empty text is one empty line, kept.  Documents are told apart by doc_id, null being one that ranks
+below every other: rows that share a doc_id count once among the holders of a line, and each keeps or loses it alike, exact
+repetitions included.  The largest doc_id keeps a line in all its rows and places.  Texts of any length are split whole; an
+array of a text's lines is in memory at a time.  An empty table gives an empty result.  Further columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, ascii_lower, cut, let, packed, two_hashes
 
+#: So many occurrences of one key at most are one task's; so many keys at most are broadcast.
+TASK_ROWS, SENT_KEYS = 4_000_000, 1 << 20
+
 
 def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
@@ -46,7 +52,7 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, rid, pos of the lines that go."""
     occ = cut(occurrences(df, id_col, text_col, min_chars), "line-occurrences")
     total = occ.count()
-    many = max(hot_least, int(total * hot_share))
+    many = max(hot_least, min(int(total * hot_share), TASK_ROWS), total // SENT_KEYS)
     hot_keys = occ.groupBy("h1", "h2").count().filter(F.col("count") > many).select("h1", "h2")  # at most total / many keys
     n_hot = 0
     if total > many:
@@ -56,12 +62,12 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = []
     if n_hot:
         hot_occ = occ.join(F.broadcast(hot_keys), ["h1", "h2"])
-        holders = hot_occ.groupBy("h1", "h2", "doc_id", "rid").agg(F.lit(1).alias("one"))
+        holders = hot_occ.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
         facts = holders.groupBy("h1", "h2").agg(F.count("one").alias("n_docs"), F.max("doc_id").alias("last_doc")).filter(F.col("n_docs") >= min_docs)
         gone.append(hot_occ.join(F.broadcast(facts), ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("last_doc"))).select("doc_id", "rid", "pos"))
         cold = occ.join(F.broadcast(hot_keys), ["h1", "h2"], "left_anti")
     run = Window.partitionBy("h1", "h2")
-    stream = run.orderBy(F.col("doc_id").desc_nulls_last(), "rid")
+    stream = run.orderBy(F.col("doc_id").desc_nulls_last())
     ranked = cold.repartitionByRange("h1", "h2").select(
         "doc_id", "rid", "pos", "h1", "h2", F.dense_rank().over(stream).alias("rank"), F.first("doc_id").over(stream).alias("last_doc"))
     judged = ranked.withColumn("n_docs", F.max("rank").over(run)).filter((F.col("n_docs") >= min_docs) & ~F.col("doc_id").eqNullSafe(F.col("last_doc")))

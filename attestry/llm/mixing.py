@@ -7,13 +7,18 @@ the others go on with their weights renormalised, from that slot as zero; nothin
 
 Within such a stretch the schedule repeats after W slots.  The plan is therefore a short table made from weights and
 block counts alone: per stretch and source the slots of one period.  There is no bound on sources or weights: a plan of
-over SENT_SLOTS slots is not sent to the tasks but written and joined.  Blocks find their slot by arithmetic on that table,
-however many there are.  Ranks within a source come from counts of hash buckets plus ranks within a bucket, so a source
-that holds most rows is ranked by many tasks.
+over SENT_SLOTS slots is not sent to the tasks but written and joined.  Streams are divided into ranges of blocks, and a
+block meets the stretches within its range only: a source that holds most rows is joined by many tasks, and the rows of a
+join do not grow with the number of stretches.  Blocks find their slot there by arithmetic.  Ranks within a source come from
+counts of hash buckets plus ranks within a bucket, so such a source is ranked by many tasks as well.
+
+The plan has a row for each stretch and each source still left in it: the driver passes them on part by part and keeps no
+more than a part, but time grows with the square of the sources that have a weight.
 
 Defined cases: sources without a weight, null included, share the stream `rest`; a last block may be short; rows with
-equal id are ordered by the hash of their other columns, and equal rows get different positions; an empty table gives an
-empty result; all columns pass through as struct row, whatever their names.
+equal id are ordered by the hash of their other columns, and equal rows get different positions; rows without an id are
+dealt by the hash of all their columns; texts of any length pass through unread; an empty table gives an empty result; all
+columns pass through as struct row, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ from .common import packed, shared_dir
 
 #: So many slots of a plan are sent to all tasks; a larger plan is a table that is joined.
 SENT_SLOTS = 1 << 18
+#: Blocks in a range where the plan is a table.
+RANGE_BLOCKS = 4096
 REST = "rest"
 
 
@@ -81,9 +88,10 @@ def plan(blocks: dict[str, int], weights: dict[str, int]) -> Iterator[dict]:
 _PLAN = "stream string, first bigint, n bigint, base bigint, weight bigint, total bigint, slots array<bigint>"
 
 
-def plan_table(spark: SparkSession, rows: Iterator[dict]) -> DataFrame:
-    """The plan as a literal, to be broadcast, while it is small; else as a table in the shared folder, written part by part."""
-    path, part, size = None, [], 0
+def plan_table(spark: SparkSession, rows: Iterator[dict], blocks: int) -> tuple[DataFrame, int]:
+    """The plan by ranges of blocks, and the blocks in a range: from a literal, to be broadcast, while it is small; else from a
+    table in the shared folder, written part by part."""
+    path, part, size, widest = None, [], 0, 1
 
     def literal() -> DataFrame:
         shape = "array<struct<" + _PLAN.replace(" ", ":").replace(",:", ",") + ">>"
@@ -94,15 +102,30 @@ def plan_table(spark: SparkSession, rows: Iterator[dict]) -> DataFrame:
             continue
         part.append(r)
         size += len(r["slots"]) + 8
+        widest = max(widest, len(r["slots"]))
         if size > SENT_SLOTS:
             path = path or f"{shared_dir(spark)}/mixing-plan-{uuid.uuid4().hex}"
             literal().write.mode("append").parquet(path)
             part, size = [], 0
-    if path is None:
-        return F.broadcast(literal())
+    if path is None:  # ranges so wide that they repeat SENT_SLOTS slots at most
+        width = max(64, -(-blocks * widest // SENT_SLOTS))
+        return F.broadcast(by_range(literal(), width)), width
     if part:
         literal().write.mode("append").parquet(path)
-    return spark.read.schema(_PLAN).parquet(path)
+    return by_range(spark.read.schema(_PLAN).parquet(path), RANGE_BLOCKS), RANGE_BLOCKS
+
+
+def by_range(stretches: DataFrame, width: int) -> DataFrame:
+    """Each stretch once for every range of width blocks that it meets, with the slots of its blocks there or of one period,
+    whichever are fewer; skip: blocks of the stretch before the first of those slots."""
+    number = lambda block: F.floor(block / F.lit(width)).cast("long")
+    at = stretches.withColumn("range", F.explode(F.sequence(number(F.col("first")), number(F.col("first") + F.col("n") - 1))))
+    low = F.greatest(F.lit(0), F.col("range") * width - F.col("first"))
+    high = F.least(F.col("n"), (F.col("range") + 1) * width - F.col("first"))
+    at = at.withColumns({"low": low, "high": high, "turn": low % F.col("weight")})
+    part = F.slice("slots", F.col("turn").cast("int") + 1, (F.col("high") - F.col("low")).cast("int"))
+    within = F.col("turn") + F.col("high") - F.col("low") <= F.col("weight")
+    return at.withColumn("slots", F.when(within, part).otherwise(F.col("slots"))).withColumn("skip", F.when(within, F.col("turn")).otherwise(F.lit(0))).drop("low", "high", "turn")
 
 
 def positions(df: DataFrame, weights: dict[str, int], rest: int = 1, block_docs: int = 8, id_col: str = "doc_id", source_col: str = "source", bucket_rows: int = 100_000) -> DataFrame:
@@ -114,10 +137,11 @@ def positions(df: DataFrame, weights: dict[str, int], rest: int = 1, block_docs:
     source = F.col(f"`{source_col}`")
     stream = F.when(source.isin(list(weights)), F.concat(F.lit("="), source)).otherwise(F.lit(REST))
     d = F.col(f"`{id_col}`")
-    base = df.select(packed(df).alias("row"), d.alias("doc_id"), stream.alias("stream"), F.md5(F.coalesce(d.cast("string"), F.lit("")).cast("binary")).alias("h"))
+    base = df.select(packed(df).alias("row"), d.alias("doc_id"), stream.alias("stream"), F.md5(F.coalesce(d.cast("string"), F.concat(F.lit("null "), F.xxhash64(packed(df)).cast("string"))).cast("binary")).alias("h"))
 
     sizes = {r["stream"]: r["n"] for r in base.groupBy("stream").agg(F.count("*").alias("n")).collect()}  # one row for each weight at most
-    schedule = plan_table(spark, plan({k: -(-n // block_docs) for k, n in sizes.items()}, shares))
+    blocks = {k: -(-n // block_docs) for k, n in sizes.items()}
+    schedule, width = plan_table(spark, plan(blocks, shares), sum(blocks.values()))
 
     digits, total = 1, sum(sizes.values())
     while total / 16**digits > bucket_rows and digits < 8:
@@ -129,14 +153,15 @@ def positions(df: DataFrame, weights: dict[str, int], rest: int = 1, block_docs:
     within = Window.partitionBy("stream", "bucket").orderBy("h", "doc_id", F.xxhash64("row"))
     ranked = base.withColumn("r", F.row_number().over(within) - 1).join(offsets, ["stream", "bucket"])
     n = F.col("offset") + F.col("r")
-    placed = ranked.select("row", "doc_id", "stream", F.floor(n / block_docs).alias("block"), (n % block_docs).alias("within"))
+    block = F.floor(n / block_docs)
+    placed = ranked.select("row", "doc_id", "stream", block.alias("block"), F.floor(block / width).alias("range"), (n % block_docs).alias("within"))
     mine = (F.col("block") >= F.col("first")) & (F.col("block") < F.col("first") + F.col("n"))
     k, w, tot = F.col("block") - F.col("first"), F.col("weight"), F.col("total")
-    joined = placed.join(schedule, "stream").filter(mine)
+    joined = placed.join(schedule, ["stream", "range"]).filter(mine)
     whole = lambda c: c.cast("long")
     out = joined.select(
         "row", "doc_id", "stream", "block", "within", (F.col("base") + F.floor(k * tot / w)).alias("released"), (F.col("base") + F.ceil((k + 1) * tot / w)).alias("deadline"),
-        (F.col("base") + F.floor(k / w) * tot + F.get("slots", (k % w).cast("int"))).alias("slot"),
+        (F.col("base") + F.floor(k / w) * tot + F.get("slots", (k % w - F.col("skip")).cast("int"))).alias("slot"),
     )
     return out.select("row", "doc_id", "stream", whole(F.col("block")).alias("block"), whole(F.col("released")).alias("released"), whole(F.col("deadline")).alias("deadline"), whole(F.col("slot")).alias("slot"), whole(F.col("slot") * block_docs + F.col("within")).alias("position"))
 

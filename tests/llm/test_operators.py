@@ -59,14 +59,20 @@ def test_line_dedup(spark, docs, rows, none):
         for i, t in set(rows):
             for line in (t or "").split("\n"):
                 if len(key(line)) >= 40:
-                    holders[key(line)].add((i, t))
+                    holders[key(line)].add(i)
         want = collections.Counter()
         rank = lambda i: -1 if i is None else i
         for i, t in rows:
             lines = (t or "").split("\n")
-            keep = [x for x in lines if len(holders.get(key(x), ())) < 5 or rank(i) == max(rank(d) for d, _ in holders[key(x)])]
+            keep = [x for x in lines if len(holders.get(key(x), ())) < 5 or rank(i) == max(rank(d) for d in holders[key(x)])]
             want[(i, t, "\n".join(keep), len(lines), len(lines) - len(keep))] += 1
         assert got == want
+    line = "a line of forty and more characters that several rows hold"
+    five = spark.createDataFrame([(7, line), (7, line + "\nx"), (8, line), (9, line), (10, line)], "doc_id long, text string")
+    for how in ({}, {"hot_least": 1}):  # five rows of four documents keep the line, those of five lose it
+        assert {r["n_dropped"] for r in line_dedup.dedup_lines(five, **how).collect()} == {0}
+        sixth = five.union(spark.createDataFrame([(None, line + "\n" + line)], five.schema))
+        assert sorted(r["n_dropped"] for r in line_dedup.dedup_lines(sixth, **how).collect()) == [0, 1, 1, 1, 1, 2]
     assert line_dedup.dedup_lines(none).count() == 0
     assert line_dedup.strip_lines(docs).columns == docs.columns
 
@@ -662,10 +668,11 @@ def test_mixing(spark, none):
     assert mixing.positions(none, weights).count() == 0 and mixing.mix(d, weights).columns == ["doc_id", "source", "slot", "position"]
 
 
-@pytest.mark.parametrize("sent", [1 << 18, 40])
-def test_mixing_without_bounds(spark, monkeypatch, sent):
+@pytest.mark.parametrize("sent, width", [(1 << 18, 4096), (40, 4096), (40, 1), (40, 3)])
+def test_mixing_without_bounds(spark, monkeypatch, sent, width):
     """Three hundred sources with large weights, the plan sent or joined, against the schedule played slot by slot."""
     monkeypatch.setattr(mixing, "SENT_SLOTS", sent)
+    monkeypatch.setattr(mixing, "RANGE_BLOCKS", width)
     r = random.Random(31)
     weights = {f"s{k}": r.randrange(1, 400) for k in range(300)}
     blocks = {f"={k}": r.randrange(1, 5) for k in weights}
@@ -690,6 +697,25 @@ def test_mixing_without_bounds(spark, monkeypatch, sent):
             start, k = t, dict.fromkeys(left, 0)
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 5, 8, 64])
+def test_ranges_of_the_plan(spark, width):
+    """Every block meets one row of its range, which gives the slot that the whole plan gives; lists are no longer than a range."""
+    rows = list(mixing.plan({"a": 57, "b": 23, "c": 40, "d": 1}, {"a": 7, "b": 3, "c": 11, "d": 2}))
+    cut = mixing.by_range(spark.createDataFrame(rows, mixing._PLAN), width).collect()
+    for r in rows:
+        for k in range(r["n"]):
+            block = r["first"] + k
+            mine = [x for x in cut if x["stream"] == r["stream"] and x["range"] == block // width and x["first"] <= block < x["first"] + x["n"]]
+            assert len(mine) == 1 and mine[0]["slots"][k % r["weight"] - mine[0]["skip"]] == r["slots"][k % r["weight"]]
+
+
+def test_rows_without_an_id_are_dealt(spark):
+    """A source of rows without an id is ranked in many buckets, not in one."""
+    d = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.col("id").cast("string").alias("text"))
+    out = mixing.positions(d, {"a": 1}, 1, 4, bucket_rows=100)
+    assert sorted(r["position"] for r in out.collect()) == list(range(4000))
+
+
 @pytest.mark.parametrize("name", ["op4_license_scan", "op10_suffix_dedup"])
 def test_sql_of_whole_queries(spark, docs, tmp_path, name):
     """The query's rows are those of its SQL, on every odd text and on notices that stand whole, edited, scattered and out of order."""
