@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import asof, assess, scan
+from .operators import asof, assess, names, scan
 from .plans import catalog, grammar
 from .sources import files, sinks
 
@@ -272,6 +272,26 @@ RULE_SUGGEST_SQL = f"""WITH s AS (SELECT DISTINCT c_mktsegment AS name FROM cust
 SELECT name, rule, CAST(distance AS INTEGER) AS distance FROM d WHERE distance = (SELECT min(distance) FROM d e WHERE e.name = d.name)"""
 
 
+def word_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents that are no rule name, with the rule names that they may be meant for."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_]+"), 0))).alias("w")).select(F.upper("w").alias("name"))
+    rules = spark.createDataFrame([(k,) for k in sorted(catalog.CATALOG)], "known string")
+    return names.suggestions(words, rules)
+
+
+WORD_SUGGEST_SQL = f"""WITH w AS (SELECT DISTINCT upper(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS name FROM documents),
+d AS (SELECT name, known, levenshtein(name, known) AS distance FROM w, (VALUES {", ".join(f"('{k}')" for k in sorted(catalog.CATALOG))}) r(known)),
+m AS (SELECT name, min(distance) AS least FROM d GROUP BY name)
+SELECT d.name, known, CAST(distance AS INTEGER) AS distance FROM d JOIN m ON d.name = m.name AND distance = least WHERE least BETWEEN 1 AND {names.FAR - 1}"""
+
+
+def event_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count, sum, extremes and quantiles of the events' values by type, merged from the sketches of each day."""
+    e = table(spark, sf_dir, "events").withColumn("cents", F.round(F.col("value") * 100).cast("long")).withColumn("day", F.to_date("ts"))
+    daily = sinks.timers(e, "event_type", "day", value="cents")
+    return sinks.timer_quantiles(sinks.merged_timers(daily, "event_type"), "event_type")
+
+
 def scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.counters(table(spark, sf_dir, "events"), "event_type")
 
@@ -314,7 +334,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         doc_verdicts, doc_findings, page_findings, generic_findings, doc_comments, known_license_docs, license_counts_by_lang, rule_attribution, party_cascade, match_explode, match_offsets, line_numbers, truncate_scan,
         entity_unquote, normalize_license, normalize_owner, owner_findings, path_skip, always_review, exclude_patterns, file_verdict, change_verdict, unknown_clusters, cluster_top10, unknown_suppression, comment_dedupe,
-        reviewer_dedupe, tree_diff, rule_suggest, scan_counts, version_in_force, finding_lines, turn_scan, benchmark_scan,
+        reviewer_dedupe, tree_diff, rule_suggest, word_suggest, event_timers, scan_counts, version_in_force, finding_lines, turn_scan, benchmark_scan,
     )
 }
 
@@ -343,6 +363,7 @@ SQL: dict[str, str] = {
     "reviewer_dedupe": "SELECT CASE WHEN c_custkey % 2 = 0 THEN 's' || c_custkey ELSE c_name END AS reviewer FROM customer WHERE c_custkey % 3 <> 0",
     "tree_diff": TREE_DIFF_SQL,
     "rule_suggest": RULE_SUGGEST_SQL,
+    "word_suggest": WORD_SUGGEST_SQL,
     "scan_counts": "SELECT event_type, count(*) AS n_scans FROM events GROUP BY event_type",
     "version_in_force": VERSION_SQL,
     "finding_lines": FINDING_LINES_SQL,

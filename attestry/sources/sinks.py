@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -58,3 +58,41 @@ def throughput(scanned: DataFrame, seconds: float) -> DataFrame:
     """counters of everything, with files and bytes a second; the largest file and the longest time are the high-water marks."""
     rate = lambda c: F.col(c) / F.lit(max(seconds, 1e-9))
     return counters(scanned).withColumns({"files_per_s": rate("n_scans"), "bytes_per_s": rate("n_bytes")})
+
+
+# --- timers ---------------------------------------------------------------------------------------------------------
+
+#: Size of a quantile sketch: the rank of a quantile is then within RANK_ERROR of the one asked for, in 99 of 100 cases.
+SKETCH_K, RANK_ERROR = 400, 0.0072
+
+
+def timers(scanned: DataFrame, *by: str, value: str = "elapsed_us") -> DataFrame:
+    """n, total, least, most and a sketch of the values by the given columns (project, branch); few rows, however much was scanned.
+
+    Null values are not counted; a group with no other value has n 0 and no sketch.  Null groups are groups.
+    """
+    v = F.col(f"`{value}`").cast("long")
+    made = scanned.groupBy(*by).agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.min(v).alias("least"), F.max(v).alias("most"), F.kll_sketch_agg_bigint(v, SKETCH_K).alias("sketch"))
+    return made.withColumn("sketch", F.when(F.col("n") > 0, F.col("sketch")))
+
+
+def merged_timers(made: DataFrame, *by: str) -> DataFrame:
+    """Timers of several batches as one row for each group, as if all had been scanned at once."""
+    return made.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"), F.kll_merge_agg_bigint("sketch").alias("sketch"))
+
+
+def timer_quantiles(made: DataFrame, *by: str, ranks: dict[str, float] | None = None) -> DataFrame:
+    """by, n, total, least, most, mean and the quantiles by name; null where a group has no values."""
+    some = F.col("n") > 0
+    q = [F.when(some, F.kll_sketch_get_quantile_bigint("sketch", F.lit(r))).alias(k) for k, r in (ranks or {"p50": 0.5, "p90": 0.9, "p99": 0.99}).items()]
+    return made.select(*by, "n", "total", "least", "most", F.when(some, F.col("total") / F.col("n")).alias("mean"), *q)
+
+
+def write_timers(made: DataFrame, path: str, batch: int = 0) -> None:
+    """The timers of a batch under its own folder: a repeated batch replaces what it wrote."""
+    made.write.mode("overwrite").parquet(f"{path}/timers/batch={batch}")
+
+
+def read_timers(spark: SparkSession, path: str, *by: str) -> DataFrame:
+    """The timers of all batches written so far, merged."""
+    return merged_timers(spark.read.parquet(f"{path}/timers"), *by)
