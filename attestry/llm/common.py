@@ -10,6 +10,8 @@ from ..sources.store import cut, shared_dir  # noqa: F401  used by the operators
 #: The characters [\x20\x09-\x0D], as text and as a Java regex class.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RE = r"[ \t-\r]"
+#: So many rows of one key at most are left to one task; so many keys at most are broadcast.
+TASK_ROWS, SENT_KEYS = 4_000_000, 1 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -45,3 +47,9 @@ def packed(df: DataFrame) -> Column:
 def two_hashes(c: Column) -> list[Column]:
     """128 bits of hash: xxhash64 from two seeds."""
     return [F.xxhash64(c), F.xxhash64(F.lit(7), c)]
+
+
+def crowd(total: int, least: int = 4096, share: float = 1 / 1024) -> int:
+    """Rows of a key beyond which it is taken apart: a share of all rows, TASK_ROWS at most, unless more than SENT_KEYS keys
+    could pass that."""
+    return max(least, min(int(total * share), TASK_ROWS), total // SENT_KEYS)

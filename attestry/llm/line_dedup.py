@@ -20,10 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, cut, let, packed, two_hashes
-
-#: So many occurrences of one key at most are one task's; so many keys at most are broadcast.
-TASK_ROWS, SENT_KEYS = 4_000_000, 1 << 20
+from .common import BLANKS, ascii_lower, crowd, cut, let, packed, two_hashes
 
 
 def line_key(line: Column) -> Column:
@@ -52,7 +49,7 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, rid, pos of the lines that go."""
     occ = cut(occurrences(df, id_col, text_col, min_chars), "line-occurrences")
     total = occ.count()
-    many = max(hot_least, min(int(total * hot_share), TASK_ROWS), total // SENT_KEYS)
+    many = crowd(total, hot_least, hot_share)
     hot_keys = occ.groupBy("h1", "h2").count().filter(F.col("count") > many).select("h1", "h2")  # at most total / many keys
     n_hot = 0
     if total > many:

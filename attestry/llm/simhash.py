@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, packed, small_batches
+from .common import crowd, cut, packed, small_batches
 
 GOLAY = 0b101011100011  # generator polynomial of the [23, 12, 7] code
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # shift and width
@@ -187,9 +187,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 def join_facts(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int, hot_least: int = 4096) -> DataFrame:
     """rows joined with facts, which has one row per key and in n the rows of that key.
 
-    Keys over 1/1024 of all rows - 1024 at most - are broadcast; the others are shuffled.
+    Keys over 1/1024 of all rows, or over TASK_ROWS, are broadcast, SENT_KEYS at most; the others are shuffled.
     """
-    many = max(hot_least, total // 1024)
+    many = crowd(total, hot_least)
     if total <= many:
         return rows.join(facts.drop(n), key)
     hot, cold = facts.filter(F.col(n) > many).drop(n), facts.filter(F.col(n) <= many).drop(n)

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from attestry.llm import decontam, license_scan, line_dedup, lm_score, mixing, pii, quality, simhash, suffix_dedup, toxicity
+from attestry.llm import common, decontam, license_scan, line_dedup, lm_score, mixing, pii, quality, simhash, suffix_dedup, toxicity
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 BLANK = " \t\n\x0b\x0c\r"
@@ -77,6 +77,14 @@ def test_line_dedup(spark, docs, rows, none):
     assert line_dedup.strip_lines(docs).columns == docs.columns
 
 
+def test_limit_of_a_crowd():
+    """No key beyond TASK_ROWS is left to one task while SENT_KEYS keys can be sent, and never more than those can pass the limit."""
+    for total in (0, 1, 10**6, 10**9, 10**10, 10**12, 10**13, 10**15):
+        many = common.crowd(total)
+        assert total // (many + 1) <= common.SENT_KEYS and (many <= common.TASK_ROWS or total >= common.TASK_ROWS * common.SENT_KEYS)
+        assert common.crowd(total, 1) <= many
+
+
 def test_bitmap_runs(spark):
     d = spark.createDataFrame([(1, 0, p) for p in (0, 1, 4, 9, 8)], "doc_id long, rid long, pos int")
     r = line_dedup.drop_bitmaps(d).first()
