@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: from this distance on a known name is no suggestion.
@@ -74,5 +74,5 @@ def near(names: DataFrame, known: DataFrame, name_col: str = "name", known_col:
 def suggestions(names: DataFrame, known: DataFrame, name_col: str = "name", known_col: str = "known", far: int = FAR) -> DataFrame:
     """name, known, distance: for each name that is not known, the nearest known ones, all that tie; none from `far` on."""
     pairs = near(names, known, name_col, known_col, far - 1)
-    least = pairs.groupBy("name").agg(F.min("distance").alias("least")).filter("least > 0")
-    return pairs.join(least, "name").filter("distance = least").drop("least")
+    least = F.min("distance").over(Window.partitionBy("name"))  # a name's rows are the known names near it
+    return pairs.withColumn("least", least).filter("distance = least AND least > 0").drop("least")
