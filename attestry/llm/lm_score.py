@@ -12,6 +12,8 @@ changes no score; the replicas' parameters are averaged in groups of `fan_in`, l
 
 Scoring reads whole documents in windows and carries the state across them.
 
+Arrow splits, counts and places the tokens of a batch; tokens() and numbered() say the same for one text.
+
 The tokens sent to all tasks are the `frequent` most frequent ones of 256 bytes or less; counts of all others are
 joined.
 
@@ -32,6 +34,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +66,18 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+def split_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of texts, as tokens has them, one text behind another, and how many each text has; the ends are not made."""
+    low = pc.ascii_trim_whitespace(pc.ascii_lower(texts.fill_null("")))
+    lists = pc.ascii_split_whitespace(low)
+    n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    empty = pc.equal(pc.binary_length(low), 0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    if empty.any():  # an empty text is one empty word there
+        flat, n = flat.filter(pc.greater(pc.binary_length(flat), 0)), np.where(empty, 0, n)
+    return flat.cast(pa.binary()), n
+
+
 def crc_of(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
@@ -72,34 +87,6 @@ def token_key(x: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def softmax_log(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-softmax of x at one column of each row.  x is used up: it becomes the softmax."""
-    picked = x[np.arange(len(x)), at]
-    if not -80 < picked.min(initial=0) <= x.max(initial=0) < 80:  # out of the range of exp
-        top = x.max(1, keepdims=True)
-        x -= top
-        picked = picked - top[:, 0]
-    np.exp(x, out=x)
-    total = x @ np.ones(x.shape[1], x.dtype)
-    x /= total[:, None]
-    return picked - np.log(total)
-
-
-def log_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """As softmax_log, for the value alone, a cache-sized part at a time."""
-    out = np.empty(len(x), x.dtype)
-    for a in range(0, len(x), 4096):
-        part = x[a : a + 4096]
-        picked = part[np.arange(len(part)), at[a : a + 4096]]
-        if not -80 < picked.min() <= part.max() < 80:  # out of the range of exp
-            top = part.max(1, keepdims=True)
-            part -= top
-            picked = picked - top[:, 0]
-        np.exp(part, out=part)
-        out[a : a + 4096] = picked - np.log(part @ np.ones(part.shape[1], part.dtype))
-    return out
-
-
 class Net:
     """GRU with class-factored softmax.  Word k belongs to class k // class_size."""
 
@@ -121,113 +108,177 @@ class Net:
                 tops -= np.float32(math.log(counts.sum() + n_words))
             params = [draw(n_words, d) * np.float32(math.sqrt(n_words) * 0.1), draw(d, 3 * h), draw(h, 3 * h), np.zeros(3 * h, np.float32), draw(h, self.classes), tops, draw(self.classes, h, self.size), words]
         self.p = params
+        self.rooms: dict[str, np.ndarray] = {}
+
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """A work array of this shape; each name's memory is used again and again, as fresh pages cost more than what is done in them."""
+        n, kind = math.prod(shape), self.p[2].dtype
+        if name not in self.rooms or len(self.rooms[name]) < n or self.rooms[name].dtype != kind:
+            self.rooms[name] = np.empty(n, kind)
+        return self.rooms[name][:n].reshape(shape)
 
-    def inputs_table(self) -> np.ndarray:
-        """What each word as input adds to the gates."""
-        emb, wx, _, b = self.p[:4]
-        return emb @ wx + b
+    def gates(self, x: np.ndarray) -> np.ndarray:
+        """The weights of the three gates one behind another."""
+        return np.ascontiguousarray(x.reshape(len(x), 3, self.h).transpose(1, 0, 2))
 
-    def states(self, inputs: np.ndarray, h: np.ndarray, end: int, table: np.ndarray | None = None) -> tuple[np.ndarray, list]:
-        """States for inputs (steps, streams); an end as input starts a document with a zero state.
+    def states(self, inputs: np.ndarray, h: np.ndarray, end: int, keep: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """States for inputs (steps, streams), in a work array; an end as input starts a document with a zero state.
 
-        With a table of inputs nothing is kept for training.
+        Then what training needs, if it is kept: states before, gates, and what the state before adds to the gates.
         """
         emb, wx, wh, b = self.p[:4]
-        k, steps = self.h, []
-        xs = emb[inputs] @ wx + b if table is None else None
-        out = np.empty((*inputs.shape, k), wh.dtype)
-        for t in range(len(inputs)):
-            x = xs[t] if table is None else table[inputs[t]]
-            starts = inputs[t] == end
-            if starts.any():
-                h = np.where(starts[:, None], 0, h)
-            g = h @ wh
-            rz = x[:, : 2 * k] + g[:, : 2 * k]
-            np.negative(rz, out=rz)
+        (steps, streams), k = inputs.shape, self.h
+        table, wh3 = self.gates(emb @ wx + b), self.gates(wh)
+        table[:2] *= -1
+        wh3[:2] *= -1
+        held = steps if keep else 1
+        out, before, x3, g3 = self.room("out", steps, streams, k), self.room("before", held, streams, k), self.room("x3", held, 3, streams, k), self.room("g3", held, 3, streams, k)
+        going = inputs != end
+        for t in range(steps):
+            at = t if keep else 0
+            x, g, h = x3[at], g3[at], np.multiply(h, going[t][:, None], out=before[at])
+            np.take(table, inputs[t], axis=1, out=x, mode="clip")
+            np.matmul(h, wh3, out=g)
+            rz, n = x[:2], x[2]
+            rz += g[:2]
             np.exp(rz, out=rz)
             rz += 1
             np.reciprocal(rz, out=rz)
-            r, z = rz[:, :k], rz[:, k:]
-            n = r * g[:, 2 * k :]
-            n += x[:, 2 * k :]
+            new = np.multiply(x[0], g[2], out=out[t])
+            n += new
             n *= -2  # tanh by way of exp, which numpy has vectorized
             np.exp(n, out=n)
             n += 1
             np.divide(2, n, out=n)
             n -= 1
-            new = h - n
-            new *= z
+            np.subtract(h, n, out=new)
+            new *= x[1]
             new += n
-            if table is None:
-                steps.append((h, r, z, n, g[:, 2 * k :]))
-            h = out[t] = new
-        return out, steps
-
-    def by_class(self, targets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        c = targets // self.size
-        order = np.argsort(c, kind="stable")
-        there, first = np.unique(c[order], return_index=True)
-        for k, rows in zip(there.tolist(), np.split(order, first[1:]), strict=True):
-            yield k, rows
+            h = new
+        return out, before, x3, g3
+
+    def output(self, states: np.ndarray, targets: np.ndarray, size: int = 2048) -> Iterator[tuple]:
+        """In parts of rows with targets of one class: numbers of the rows, where they stand in the order of classes, class, targets within
+        it, states with a constant, output weights of classes and of the class's words side by side, the exponentials of both in a work
+        array, their two sums, log P(target | state).
+
+        A part stays in the cache.
+        """
+        wc, bc, ww, bw = self.p[4:]
+        m, q, k = self.size, self.classes, self.h
+        c = targets // m
+        order = np.argsort(c.astype(np.uint16) if q <= 1 << 16 else c, kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(c, minlength=q))])
+        goals = (targets - c * m)[order] + q
+        rows = self.room("rows", len(targets), k + 1)
+        rows[:, :k], rows[:, k] = np.take(states, order, axis=0, out=self.room("sorted", len(targets), k), mode="clip"), 1
+        w = np.empty((k + 1, q + m), wc.dtype)
+        w[:k, :q], w[k, :q] = wc, bc
+        ones = np.ones(max(q, m), wc.dtype)
+        places = np.arange(size) * (q + m)
+
+        def sums(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return p[:, :q] @ ones[:q], p[:, q:] @ ones[:m]
+
+        for i in np.flatnonzero(np.diff(bounds)).tolist():
+            w[:k, q:], w[k, q:] = ww[i], bw[i]
+            for a in range(bounds[i], bounds[i + 1], size):
+                here = slice(a, min(a + size, bounds[i + 1]))
+                mine, goal = rows[here], goals[here]
+                p = np.matmul(mine, w, out=self.room("p", len(mine), q + m))
+                picked = p[:, i] + p.ravel()[places[: len(mine)] + goal]
+                with np.errstate(over="ignore"):
+                    np.exp(p, out=p)
+                tops, words = sums(p)
+                if not 1e-30 < min(tops.min(), words.min()) <= max(tops.max(), words.max()) < 1e30:  # out of the range of exp
+                    np.matmul(mine, w, out=p)
+                    for part in (p[:, :q], p[:, q:]):
+                        top = part.max(1, keepdims=True)
+                        part -= top
+                        picked -= top[:, 0]
+                    tops, words = sums(np.exp(p, out=p))
+                yield order[here], here, i, goal, mine, w, p, tops, words, picked - np.log(tops * words)
 
     def log_prob(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log of P(target | state), row by row."""
-        wc, bc, ww, bw = self.p[4:]
-        if not len(targets):
-            return np.zeros(0, np.float32)
         out = np.empty(len(targets), states.dtype)
-        for a in range(0, len(targets), 4096):
-            out[a : a + 4096] = log_at(states[a : a + 4096] @ wc + bc, targets[a : a + 4096] // self.size)
-        for k, rows in self.by_class(targets):
-            out[rows] += log_at(states[rows] @ ww[k] + bw[k], targets[rows] % self.size)
+        for rows, *_, lp in self.output(states, targets):
+            out[rows] = lp
         return out
 
-    def gradients(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, end: int) -> tuple[list[np.ndarray], np.ndarray, float]:
+    def gradients(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, end: int, into: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], np.ndarray, float]:
         """Truncated backpropagation through one window; the last state is handed on without gradient."""
-        emb, wx, wh, b, wc, bc, ww, bw = self.p
-        k, (steps, streams) = self.h, inputs.shape
-        out, kept = self.states(inputs, h, end)
-        flat, goal = out.reshape(-1, k), targets.ravel()
+        emb, wx, wh = self.p[:3]
+        k, q, (steps, streams) = self.h, self.classes, inputs.shape
+        out, before, x3, g3 = self.states(inputs, h, end, True)
+        goal = targets.ravel()
         n = len(goal)
-        g = [np.zeros_like(x) for x in self.p]
-        d = flat @ wc + bc
-        loss = -softmax_log(d, goal // self.size).sum()
-        d[np.arange(n), goal // self.size] -= 1
-        g[4], g[5] = flat.T @ d, d.sum(0)
-        back = d @ wc.T
-        for c, rows in self.by_class(goal):
-            mine, at = flat[rows], goal[rows] % self.size
-            d = mine @ ww[c] + bw[c]
-            loss -= softmax_log(d, at).sum()
-            d[np.arange(len(rows)), at] -= 1
-            g[6][c], g[7][c] = mine.T @ d, d.sum(0)
-            back[rows] += d @ ww[c].T
+        g = [np.empty_like(x) for x in self.p] if into is None else into
+        for x in g:
+            x.fill(0)
+        back, by_class = self.room("back", n, k), self.room("by_class", n, k)
+        order, loss = np.empty(n, np.int64), 0.0
+        for rows, here, c, at, mine, w, d, tops, words, lp in self.output(out.reshape(n, k), goal):
+            loss -= float(lp.sum())
+            d[:, :q] *= (1 / tops)[:, None]
+            d[:, q:] *= (1 / words)[:, None]
+            d[:, c] -= 1
+            d[np.arange(len(d)), at] -= 1
+            both = mine.T @ d
+            g[4] += both[:k, :q]
+            g[5] += both[k, :q]
+            g[6][c] += both[:k, q:]
+            g[7][c] += both[k, q:]
+            np.matmul(d, w[:k].T, out=by_class[here])
+            order[here] = rows
+        back[order] = by_class
         back = back.reshape(steps, streams, k)
-        dx = np.empty((steps, streams, 3 * k), np.float32)
-        carry = np.zeros((streams, k), np.float32)
+        dx, dg, up = self.room("dx", steps, 3, streams, k), self.room("dg", 3, streams, k), self.room("up", 3, streams, k)
+        to_state, wh_g = self.gates(wh).transpose(0, 2, 1), np.zeros((3, k, k), wh.dtype)
+        hz, carry = self.room("hz", streams, k), np.zeros((streams, k), wh.dtype)
+        going = inputs != end
         for t in range(steps - 1, -1, -1):
-            before, r, z, new, gn = kept[t]
-            dh = back[t] + carry
-            dn = dh * (1 - z) * (1 - new * new)
-            dz = dh * (before - new) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            dx[t] = np.hstack([dr, dz, dn])
-            dg = np.hstack([dr, dz, dn * r])
-            g[2] += before.T @ dg
-            carry = (dh * z + dg @ wh.T) * (inputs[t] != end)[:, None]
-        dx = dx.reshape(-1, 3 * k)
-        g[1], g[3] = emb[inputs.ravel()].T @ dx, dx.sum(0)
-        order = np.argsort(inputs.ravel(), kind="stable")
-        there, first = np.unique(inputs.ravel()[order], return_index=True)
-        g[0][there] = np.add.reduceat((dx @ wx.T)[order], first)
+            dh, old, (r, z, new), (dr, dz, dn) = back[t], before[t], x3[t], dx[t]
+            dh += carry
+            np.multiply(dh, z, out=hz)
+            dh -= hz  # dh * (1 - z)
+            np.multiply(new, new, out=dn)
+            np.subtract(1, dn, out=dn)
+            dn *= dh
+            np.subtract(old, new, out=dz)
+            dz *= dh
+            dz *= z
+            np.multiply(dn, r, out=dg[2])
+            np.subtract(1, r, out=dr)
+            dr *= dg[2]
+            dr *= g3[t, 2]
+            dg[:2] = dx[t, :2]
+            wh_g += old.T @ dg
+            np.matmul(dg, to_state, out=up)
+            np.add(up[0], up[1], out=carry)
+            carry += up[2]
+            carry += hz
+            carry *= going[t][:, None]
+        g[2][:] = wh_g.transpose(1, 0, 2).reshape(k, 3 * k)
+        flat = inputs.ravel()
+        order = np.argsort(flat.astype(np.uint16) if len(emb) <= 1 << 16 else flat, kind="stable")
+        there, first = np.unique(flat[order], return_index=True)
+        rows = order + order // streams * (2 * streams)  # of the first gate: a step has three times as many rows
+        by_word = np.hstack([np.add.reduceat(np.take(dx.reshape(-1, k), rows + i * streams, axis=0, out=by_class, mode="clip"), first) for i in range(3)])
+        g[0][there] = by_word @ wx.T
+        g[1][:], g[3][:] = emb[there].T @ by_word, by_word.sum(0)
         for x in g:
             x /= n
-        return g, out[-1], float(loss) / n
+        return g, out[-1].copy(), loss / n
 
 
 def train(net: Net, docs: Iterator[np.ndarray], s: Settings, end: int, rate: float) -> int:
     """Adagrad over windows of parallel streams; returns the number of tokens seen.  docs: token numbers, ending with end."""
-    past = [np.full_like(x, 1e-6) for x in net.p]
+    sizes = np.cumsum([x.size for x in net.p])
+    whole = np.concatenate([x.ravel() for x in net.p])
+    net.p = [x.reshape(y.shape) for x, y in zip(np.split(whole, sizes[:-1]), net.p, strict=True)]
+    slope, past = np.empty_like(whole), np.full_like(whole, 1e-6)
+    slopes = [x.reshape(y.shape) for x, y in zip(np.split(slope, sizes[:-1]), net.p, strict=True)]
     seen, waiting, size = 0, [], 0
     block = s.streams * s.window * 8
 
@@ -239,13 +290,15 @@ def train(net: Net, docs: Iterator[np.ndarray], s: Settings, end: int, rate: flo
         inputs = np.vstack([np.full((1, s.streams), end), rows[:-1]])
         h = np.zeros((s.streams, net.h), np.float32)
         for t in range(0, per, s.window):
-            g, h, _ = net.gradients(inputs[t : t + s.window], rows[t : t + s.window], h, end)
-            norm = math.sqrt(sum(float((x * x).sum()) for x in g))
-            scale = min(1.0, 1.0 / max(norm, 1e-9))
-            for p, q, x in zip(net.p, past, g, strict=True):
-                x *= np.float32(scale)
-                q += x * x
-                p -= np.float32(rate) * x / np.sqrt(q)
+            _, h, _ = net.gradients(inputs[t : t + s.window], rows[t : t + s.window], h, end, slopes)
+            norm = math.sqrt(float(np.vdot(slope, slope)))
+            np.multiply(slope, np.float32(min(1.0, 1.0 / max(norm, 1e-9))), out=slope)
+            for a in range(0, len(whole), 8192):  # in the cache
+                here = slice(a, a + 8192)
+                past[here] += slope[here] * slope[here]
+                slope[here] /= np.sqrt(past[here])
+                slope[here] *= np.float32(rate)
+                whole[here] -= slope[here]
         return per * s.streams
 
     for d in docs:
@@ -270,7 +323,6 @@ def document_log_probs(net: Net, docs: list[np.ndarray], end: int, cells: int =
     total = np.zeros(len(docs))
     h = np.zeros((len(docs), net.h), np.float32)
     last = np.full(len(docs), end)
-    table = net.inputs_table()
     t, longest = 0, int(size.max(initial=0))
     while t < longest:
         live = int((size > t).sum())
@@ -279,10 +331,10 @@ def document_log_probs(net: Net, docs: list[np.ndarray], end: int, cells: int =
         there = at < size[:live]
         part = flat[np.where(there, first[:live] + at, len(flat) - 1)]
         inputs = np.vstack([last[None, :live], part[:-1]])
-        out, _ = net.states(inputs, h[:live], end, table)
+        out = net.states(inputs, h[:live], end)[0]
         lp = net.log_prob(out[there], part[there])
         total[:live] += np.bincount(np.nonzero(there)[1], weights=lp, minlength=live)
-        h, last = out[-1], part[-1]
+        h, last = out[-1].copy(), part[-1]
         t += steps
     back = np.empty(len(docs))
     back[order] = total
@@ -322,19 +374,24 @@ def count_tokens(df: DataFrame) -> DataFrame:
     """token (binary), n."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[bytes] = Counter()
+        waiting: list[pa.Array] = []
 
         def flush() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["token", "n"])
-            total.clear()
-            return b
+            found = pc.value_counts(pa.chunked_array(waiting, pa.binary()))
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["token", "n"])
 
+        ends = size = 0
         for b in batches:
-            for x in b.column(0).cast(pa.binary()):
-                total.update(tokens(x.as_py() or b""))
-            if len(total) > 400_000:
+            words, n = split_texts(b.column(0))
+            waiting.append(words)
+            size, ends = size + len(words), ends + len(n)
+            if size > 4_000_000:
                 yield flush()
+                size = 0
         yield flush()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], ["token", "n"])
 
     return df.select("text").mapInArrow(work, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -361,16 +418,32 @@ def gather(counts: DataFrame, s: Settings) -> Corpus:
     return Corpus(n, v, Places(frequent, s.others), number, value, s.others, s.others, weights, np.log10([sizes.get(e, 0) + kinds.get(e, 0) + 1.0 for e in range(s.others)]))
 
 
-def placed(t: list[bytes], c: Corpus) -> np.ndarray:
-    return np.fromiter(map(c.places.__getitem__, t), np.int64, len(t))
-
-
 def numbered(t: list[bytes], c: Corpus) -> np.ndarray:
     """The model's words for the tokens of a text."""
-    at = placed(t, c)
+    at = np.fromiter(map(c.places.__getitem__, t), np.int64, len(t))
     return np.where(at < 0, -1 - at, c.number[at])
 
 
+def placed(texts: pa.Array, known: pa.Array, c: Corpus) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Places of the tokens of texts, one text behind another, with the bounds of the texts; positions of the tokens that are not
+    frequent, and these tokens.  known: the frequent tokens, END first."""
+    words, n = split_texts(texts)
+    bounds = np.concatenate([[0], np.cumsum(n + 1)])
+    at = np.zeros(bounds[-1], np.int64)  # ends have place 0
+    word = np.ones(len(at), bool)
+    word[bounds[1:] - 1] = False
+    found = pc.index_in(words, value_set=known)
+    at[word] = found.fill_null(-1).to_numpy()
+    seldom = np.flatnonzero(at < 0)
+    others = words.filter(found.is_null()).to_pylist()
+    at[seldom] = [-1 - ending(x, c.others) for x in others]
+    return at, bounds, seldom, others
+
+
+def known_of(c: Corpus) -> pa.Array:
+    return pa.array(list(c.places), pa.binary())
+
+
 def fitted(train_docs: DataFrame, c: Corpus, s: Settings) -> Net:
     """Warm-up in one task on a bounded sample, then one round of replicas over all training documents, averaged."""
     n_words = len(c.weights)
@@ -386,10 +459,16 @@ def fitted(train_docs: DataFrame, c: Corpus, s: Settings) -> Net:
 
     def replica(start: list[np.ndarray] | None, rate: float):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = ((r, x) for b in batches for r, x in zip(b.column("replica").to_pylist(), b.column("text").cast(pa.binary()), strict=True))
+            known = known_of(c)
+
+            def read(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+                at, bounds, *_ = placed(b.column("text"), known, c)
+                yield from zip(b.column("replica").to_pylist(), np.split(np.where(at < 0, -1 - at, c.number[at]), bounds[1:-1]), strict=True)
+
+            rows = (x for b in batches for x in read(b))
             for r, mine in groupby(rows, key=lambda x: x[0]):  # sorted by replica
                 net = Net(n_words, s, None if start is None else [x.copy() for x in start], c.weights)
-                seen = train(net, (numbered(tokens(x.as_py() or b""), c) for _, x in mine), s, c.end, rate)
+                seen = train(net, (x for _, x in mine), s, c.end, rate)
                 yield packed(net, seen, r)
 
         return work
@@ -451,19 +530,22 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settin
             ids.clear()
             return out
 
+        known = known_of(c)
         for b in batches:
-            for doc_id, held, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
-                t = tokens(x.as_py() or b"")
-                at = placed(t, c)
-                seldom = at < 0
-                ids.append(np.where(seldom, -1 - at, c.number[at]))
-                often = at[~seldom]
-                tf = Counter(t[i] for i in np.flatnonzero(seldom).tolist())  # their counts come by a join
-                held_back = ids[-1][ids[-1] < c.others]
-                base = float(c.value[often].sum())
-                other = float(c.value[often[c.number[often] < c.others]].sum() - c.other_log[held_back].sum())
-                rows.append((doc_id, held, len(t), int((c.value[often] > 0).sum()), base, other, [token_key(x) for x in tf], list(tf.values())))
-                size += len(ids[-1])
+            if not b.num_rows:
+                continue
+            at, bounds, seldom, others = placed(b.column(2), known, c)
+            often = at >= 0
+            words, value = np.where(often, c.number[at], -1 - at), np.where(often, c.value[at], 0)
+            taken = np.where(words < c.others, value, 0)
+            less = np.where(words < c.others, c.other_log[np.minimum(words, c.others - 1)], 0)
+            n_known, base, other = (np.add.reduceat(x, bounds[:-1]).tolist() for x in ((value > 0).astype(np.int64), value, taken - less))
+            part = np.searchsorted(seldom, bounds).tolist()
+            for i, (doc_id, held) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                tf = Counter(others[part[i] : part[i + 1]])  # their counts come by a join
+                rows.append((doc_id, held, int(bounds[i + 1] - bounds[i]), n_known[i], base[i], other[i], [token_key(x) for x in tf], list(tf.values())))
+            ids.extend(np.split(words, bounds[1:-1]))
+            size += len(words)
             if size > 2_000_000:
                 yield flush()
                 size = 0

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import string
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -549,6 +550,51 @@ def test_lm_net():
     assert lm_score.document_log_probs(net, cycle[:1], 1)[0] > before + 30
 
 
+def test_lm_tokens_and_places():
+    """Arrow's words and places are those of bytes, token by token, over every ASCII character and texts without words."""
+    r = random.Random(31)
+    letters = [chr(i) for i in range(128)] + ["é", "\u0085", "İ", "ß", "\u3000", *" \t\n" * 8]
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(40))) for _ in range(3_000)] + ["", " ", "\x1c", "A\x1db", None]
+    split = [lm_score.tokens((t or "").encode()) for t in texts]
+    frequent = list(dict.fromkeys([lm_score.END, *[x for t in split[::2] for x in t]]))
+    c = lm_score.Corpus(1, 1, lm_score.Places(frequent, 8), np.arange(len(frequent)), np.zeros(len(frequent)), 0, 8, np.zeros(1), np.zeros(8))
+    for some in (range(len(texts)), range(3_000, len(texts)), range(0)):
+        at, bounds, seldom, others = lm_score.placed(pa.array([texts[i] for i in some], pa.string()), lm_score.known_of(c), c)
+        assert [x.tolist() for x in np.split(at, bounds[1:-1])][: len(some)] == [[c.places[x] for x in split[i]] for i in some]
+        assert others == [x for i in some for x in split[i] if x not in c.places] and len(seldom) == len(others)
+
+
+def test_lm_output_beyond_exp():
+    """Logits that exp cannot take: the same probabilities and gradients as in double precision."""
+    s = lm_score.Settings(class_size=4, width=3, streams=2, window=4)
+    net = lm_score.Net(10, s)
+    net.p[4] = net.p[4] * np.float32(900)
+    net.p[6] = net.p[6] * np.float32(900)
+    r = np.random.default_rng(2)
+    states, targets = r.standard_normal((40, 3)).astype(np.float32), r.integers(0, 10, 40)
+    wc, bc, ww, bw = (x.astype(np.float64) for x in net.p[4:])
+    log = lambda x, at: x[at] - x.max() - math.log(np.exp(x - x.max()).sum())
+    want = [log(h @ wc + bc, k // 4) + log(h @ ww[k // 4] + bw[k // 4], k % 4) for h, k in zip(states.astype(np.float64), targets.tolist(), strict=True)]
+    assert min(want) < -200 and np.allclose(net.log_prob(states, targets), want, rtol=1e-3, atol=1e-2)
+    g, _, loss = net.gradients(r.integers(0, 10, (4, 2)), r.integers(0, 10, (4, 2)), np.zeros((2, 3), np.float32), 1)
+    assert math.isfinite(loss) and all(np.isfinite(x).all() for x in g)
+
+
+def test_lm_passes_reuse_their_memory():
+    """Once its work arrays are there, a window's gradients ask for less than a tenth of the memory they work in."""
+    s = lm_score.Settings(vocabulary=64, class_size=8, width=24, streams=256, window=32)
+    net = lm_score.Net(64, s)
+    r = np.random.default_rng(3)
+    inputs, targets = r.integers(0, 64, (32, 256)), r.integers(0, 64, (32, 256))
+    h = np.zeros((256, 24), np.float32)
+    net.gradients(inputs, targets, h, 1)
+    tracemalloc.start()
+    net.gradients(inputs, targets, h, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 * 256 * 24 * 4 * 3 < sum(x.nbytes for x in net.rooms.values()) / 3, peak
+
+
 def test_lm_replicas_read_whole_documents(spark):
     """One replica ends where training by hand over all tokens of every document does."""
     r = random.Random(20)
